@@ -38,3 +38,69 @@ PAYMENT_METHODS = (
     "BANK_TRANSFER", "BANK_DEPOSIT", "CARD", "CASH", "CHECK", "DIRECT_DEBIT", "OTHER",
 )
 CURRENCY_CODE = r"^[A-Z]{3}\z"
+
+
+# --- the same record as a checklist, for answers that arrive as JSON ---------------
+
+
+def _text(required: bool = False, rule: str | None = None) -> dict:
+    return {"kind": "text", "required": required, "rule": rule}
+
+
+def _number(required: bool = False, rule: str | None = None) -> dict:
+    return {"kind": "number", "required": required, "rule": rule}
+
+
+def _object(required: bool, **fields: dict) -> dict:
+    return {"kind": "object", "required": required, "fields": fields}
+
+
+def _list(required: bool, of: dict) -> dict:
+    return {"kind": "list", "required": required, "of": of}
+
+
+def _texts(*names: str) -> dict:
+    return {name: _text() for name in names}
+
+
+_PARTY = _object(
+    True,
+    name=_text(True),
+    tax_id=_text(),
+    contact=_object(False, **_texts("email", "phone", "fax")),
+    address=_object(False, **_texts("street", "city", "state", "postal_code", "country")),
+)
+_TAX = _object(
+    True, type=_text(True), rate=_number(True), amount=_number(True), taxable_base=_number()
+)
+
+MODEL = _object(
+    True,
+    metadata=_object(False, **_texts("invoice_number", "issue_date", "due_date", "order_number")),
+    notes=_text(),
+    parties=_object(True, vendor=_PARTY, customer=_PARTY),
+    financial_details=_object(
+        True,
+        currency=_text(rule="currency"),
+        subtotal=_number(True),
+        discount=_object(False, description=_text(), rate=_number(), amount=_number(True)),
+        tax=_TAX,
+        additional_taxes=_list(False, _TAX),
+        withholding=_object(False, type=_text(True), rate=_number(True), amount=_number(True)),
+        surcharges=_list(False, _object(True, description=_text(True), amount=_number(True))),
+        total_amount=_number(True),
+        payment=_object(False, method=_text(rule="payment"), number=_text()),
+    ),
+    items=_list(
+        True,
+        _object(
+            True,
+            item_id=_text(),
+            description=_text(),
+            quantity=_number(True, "non-negative"),
+            unit_price=_number(True, "non-negative"),
+            line_total=_number(True, "non-negative"),
+        ),
+    ),
+    extensions={"kind": "any object", "required": False},
+)

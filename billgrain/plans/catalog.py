@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from billgrain.plans import validation_queries
+from billgrain.plans import validation_queries, zone_queries
 
 QUERIES = {
     **validation_queries.QUERIES,
+    **zone_queries.QUERIES,
 }

@@ -145,3 +145,131 @@ stated AS (
 
 def with_ctes(*parts: str, select: str) -> str:
     return "WITH " + ",\n".join(p.strip() for p in parts) + "\n" + select.strip()
+
+
+def amount(cents: str, mark: str = ",") -> str:
+    return f"(({cents}) // 100) || '{mark}' || lpad(CAST(({cents}) % 100 AS VARCHAR), 2, '0')"
+
+
+TEXTS = HEADS + f""",
+item_lines AS (
+  SELECT k, list('SKU-' || i || ' Part ' || ((k * 31 + i) % 200) || ' ' || abs(q) || ',000 ' || {amount('p')}
+      || ' ' || ((k + i) % 9 + 1) || ',00 '
+      || CASE WHEN k % 13 = 0 THEN '' ELSE {amount('abs(q * p)')} || ' ' END || '21,0' ORDER BY i) AS rows
+  FROM item GROUP BY k),
+totals AS (
+  SELECT *, CASE WHEN k % 31 = 0 THEN -abs(base) ELSE base + CASE WHEN k % 11 = 0 THEN 3000 ELSE 0 END
+    + CASE WHEN k % 12 = 0 THEN 5 ELSE 0 END + CASE WHEN k % 13 = 0 THEN 2 ELSE 0 END END AS total_c
+  FROM based),
+lined AS (
+  SELECT t.k, c, day, t.tax AS tax_c, total_c, stated, st,
+    list_concat([
+      'Proveedor ' || (t.k % 100) || ' S.L.',
+      CASE t.k % 6 WHEN 0 THEN 'info@proveedor-' || (t.k % 100) || '.es' WHEN 1 THEN 'Tel 922.272.555'
+        WHEN 2 THEN 'Teléfono de atención: Tel. 922 272 555' WHEN 3 THEN 'www.proveedor' || (t.k % 100) || '.com'
+        WHEN 4 THEN 'IBAN ES91 2100 0418 4502 0005 1332' ELSE 'ñandú@acme.es' END,
+      CASE t.k % 4 WHEN 0 THEN 'Cliente: Customer#' || lpad(CAST(c AS VARCHAR), 9, '0')
+        WHEN 1 THEN 'FACTURAR A: Receptor S.A.' WHEN 2 THEN 'Destinatario ' || c ELSE 'Sr. D. ' END,
+      CASE t.k % 3 WHEN 0 THEN 'Calle Mayor ' || (t.k % 200) || ', Madrid'
+        WHEN 1 THEN (38000 + t.k % 1000) || ' Santa Cruz de Tenerife' ELSE 'Urbanización Sol' END,
+      CASE t.k % 5 WHEN 0 THEN 'N.I.F: B' || lpad(CAST(t.k * 7919 % 100000000 AS VARCHAR), 8, '0')
+        WHEN 1 THEN 'CIF A-' || lpad(CAST(t.k * 31 % 10000000 AS VARCHAR), 7, '0') || '-' || (t.k % 10)
+        WHEN 2 THEN 'DNI ' || lpad(CAST(t.k * 7919 % 100000000 AS VARCHAR), 8, '0')
+           || substr('TRWAGMYFPDXBNJZSQVHLCKE', CAST(t.k * 7919 % 100000000 % 23 + 1 AS INT), 1)
+        WHEN 3 THEN 'NIE X' || lpad(CAST(t.k * 7919 % 10000000 AS VARCHAR), 7, '0') || 'A'
+        ELSE 'Inscrita en el Registro Mercantil, CIF B38247367' END,
+      CASE t.k % 4 WHEN 0 THEN 'Fecha: ' || day(day) || ' de ' || month(day) || ' de ' || year(day)
+        WHEN 1 THEN 'Fecha: ' || day(day) || '.' || month(day) || '.' || year(day)
+        WHEN 2 THEN 'Fecha: ' || day(day) || '/' || month(day) || '/' || year(day)
+        ELSE 'Fecha: 31/2/2024' END],
+      coalesce(rows, []),
+      [CASE t.k % 5 WHEN 0 THEN 'IVA 21%: ' || {amount('abs(t.tax)')} || '€' WHEN 1 THEN 'IGIC 7%'
+         WHEN 2 THEN 'VAT (20%): £' || {amount('abs(t.tax)', '.')} WHEN 3 THEN 'GST (8.5%): $' || {amount('abs(t.tax)', '.')}
+         ELSE 'Exento' END,
+       CASE WHEN t.k % 8 = 0 THEN 'Impuesto electricidad: 2,16€' ELSE 'Gracias por su visita' END,
+       CASE WHEN t.k % 6 = 2 THEN (t.k % 20 + 1) || '.' || (t.k % 900 + 100) || ' kW × ' || (t.k % 28 + 1) || ' días × 0.'
+         || (t.k % 9000 + 1000) || ' €/kW día = ' || {amount('t.k % 9999')} || ' €' ELSE 'Energía consumida' END,
+       CASE t.k % 7 WHEN 0 THEN 'Recargo del 20%: 7,05' WHEN 1 THEN 'Alquiler del contador 0,72'
+         WHEN 2 THEN 'Otros conceptos 1,00' ELSE 'Potencia contratada 12,50' END,
+       CASE t.k % 8 WHEN 0 THEN 'Forma de pago: Transferencia bancaria' WHEN 1 THEN 'Pago con tarjeta'
+         WHEN 2 THEN 'Efectivo' WHEN 3 THEN 'Cheque nominativo' WHEN 4 THEN 'Domiciliación bancaria'
+         WHEN 5 THEN 'Wire transfer' WHEN 6 THEN 'Direct debit' ELSE 'Pago aplazado' END,
+       'TOTAL: ' || {amount('abs(total_c)')} || CASE t.k % 7 WHEN 0 THEN ' €' WHEN 1 THEN ' $' WHEN 2 THEN ' £'
+         WHEN 3 THEN ' EUR' WHEN 4 THEN ' GBP' WHEN 5 THEN ' ¥' ELSE '' END]) AS text_lines
+  FROM totals t LEFT JOIN item_lines l ON t.k = l.k),
+text_line AS (SELECT k AS doc_id, unnest(text_lines) AS line, unnest(range(len(text_lines))) AS i FROM lined)
+"""
+
+WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+WC = r"[\p{L}\p{N}_]"
+NW = r"[^\p{L}\p{N}_]"
+
+OCR = TEXTS + """,
+pg AS (
+  SELECT 'inv' AS src, k, text_lines FROM lined
+  UNION ALL SELECT 'doc', doc_id, string_split(text, chr(10)) FROM documents),
+numbered AS (
+  SELECT src, k, unnest(text_lines) AS text, unnest(range(len(text_lines))) AS i FROM pg),
+boxed AS (
+  SELECT src, k AS doc_id, CAST(i AS INT) AS pos, text,
+    CAST((k * 31 + i * 17) % 100 AS DOUBLE) / 100 AS confidence,
+    (k + i) % 29 <> 0 AS valid,
+    CAST(40 + (i % 3) * 250 AS DOUBLE) AS x1, CAST((i * 47 + k * 13) % 980 AS DOUBLE) AS y1
+  FROM numbered),
+geo AS (
+  SELECT src, doc_id, pos, text, confidence, valid,
+    CASE WHEN valid THEN x1 ELSE 0 END AS x1, CASE WHEN valid THEN y1 ELSE 0 END AS y1,
+    CASE WHEN valid THEN x1 + 200 ELSE 0 END AS x2, CASE WHEN valid THEN y1 + 20 ELSE 0 END AS y2,
+    CASE WHEN valid THEN x1 + 100 ELSE 400 END AS x, CASE WHEN valid THEN y1 + 10 ELSE 500 END AS y
+  FROM boxed)
+"""
+
+_ADDRESS = (
+    "calle c/ av. avda plaza street road paseo carretera urbanización edif edificio piso puerta pta bajo local"
+).split()
+_CUSTOMER = ("cliente", "customer", "bill to", "ship to", "facturar a", "destinatario", "comprador", "buyer")
+_PRICE = "precio price pvp importe amount total subtotal base cuota iva igic tax dto descuento".split()
+
+
+def _any(column: str, words) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
+
+
+SIGNALS = OCR + rf""",
+low AS (
+  SELECT *, lower(text) AS lo, regexp_replace(text, '^{WS}+|{WS}+$', '', 'g') AS st FROM geo),
+sig AS (
+  SELECT *,
+    regexp_matches(text, '[\p{{L}}\p{{N}}_.+-]+@[\p{{L}}\p{{N}}_.-]+\.{WC}+')
+      OR regexp_matches(text, '(?i)[A-Z]{{2}}\p{{Nd}}{{2}}{WS}?\p{{Nd}}{{4}}{WS}?\p{{Nd}}{{4}}{WS}?\p{{Nd}}{{4}}{WS}?\p{{Nd}}{{4}}')
+      OR regexp_matches(text, '(?i)www\.[\p{{L}}\p{{N}}_.-]+\.{WC}+')
+      OR (regexp_matches(text, '\p{{Nd}}{{3}}({WS}|[.-])?\p{{Nd}}{{3}}({WS}|[.-])?\p{{Nd}}{{3,4}}')
+          AND (contains(lo, 'tel') OR contains(lo, 'tfno'))) AS has_vendor_contact,
+    st <> '' AND (
+      regexp_matches(st, '^{WS}*[\p{{Nd}}.,]+{WS}*[€$£%]?{WS}*$')
+      OR (length(st) < 20 AND regexp_matches(st, '[\p{{Nd}}.,]+{WS}*[€$£]|[€$£]{WS}*[\p{{Nd}}.,]+|\p{{Nd}}+[.,]\p{{Nd}}{{2}}'))
+      OR (length(st) < 30 AND len(list_intersect(string_split_regex(lower(st), '{WS}+'), {_PRICE!r})) > 0)) AS is_numeric_price,
+    {_any('lo', _ADDRESS)}
+      OR (length(text) > 15 AND regexp_matches(text, '(^|{NW})\p{{Nd}}{{5}}($|{NW})')) AS has_address,
+    {_any('lo', _CUSTOMER)} AS has_customer_keyword,
+    regexp_matches(text, '(?i)(^|{NW})[A-Z]-?\p{{Nd}}{{7,8}}-?[A-Z0-9]?($|{NW})') AS has_tax_id
+  FROM low)
+"""
+
+
+def zoned(region_type: str = "NULL") -> str:
+    return SIGNALS + f""",
+typed AS (SELECT *, {region_type} AS rt FROM sig WHERE st <> ''),
+zoned AS (
+  SELECT *, CASE
+    WHEN NOT valid THEN 'CONTENT'
+    WHEN is_numeric_price THEN 'CONTENT'
+    WHEN has_vendor_contact THEN CASE WHEN y > 1000 * 0.85::DOUBLE THEN 'FOOTER' ELSE 'HEADER' END
+    WHEN has_customer_keyword THEN 'CUSTOMER'
+    WHEN rt = 'header' THEN 'HEADER' WHEN rt = 'footer' THEN 'FOOTER' WHEN rt = 'table' THEN 'CONTENT'
+    WHEN x > 800 * 0.55::DOUBLE AND y < 1000 * 0.35::DOUBLE AND y > 1000 * 0.18::DOUBLE * 0.5::DOUBLE
+      THEN CASE WHEN has_address OR has_tax_id THEN 'CUSTOMER' ELSE 'CONTENT' END
+    WHEN y < 1000 * 0.18::DOUBLE THEN 'HEADER'
+    WHEN y > 1000 * 0.85::DOUBLE THEN 'FOOTER' ELSE 'CONTENT' END AS zone
+  FROM typed)
+"""

@@ -1,7 +1,8 @@
 """Expected results by query name, as SQL over the given tables."""
 
-from billgrain.plans.oracle import validation
+from billgrain.plans.oracle import validation, zones
 
 SQL = {
     **validation.SQL,
+    **zones.SQL,
 }
