@@ -14,6 +14,7 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from billgrain.functions.pin import let
 from billgrain.functions.text import SPACE, collapse_spaces, contains_any, strip
 
 HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
@@ -74,11 +75,13 @@ def unescape(text: Column) -> Column:
             .otherwise(F.concat(F.lit("&"), piece))
         )
 
-    pieces = F.split(text, "&")
-    tail = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), after_ampersand)
-    return F.when(
-        text.contains("&"), F.concat(F.get(pieces, F.lit(0)), F.array_join(tail, ""))
-    ).otherwise(text)
+    def joined(pieces: Column) -> Column:
+        tail = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
+        return F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(tail, after_ampersand), ""))
+
+    return let(
+        text, lambda t: F.when(t.contains("&"), let(F.split(t, "&"), joined)).otherwise(t)
+    )
 
 
 def strip_tags(html: Column) -> Column:
@@ -156,20 +159,25 @@ def is_vendor_cell(cell: Column) -> Column:
 
 def entity_text(html: Column, rows: Column) -> Column:
     """Contact cells first, then all other cells without repeats; no rows: bare text."""
-    filled = F.filter(F.flatten(F.transform(rows, texts)), lambda t: t != "")
-    vendor = F.filter(filled, is_vendor_cell)
-    other = F.array_distinct(F.filter(filled, lambda t: ~is_vendor_cell(t)))
     # Block titles.
-    blocks = F.concat_ws(
-        "\n\n",
-        F.when(F.size(vendor) > 0, F.concat(F.lit("[VENDOR_INFO - Has contact details]\n"), F.array_join(vendor, "\n"))),
-        F.when(F.size(other) > 0, F.concat(F.lit("[DOCUMENT_CONTENT]\n"), F.array_join(other, "\n"))),
-    )
-    return (
-        F.when(F.coalesce(html, F.lit("")) == "", "")
-        .when(F.size(rows) == 0, strip_tags(html))
-        .otherwise(blocks)
-    )
+    vendor_title, other_title = "[VENDOR_INFO - Has contact details]\n", "[DOCUMENT_CONTENT]\n"
+
+    def block(title: str, lines: Column) -> Column:
+        return let(
+            lines, lambda a: F.when(F.size(a) > 0, F.concat(F.lit(title), F.array_join(a, "\n")))
+        )
+
+    def blocks(filled: Column) -> Column:
+        others = F.array_distinct(F.filter(filled, lambda t: ~is_vendor_cell(t)))
+        return F.concat_ws(
+            "\n\n", block(vendor_title, F.filter(filled, is_vendor_cell)), block(other_title, others)
+        )
+
+    def of_rows(parsed: Column) -> Column:
+        filled = F.filter(F.flatten(F.transform(parsed, texts)), lambda t: t != "")
+        return F.when(F.size(parsed) == 0, strip_tags(html)).otherwise(let(filled, blocks))
+
+    return F.when(F.coalesce(html, F.lit("")) == "", "").otherwise(let(rows, of_rows))
 
 
 def structure(rows: Column) -> Column:
@@ -177,18 +185,24 @@ def structure(rows: Column) -> Column:
     def is_header(row: Column) -> Column:
         return F.exists(row, lambda c: c["is_header"])
 
-    header_rows = F.filter(rows, is_header)
-    data = F.transform(F.filter(rows, lambda r: ~is_header(r)), texts)
-    width = F.size(F.get(data, F.lit(0)))
-    generic = F.transform(
-        F.sequence(F.lit(1), width), lambda i: F.concat(F.lit("col"), i.cast("string"))
-    )
-    headers = (
-        F.when(F.size(header_rows) > 0, texts(F.element_at(header_rows, -1)))
-        .when(F.size(data) > 0, generic)
-        .otherwise(F.array().cast("array<string>"))
-    )
-    return F.struct(headers.alias("headers"), data.alias("rows"))
+    def generic(first_row: Column) -> Column:
+        return F.transform(first_row, lambda _, i: F.concat(F.lit("col"), (i + 1).cast("string")))
+
+    def with_headers(parts: Column) -> Column:
+        titled, data = parts["titled"], parts["data"]
+        headers = (
+            F.when(F.size(titled) > 0, texts(F.element_at(titled, -1)))
+            .when(F.size(data) > 0, generic(F.get(data, F.lit(0))))
+            .otherwise(F.array().cast("array<string>"))
+        )
+        return F.struct(headers.alias("headers"), data.alias("rows"))
+
+    def split(parsed: Column) -> Column:
+        titled = F.filter(parsed, is_header)
+        data = F.transform(F.filter(parsed, lambda r: ~is_header(r)), texts)
+        return let(F.struct(titled.alias("titled"), data.alias("data")), with_headers)
+
+    return let(rows, split)
 
 
 def toon_rows(html: Column, **tags: str) -> Column:
@@ -198,21 +212,26 @@ def toon_rows(html: Column, **tags: str) -> Column:
 
 def toon(table: Column, table_no: Column, page_no: Column) -> Column:
     """Compact table text: title with row count, headers in braces, one line per row."""
-    headers, rows = table["headers"], table["rows"]
-    width = F.size(headers)
-
-    def line(row: Column) -> Column:
-        padded = F.slice(F.concat(row, F.array_repeat(F.lit(""), width)), F.lit(1), width)
-        return F.array_join(F.transform(padded, lambda c: F.replace(c, F.lit(","), F.lit("\\,"))), ", ")
-
     title = F.concat(
         F.lit("TABLE "), table_no.cast("string"), F.lit(" (Page "), page_no.cast("string"), F.lit(")")
     )
-    body = F.concat(
-        title, F.lit(" ["), F.size(rows).cast("string"), F.lit("]\n{"),
-        F.array_join(headers, ", "), F.lit("}\n"), F.array_join(F.transform(rows, line), "\n"),
-    )
-    return F.when(F.size(rows) == 0, F.concat(title, F.lit(": Empty table"))).otherwise(body)
+
+    def body(parsed: Column) -> Column:
+        headers, rows = parsed["headers"], parsed["rows"]
+        width = F.size(headers)
+
+        def line(row: Column) -> Column:
+            padded = F.slice(F.concat(row, F.array_repeat(F.lit(""), width)), F.lit(1), width)
+            escaped = F.transform(padded, lambda c: F.replace(c, F.lit(","), F.lit("\\,")))
+            return F.array_join(escaped, ", ")
+
+        full = F.concat(
+            title, F.lit(" ["), F.size(rows).cast("string"), F.lit("]\n{"),
+            F.array_join(headers, ", "), F.lit("}\n"), F.array_join(F.transform(rows, line), "\n"),
+        )
+        return F.when(F.size(rows) == 0, F.concat(title, F.lit(": Empty table"))).otherwise(full)
+
+    return let(table, body)
 
 
 # Header words that tell the table kinds apart.

@@ -23,3 +23,12 @@ def explode_found(df: DataFrame, name: str, *candidates: Column) -> DataFrame:
     """One row per candidate that is not NULL."""
     found = F.array_compact(F.array(*candidates))
     return df.select("*", F.explode(found).alias(name))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    Inside nested lambdas nothing else shares a subexpression, and each mention of a
+    column argument would repeat all of it.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))

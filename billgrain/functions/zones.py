@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from billgrain.functions.pin import let
 from billgrain.functions.text import (
     DIGIT as D,
     SPACE as S,
@@ -184,7 +185,9 @@ def zoned_items(
     """
 
     def classify(item: Column) -> Column:
-        geo = geometry(item["bbox"], height, width)
+        return let(geometry(item["bbox"], height, width), lambda geo: placed_item(item, geo))
+
+    def placed_item(item: Column, geo: Column) -> Column:
         placed = zone(item["text"], geo["x_center"], geo["y_center"], height, width, region_type)
         return F.struct(
             geo["y_center"].alias("y_center"),
@@ -208,10 +211,16 @@ def zone_text(zoned: Column) -> Column:
         ("FOOTER", "[VENDOR_FOOTER]"),
     )
 
-    def section(name: str, title: str) -> Column:
-        texts = F.transform(F.filter(zoned, lambda i: i["zone"] == name), lambda i: i["text"])
-        return F.when(
-            F.size(texts) > 0, F.concat(F.lit(title + "\n"), F.array_join(texts, "\n"))
+    def section(ordered: Column, name: str, title: str) -> Column:
+        texts = F.transform(F.filter(ordered, lambda i: i["zone"] == name), lambda i: i["text"])
+        return let(
+            texts,
+            lambda t: F.when(F.size(t) > 0, F.concat(F.lit(title + "\n"), F.array_join(t, "\n"))),
         )
 
-    return F.concat_ws("\n\n", *[section(name, title) for name, title in sections])
+    return let(
+        zoned,
+        lambda ordered: F.concat_ws(
+            "\n\n", *[section(ordered, name, title) for name, title in sections]
+        ),
+    )

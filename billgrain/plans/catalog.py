@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from billgrain.plans import validation_queries, zone_queries
+from billgrain.plans import page_queries, validation_queries, zone_queries
 
 QUERIES = {
     **validation_queries.QUERIES,
     **zone_queries.QUERIES,
+    **page_queries.QUERIES,
 }

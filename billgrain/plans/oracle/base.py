@@ -273,3 +273,96 @@ zoned AS (
     WHEN y > 1000 * 0.85::DOUBLE THEN 'FOOTER' ELSE 'CONTENT' END AS zone
   FROM typed)
 """
+
+TABLES = f"""
+td_rows AS (
+  SELECT k, string_agg('<tr><td>Part, ' || ((k * 31 + i) % 200)
+     || CASE (k + i) % 4 WHEN 0 THEN ' &amp; co' WHEN 1 THEN ' &lt;i&gt;n&amp;lt;' ELSE '' END || '</td>'
+     || CASE WHEN k % 10 = 3 THEN '<td>0.00</td><td>' || {amount('abs(t)', '.')} || '</td><td> 0.00 </td>'
+        ELSE '<td>' || q || '</td><td> ' || {amount('p', '.')} || ' </td>'
+          || CASE WHEN (k + i) % 6 = 0 THEN '' ELSE '<td>' || {amount('abs(t)', '.')} || '</td>' END
+          || CASE WHEN (k + i) % 6 = 1 THEN '<td></td><td>extra</td>' ELSE '' END END || '</tr>', '' ORDER BY i) AS body
+  FROM item GROUP BY k),
+tab AS (
+  SELECT raw.k AS doc_id, CAST(raw.k % 3 + 1 AS INT) AS page_num, CAST(raw.k % 2 + 1 AS INT) AS table_num,
+    CASE WHEN raw.k % 14 = 0 THEN '' WHEN raw.k % 38 = 1 THEN '<p>sin  tabla</p>' ELSE
+      '<table border="1"><tr class="x"><!-- top -->'
+      || CASE WHEN raw.k % 10 = 3 THEN '<th>Concepto</th><th>HONORARIOS</th><th>SUPLIDOS</th><th>PROVISIONES</th></tr>'
+           WHEN raw.k % 3 = 1 THEN '</tr>'
+           ELSE '<th>Descripción</th><th>Cantidad</th><th><b>Precio</b> unitario</th><th>Total, EUR</th></tr>' END
+      || CASE WHEN raw.k % 4 = 2 THEN '<tr><td>info@proveedor' || (raw.k % 100) || '.es</td><td>Tel: 922272555</td><td>es91 2100</td></tr>' ELSE '' END
+      || coalesce(body, '') || '</table>' END AS html
+  FROM raw LEFT JOIN td_rows ON raw.k = td_rows.k)
+"""
+
+
+def decoded(text: str) -> str:
+    return f"replace(replace(replace({text}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+
+
+def cells(name: str, source: str, html: str, row: str = "tr", cell: str = "td|th", keys: str = "doc_id") -> str:
+    """CTE ``name`` with one row per cell of the tables in ``source``."""
+    visible = f"regexp_replace({html}, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g')"
+    return rf"""
+{name}_r AS (
+  SELECT {keys}, unnest(a) AS h, unnest(range(len(a))) AS r
+  FROM (SELECT {keys}, regexp_extract_all({visible}, '(?is)<{row}(?:\s[^>]*)?>.*?</{row}>') AS a FROM {source})),
+{name}_c AS (
+  SELECT {keys}, r, unnest(a) AS h, unnest(range(len(a))) AS c
+  FROM (SELECT {keys}, r, regexp_extract_all(h, '(?is)<(?:{cell})(?:\s[^>]*)?>.*?</(?:{cell})>') AS a FROM {name}_r)),
+{name}_t AS (
+  SELECT {keys}, r, c, h LIKE '<th%' AS th,
+    regexp_replace({decoded("regexp_replace(h, '<[^>]*>', '', 'g')")}, '^{WS}+|{WS}+$', '', 'g') AS text FROM {name}_c),
+{name} AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY {keys} ORDER BY r) - 1 AS INT) AS row_no FROM {name}_t)"""
+
+
+VENDOR_CELL = (
+    r"(contains(text, '@') AND contains(split_part(text, '@', -1), '.') OR regexp_matches(text, '(?i)Tel[:\s]*[0-9]{6,}')"
+    r" OR regexp_matches(text, 'ES[0-9]{2}\s*[0-9]{4}'))"
+)
+
+
+def entity(name: str, source: str, cell: str) -> str:
+    """CTE ``name``: text with contact cells first, for every table of ``source``."""
+    return rf"""
+{name}_v AS (
+  SELECT doc_id, string_agg(text, chr(10) ORDER BY r, c) AS body FROM {cell} WHERE text <> '' AND {VENDOR_CELL} GROUP BY doc_id),
+{name}_o AS (
+  SELECT doc_id, string_agg(text, chr(10) ORDER BY r, c) AS body FROM (
+    SELECT doc_id, text, r, c, row_number() OVER (PARTITION BY doc_id, text ORDER BY r, c) AS nth
+    FROM {cell} WHERE text <> '' AND NOT {VENDOR_CELL}) WHERE nth = 1 GROUP BY doc_id),
+{name} AS (
+  SELECT s.doc_id, CASE WHEN s.html = '' THEN ''
+      WHEN s.doc_id NOT IN (SELECT doc_id FROM {cell}) THEN trim(regexp_replace(regexp_replace(s.html, '<[^>]+>', ' ', 'g'), '{WS}+', ' ', 'g'))
+      ELSE concat_ws(chr(10) || chr(10), '[VENDOR_INFO - Has contact details]' || chr(10) || v.body,
+        '[DOCUMENT_CONTENT]' || chr(10) || o.body) END AS text
+  FROM {source} s LEFT JOIN {name}_v v ON s.doc_id = v.doc_id LEFT JOIN {name}_o o ON s.doc_id = o.doc_id)"""
+
+
+# Headers, data rows and compact text of every table; cells come from text decoded twice.
+STRUCTURE = cells("tc", "tab", decoded("html")) + """,
+header_row AS (SELECT doc_id, max(r) AS r FROM tc WHERE th GROUP BY doc_id),
+head_rows AS (SELECT DISTINCT doc_id, r FROM tc WHERE th),
+data AS (SELECT t.* FROM tc t LEFT JOIN head_rows h ON t.doc_id = h.doc_id AND t.r = h.r WHERE h.r IS NULL),
+headers AS (
+  SELECT t.doc_id, list(t.text ORDER BY t.c) AS headers FROM tc t JOIN header_row h ON t.doc_id = h.doc_id AND t.r = h.r GROUP BY t.doc_id
+  UNION ALL
+  SELECT d.doc_id, list('col' || (d.c + 1) ORDER BY d.c) FROM data d
+  JOIN (SELECT doc_id, min(r) AS r FROM data GROUP BY doc_id) f ON d.doc_id = f.doc_id AND d.r = f.r
+  WHERE d.doc_id NOT IN (SELECT doc_id FROM header_row) GROUP BY d.doc_id),
+data_row AS (SELECT doc_id, r, list(text ORDER BY c) AS cells FROM data GROUP BY doc_id, r),
+struct_tab AS (
+  SELECT tab.doc_id, tab.page_num, tab.table_num, coalesce(h.headers, []) AS headers, coalesce(d.n, 0) AS n, d.rows
+  FROM tab LEFT JOIN headers h ON tab.doc_id = h.doc_id
+  LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(array_to_string(cells, ' ¦ '), chr(10) ORDER BY r) AS rows
+             FROM data_row GROUP BY doc_id) d ON tab.doc_id = d.doc_id),
+toon_lines AS (
+  SELECT d.doc_id, string_agg(array_to_string(list_transform(range(len(h.headers)),
+      lambda i: replace(coalesce(d.cells[i + 1], ''), ',', '\\,')), ', '), chr(10) ORDER BY d.r) AS body
+  FROM data_row d JOIN headers h ON d.doc_id = h.doc_id GROUP BY d.doc_id)"""
+
+
+def toon(table_no: str, page_no: str) -> str:
+    return f"""CASE WHEN s.n = 0 THEN 'TABLE ' || {table_no} || ' (Page ' || {page_no} || '): Empty table'
+      ELSE 'TABLE ' || {table_no} || ' (Page ' || {page_no} || ') [' || s.n || ']' || chr(10) || '{{' || array_to_string(s.headers, ', ')
+        || '}}' || chr(10) || tl.body END"""

@@ -1,8 +1,9 @@
 """Expected results by query name, as SQL over the given tables."""
 
-from billgrain.plans.oracle import validation, zones
+from billgrain.plans.oracle import pages, validation, zones
 
 SQL = {
     **validation.SQL,
     **zones.SQL,
+    **pages.SQL,
 }

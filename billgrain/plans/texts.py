@@ -80,7 +80,7 @@ def invoice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpora.table(spark, sf_dir, "documents")
+    return corpora.spread(corpora.table(spark, sf_dir, "documents"))
 
 
 # Box and confidence of line number i (from 0) of document k.
@@ -151,7 +151,7 @@ def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpora.table(spark, sf_dir, "pages")
+    return corpora.spread(corpora.table(spark, sf_dir, "pages"))
 
 
 # --- pages with regions -----------------------------------------------------------
@@ -194,6 +194,19 @@ def region_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def table_mode_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pages as a second extraction sees them: one table over the whole page."""
+    region = f"""CAST(array(named_struct('type', 'table', 'bbox', array(5D, 5D, 795D, 990D), 'res_kind', 'dict', 'html', html,
+      'text', CAST(NULL AS string), 'items', CAST(NULL AS array<struct<text:string,confidence:double,bbox:array<double>,pos:int>>))) AS array<{_TYPED}>)"""
+    return html_tables(spark, sf_dir).select(
+        "doc_id",
+        F.col("page_num").alias("page_number"),
+        F.lit(1000.0).alias("height"),
+        F.lit(800.0).alias("width"),
+        F.expr(region).alias("regions"),
+    )
+
+
 # --- model answers ----------------------------------------------------------------
 
 ANSWER = f"""
