@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from billgrain.functions import schema
 from billgrain.functions.text import SPACE, rstrip, strip
@@ -57,11 +58,21 @@ def parse_strict(text: Column) -> Column:
     return F.when(member.isNotNull() & (F.size(elements) == 1), F.get(elements, F.lit(0)))
 
 
-@F.pandas_udf("struct<status:string,json:string,position:int>")
-def repair(texts: pd.Series) -> pd.DataFrame:
+REPAIRED = T.StructType(
+    [
+        T.StructField("status", T.StringType()),
+        T.StructField("json", T.StringType()),
+        T.StructField("position", T.IntegerType()),
+    ]
+)
+
+
+def repair(text: Column) -> Column:
     """Close a cut-off JSON text at the decoder's error position, once.
 
-    NULL input (the rows that parse as they are) passes through untouched.
+    Gives a struct of status (parsed, repaired or failed), JSON and error position. NULL
+    input (the rows that parse as they are) passes through untouched. The functions are
+    local so that they travel to the executors by value.
     """
 
     def finite(value):
@@ -77,9 +88,7 @@ def repair(texts: pd.Series) -> pd.DataFrame:
     def load(text):
         return json.dumps(finite(json.loads(text)), ensure_ascii=False, allow_nan=False)
 
-    def one(text):
-        if text is None or text != text:
-            return None, None, None
+    def attempt(text):
         try:
             return "parsed", load(text), None
         except json.JSONDecodeError as error:
@@ -92,8 +101,12 @@ def repair(texts: pd.Series) -> pd.DataFrame:
             except json.JSONDecodeError:
                 return "failed", None, error.pos
 
-    rows = [one(t) for t in texts]
-    return pd.DataFrame(rows, columns=["status", "json", "position"]).astype({"position": "Int32"})
+    def decode(texts: pd.Series) -> pd.DataFrame:
+        rows = [(None, None, None) if t is None else attempt(t) for t in texts]
+        frame = pd.DataFrame(rows, columns=["status", "json", "position"])
+        return frame.astype({"position": "Int32"})
+
+    return F.pandas_udf(decode, REPAIRED)(text)
 
 
 # --- schema check -----------------------------------------------------------------

@@ -8,7 +8,7 @@ corpus is one aggregation with map-side combine.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from billgrain.functions.pin import pin
@@ -83,10 +83,7 @@ def order_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id and the invoice struct; NULL invoice where structuring failed."""
-    rows = order_amounts(spark, sf_dir)
-    built = """
+INVOICE_SQL = """
       named_struct(
         'metadata', named_struct(
           'invoice_number', concat('2025/', cast(k AS string)),
@@ -132,9 +129,18 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
             WHEN k % 43 = 0 THEN '{"multi_period_invoice":{"has_regularizations":true}}'
             WHEN k % 61 = 0 THEN '{"multi_period_invoice":null}'
             WHEN k % 67 = 0 THEN '{"multi_period_invoice":{"has_regularizations":""}}' END))
-    """
-    invoice = F.expr(f"CASE WHEN k % 97 <> 0 THEN {built} END").cast(INVOICE)
-    return pin(rows, invoice=invoice).select(F.col("k").alias("doc_id"), "invoice")
+"""
+
+
+def invoice_column() -> Column:
+    """The invoice struct over a row of order amounts; NULL where structuring failed."""
+    return F.expr(f"CASE WHEN k % 97 <> 0 THEN {INVOICE_SQL} END").cast(INVOICE)
+
+
+def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and the invoice struct of every order."""
+    rows = pin(order_amounts(spark, sf_dir), invoice=invoice_column())
+    return rows.select(F.col("k").alias("doc_id"), "invoice")
 
 
 # --- lines, one row per order line ------------------------------------------------
@@ -188,3 +194,16 @@ def line_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cast(st + CASE WHEN doc_id % 7 = 0 THEN 500 ELSE 0 END + CASE WHEN doc_id % 6 = 0 THEN 1 ELSE 0 END"
         " + CASE WHEN doc_id % 26 = 0 THEN 2 ELSE 0 END AS double) / 100 AS subtotal",
     )
+
+
+def line_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The printed row of every line: doc_id, line_no, text. Some documents print no totals."""
+    def amount(cents: str) -> str:
+        return f"concat(cast(({cents}) div 100 AS string), ',', lpad(cast(({cents}) % 100 AS string), 2, '0'))"
+
+    printed = f"CASE WHEN doc_id % 13 = 0 THEN '' ELSE concat({amount('net')}, ' ') END"
+    return lines(spark, sf_dir).selectExpr(
+        "doc_id", "line_no",
+        f"concat(description, ' ', cast(abs(qty) AS string), ',000 ', {amount('price')}, ' ', cast(disc AS string), ',00 ',"
+        f" {printed}, cast(tax AS string), ',0') AS text",
+    )

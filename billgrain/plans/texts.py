@@ -79,6 +79,12 @@ def invoice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("text", F.array_join("text_lines", "\n"))
 
 
+def invoices_with_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the invoice struct and the text it was read from."""
+    rows = pin(invoice_texts(spark, sf_dir), invoice=corpora.invoice_column())
+    return rows.select(F.col("k").alias("doc_id"), "invoice", "text")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpora.spread(corpora.table(spark, sf_dir, "documents"))
 
