@@ -57,9 +57,9 @@ head AS (
 """
 
 # Arithmetic and semantic checks, in that order.
-CHECKS = HEADS + """,
+CHECK_STEPS = """,
 sub AS (
-  SELECT *, n > 0 AND NOT isnan(abs(isum - subtotal)) AND abs(isum - subtotal) > 0.02 AS sub_bad FROM head),
+  SELECT *, n > 0 AND NOT isnan(abs(isum - subtotal)) AND abs(isum - subtotal) > 0.02 AS sub_bad FROM checked_head),
 sub2 AS (SELECT *, CASE WHEN sub_bad THEN isum ELSE subtotal END AS fixed FROM sub),
 calc AS (
   SELECT *,
@@ -99,6 +99,8 @@ texts AS (
   FROM ruled)
 """
 
+CHECKS = HEADS + ", checked_head AS (SELECT * FROM head)" + CHECK_STEPS
+
 NEGATIVE = """
 neg AS (
   SELECT k AS doc_id, i, o, field, code, descr, value FROM (
@@ -366,3 +368,101 @@ def toon(table_no: str, page_no: str) -> str:
     return f"""CASE WHEN s.n = 0 THEN 'TABLE ' || {table_no} || ' (Page ' || {page_no} || '): Empty table'
       ELSE 'TABLE ' || {table_no} || ' (Page ' || {page_no} || ') [' || s.n || ']' || chr(10) || '{{' || array_to_string(s.headers, ', ')
         || '}}' || chr(10) || tl.body END"""
+
+
+TOKEN = r"\p{Nd}+(?:[,.]\p{Nd}+)?"
+
+
+def tokens(name: str, source: str, text: str, order: str, keys: str = "doc_id") -> str:
+    """CTE ``name``: the numbers of each text line, in order."""
+    return f"""
+{name} AS (
+  SELECT {keys}, o, j, TRY_CAST(replace(tok, ',', '.') AS DOUBLE) AS v FROM (
+    SELECT {keys}, {order} AS o, unnest(a) AS tok, unnest(range(len(a))) AS j
+    FROM (SELECT *, regexp_extract_all({text}, '{TOKEN}') AS a FROM {source})))"""
+
+
+def repaired(name: str, items: str, tokens: str) -> str:
+    """CTE ``name``: items (doc_id, i, q, p, t as DOUBLE) with the better total, if any."""
+    return f"""
+{name}_best AS (
+  SELECT i.doc_id, i.i, first(v ORDER BY abs(v - q * p), o, j) AS better
+  FROM {items} i JOIN {tokens} x ON x.doc_id = i.doc_id AND v >= q * p * 0.5::DOUBLE AND v <= q * p * 1.05::DOUBLE
+  WHERE q > 0 AND p > 0 AND abs(t - q * p) / (q * p) > 0.5
+    AND abs(v - q) >= 0.00005 AND abs(v - p) >= 0.00005 AND abs(v - t) >= 0.00005
+  GROUP BY i.doc_id, i.i),
+{name} AS (
+  SELECT i.*, coalesce(better, t) AS fixed_t, better IS NOT NULL AS was_fixed
+  FROM {items} i LEFT JOIN {name}_best b ON i.doc_id = b.doc_id AND i.i = b.i)"""
+
+
+ITEM_D = """
+item_d AS (
+  SELECT k AS doc_id, i, descr, CAST(q AS DOUBLE) AS q, CAST(p AS DOUBLE) / 100 AS p, CAST(t AS DOUBLE) / 100 AS t FROM item)"""
+
+ANSWERS = HEADS + f""",
+answer_items AS (
+  SELECT k, CASE WHEN k % 5 = 0 THEN string_agg(one, ',' ORDER BY i) ELSE string_agg(one, ', ' ORDER BY i) END AS body
+  FROM (SELECT k, i, '{{"description":"Part ' || CASE WHEN k % 12 = 7 THEN '[' ELSE '' END || ((k * 31 + i) % 200) || '","quantity":' || q
+    || ',"unit_price":' || {amount('p', '.')} || ',"line_total":' || CASE WHEN t < 0 THEN '-' ELSE '' END || {amount('abs(t)', '.')} || '}}' AS one
+    FROM item) GROUP BY k),
+amounts_c AS (
+  SELECT *, CASE WHEN k % 31 = 0 THEN -abs(base) ELSE base + CASE WHEN k % 11 = 0 THEN 3000 ELSE 0 END
+    + CASE WHEN k % 12 = 0 THEN 5 ELSE 0 END + CASE WHEN k % 13 = 0 THEN 2 ELSE 0 END END AS total FROM based),
+answer AS (
+  SELECT b.k AS doc_id, 'model' || (b.k % 4) AS source, n, stated, total,
+    CASE WHEN b.k % 2 = 0 THEN '```json' || chr(10) ELSE '  ' END
+    || '{{"metadata":{{"invoice_number":"2025/' || b.k || '","issue_date":'
+    || CASE WHEN b.k % 10 = 0 THEN 'null' ELSE '"' || strftime(day, '%Y-%m-%d') || '"' END || '}},'
+    || CASE WHEN b.k % 3 = 0 THEN ' # número "de" control' || chr(10) ELSE '' END
+    || '"parties":{{"vendor":{{"name":"Supplier # ' || (b.k % 100) || '"'
+    || CASE WHEN b.k % 8 = 0 THEN '' ELSE ',"tax_id":"B12345678"' END || '}},"customer":'
+    || CASE WHEN b.k % 26 = 0 THEN 'null' WHEN b.k % 34 = 0 THEN '{{}}' ELSE '{{"name":"Receptor"}}' END || '}},'
+    || '"financial_details":{{"currency":' || CASE WHEN b.k % 11 = 0 THEN '"euro"' WHEN b.k % 15 = 0 THEN 'null' ELSE '"EUR"' END
+    || CASE WHEN b.k % 7 = 0 THEN '' ELSE ',"subtotal":' || CASE WHEN b.k % 9 = 1 THEN '"' ELSE '' END
+         || CASE WHEN stated < 0 THEN '-' ELSE '' END || {amount('abs(stated)', '.')} || CASE WHEN b.k % 9 = 1 THEN '"' ELSE '' END END
+    || ',"tax":{{"type":' || CASE WHEN b.k % 53 = 0 THEN '21' ELSE '"IVA"' END || ',"rate":21.0,"amount":'
+    || CASE WHEN tax < 0 THEN '-' ELSE '' END || {amount('abs(tax)', '.')} || '}},"total_amount":'
+    || CASE WHEN b.k % 59 = 0 THEN '"12,5"' ELSE CASE WHEN total < 0 THEN '-' ELSE '' END || {amount('abs(total)', '.')} END
+    || CASE WHEN b.k % 17 = 0 THEN ',"payment":{{"method":"BARTER"}}' ELSE ',"payment":{{"method":"CARD"}}' END || '}},"items":['
+    || coalesce(body, '')
+    || CASE WHEN b.k % 5 = 1 THEN '' WHEN b.k % 5 = 2 THEN ',{{"description":"cut' ELSE ']' END
+    || CASE WHEN b.k % 5 IN (1, 2) THEN '' ELSE CASE WHEN b.k % 6 = 0 THEN ',"origin":"ocr"' ELSE '' END || '}}' END
+    || CASE WHEN b.k % 31 = 3 THEN ' trailing' ELSE '' END
+    || CASE WHEN b.k % 4 = 0 THEN chr(10) || '```' WHEN b.k % 4 = 2 THEN '```' ELSE '  ' || chr(10) END AS raw
+  FROM amounts_c b LEFT JOIN answer_items a ON b.k = a.k),
+opened AS (
+  SELECT *, CASE WHEN s LIKE '```%' AND contains(s, chr(10)) THEN substr(s, instr(s, chr(10)) + 1) ELSE s END AS body
+  FROM (SELECT *, regexp_replace(raw, '^{WS}+|{WS}+$', '', 'g') AS s FROM answer)),
+fenced AS (
+  SELECT doc_id, source, n, stated, total, regexp_replace(CASE WHEN body LIKE '%```' AND contains(body, chr(10) || '```')
+      THEN regexp_extract(body, '(?s)^(.*)\n```', 1) ELSE body END, '^{WS}+|{WS}+$', '', 'g') AS unfenced FROM opened),
+comment_lines AS (
+  SELECT doc_id, unnest(a) AS line, unnest(range(len(a))) AS i FROM (SELECT doc_id, string_split(unfenced, chr(10)) AS a FROM fenced)),
+cleaned AS (
+  SELECT doc_id, string_agg(CASE WHEN contains(line, '#')
+      THEN regexp_replace(regexp_extract(line, '^((?:[^#"'']|"[^"]*"|''[^'']*'')*(?:["''].*)?)', 1), '{WS}+$', '') ELSE line END,
+    chr(10) ORDER BY i) AS text FROM comment_lines GROUP BY doc_id),
+parsed AS (
+  SELECT f.*, text, CASE WHEN json_valid(text) THEN 'parsed'
+      WHEN n > 0 AND (f.doc_id % 5 = 2 OR f.doc_id % 12 = 7) THEN 'failed' ELSE 'repaired' END AS parse
+  FROM fenced f JOIN cleaned c ON f.doc_id = c.doc_id),
+item_codes AS (
+  SELECT k, string_agg(code, ', ' ORDER BY i, o) AS codes, count(*) AS n_codes FROM (
+    SELECT k, i, 1 AS o, 'items[' || (i - 1) || '].quantity: negative' AS code FROM item WHERE q < 0
+    UNION ALL SELECT k, i, 2, 'items[' || (i - 1) || '].line_total: negative' FROM item WHERE t < 0) GROUP BY k),
+outcome AS (
+  SELECT p.*, len(list_filter(l, lambda x: x IS NOT NULL)) + coalesce(n_codes, 0) AS n_violations,
+    coalesce(array_to_string(list_append(l, codes), ', '), '') AS violations
+  FROM (SELECT *, [
+      CASE WHEN doc_id % 26 = 0 THEN 'parties.customer: type' WHEN doc_id % 34 = 0 THEN 'parties.customer.name: missing' END,
+      CASE WHEN doc_id % 11 = 0 THEN 'financial_details.currency: pattern' END,
+      CASE WHEN doc_id % 7 = 0 THEN 'financial_details.subtotal: missing' END,
+      CASE WHEN doc_id % 53 = 0 THEN 'financial_details.tax.type: type' END,
+      CASE WHEN doc_id % 59 = 0 THEN 'financial_details.total_amount: type' END,
+      CASE WHEN doc_id % 17 = 0 THEN 'financial_details.payment.method: enum' END] AS l FROM parsed) p
+  LEFT JOIN item_codes c ON c.k = p.doc_id),
+stat AS (
+  SELECT *, CASE WHEN parse = 'failed' THEN 'JSON parse error' WHEN n_violations > 0 THEN 'Validation error' ELSE 'success' END AS status
+  FROM outcome)
+"""
