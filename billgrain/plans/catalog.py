@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from billgrain.plans import page_queries, response_queries, validation_queries, zone_queries
+from billgrain.plans import page_queries, response_queries, reuse_queries, validation_queries, zone_queries
 
 QUERIES = {
     **validation_queries.QUERIES,
     **zone_queries.QUERIES,
     **page_queries.QUERIES,
     **response_queries.QUERIES,
+    **reuse_queries.QUERIES,
 }

@@ -47,20 +47,19 @@ ITEM_TOTALS = """
 """
 
 
-def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_items(orders: DataFrame) -> DataFrame:
     """k, c, day and the items in cents (array of i, q, p, t) of every order."""
-    orders = table(spark, sf_dir, "orders").select(
+    rows = orders.select(
         F.col("o_orderkey").alias("k"),
         F.col("o_custkey").alias("c"),
         F.col("o_orderdate").cast("date").alias("day"),
-    )
-    rows = spread(orders).withColumn("raw", F.expr(ITEM_CENTS))
+    ).withColumn("raw", F.expr(ITEM_CENTS))
     return pin(rows, it=F.expr(ITEM_TOTALS)).drop("raw")
 
 
-def order_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_amounts(orders: DataFrame) -> DataFrame:
     """The items plus all header amounts in cents. NULL means the part is absent."""
-    rows = pin(order_items(spark, sf_dir), st=F.expr("aggregate(it, 0L, (a, x) -> a + x.t)"))
+    rows = pin(order_items(orders), st=F.expr("aggregate(it, 0L, (a, x) -> a + x.t)"))
     return rows.selectExpr(
         "*",
         "st + CASE WHEN k % 7 = 0 THEN 500 ELSE 0 END + CASE WHEN k % 6 = 0 THEN 1 ELSE 0 END"
@@ -137,12 +136,20 @@ def invoice_column() -> Column:
     return F.expr(f"CASE WHEN k % 97 <> 0 THEN {INVOICE_SQL} END").cast(INVOICE)
 
 
-def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id and the invoice struct of every order."""
-    rows = pin(order_amounts(spark, sf_dir), invoice=invoice_column())
+def invoices_from(orders: DataFrame) -> DataFrame:
+    """doc_id and the invoice struct of every order; works on a stream as well."""
+    rows = pin(order_amounts(orders), invoice=invoice_column())
     return rows.select(F.col("k").alias("doc_id"), "invoice")
 
 
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"))
+
+
+def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return invoices_from(orders(spark, sf_dir))
+
+
 # --- lines, one row per order line ------------------------------------------------
 
 

@@ -75,7 +75,7 @@ concat(
 
 def invoice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k, the order columns, ``text_lines`` and the whole ``text`` of every order."""
-    rows = pin(corpora.order_amounts(spark, sf_dir), text_lines=F.expr(TEXT_LINES))
+    rows = pin(corpora.order_amounts(corpora.orders(spark, sf_dir)), text_lines=F.expr(TEXT_LINES))
     return rows.withColumn("text", F.array_join("text_lines", "\n"))
 
 
@@ -146,7 +146,7 @@ concat('<table border="1"><tr class="x"><!-- top -->',
 def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, page_num, table_num and the HTML of one table per order; some are empty."""
     return pin(
-        corpora.order_items(spark, sf_dir),
+        corpora.order_items(corpora.orders(spark, sf_dir)),
         html=F.expr(f"CASE WHEN k % 14 = 0 THEN '' WHEN k % 38 = 1 THEN '<p>sin  tabla</p>' ELSE {HTML} END"),
     ).select(
         F.col("k").alias("doc_id"),
@@ -243,6 +243,6 @@ concat(
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source and the raw answer text of every order."""
-    return pin(corpora.order_amounts(spark, sf_dir), raw=F.expr(ANSWER)).select(
+    return pin(corpora.order_amounts(corpora.orders(spark, sf_dir)), raw=F.expr(ANSWER)).select(
         F.col("k").alias("doc_id"), F.concat(F.lit("model"), (F.col("k") % 4).cast("string")).alias("source"), "raw"
     )
