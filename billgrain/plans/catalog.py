@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from billgrain.plans import page_queries, response_queries, reuse_queries, validation_queries, zone_queries
+from billgrain.plans import extract_queries, page_queries, response_queries, reuse_queries, validation_queries, zone_queries
 
 QUERIES = {
     **validation_queries.QUERIES,
@@ -10,4 +10,5 @@ QUERIES = {
     **page_queries.QUERIES,
     **response_queries.QUERIES,
     **reuse_queries.QUERIES,
+    **extract_queries.QUERIES,
 }

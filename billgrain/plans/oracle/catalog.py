@@ -1,10 +1,11 @@
 """Expected results by query name, as SQL over the given tables."""
 
-from billgrain.plans.oracle import pages, responses, validation, zones
+from billgrain.plans.oracle import misc, pages, responses, validation, zones
 
 SQL = {
     **validation.SQL,
     **zones.SQL,
     **pages.SQL,
     **responses.SQL,
+    **misc.SQL,
 }

@@ -112,7 +112,8 @@ def stream_ttl_dedup(spark, sf_dir):
 
 
 def stream_dedup(spark, sf_dir):
-    return jobs.result(jobs.without_repeats(_arrivals(jobs.files(spark, sf_dir, "events.parquet"))))
+    stream = jobs.without_repeats(_arrivals(jobs.files(spark, sf_dir, "events.parquet")))
+    return jobs.result(stream).select("hash")
 
 
 def stream_validate(spark, sf_dir):
@@ -135,7 +136,7 @@ def stream_arrival_counts(spark, sf_dir):
     flagged = jobs.with_reuse(_arrivals(jobs.files(spark, sf_dir, "events.parquet")))
     rows = jobs.run_to_end(flagged)
     again = spark.readStream.schema(flagged.schema).parquet(rows)
-    return jobs.result(jobs.hourly_counts(again))
+    return jobs.result(jobs.hourly_counts(again)).withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH:mm"))
 
 
 QUERIES = {
