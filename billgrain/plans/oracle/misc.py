@@ -19,7 +19,7 @@ _NOW = "TIMESTAMP '2024-01-02 12:00:00'"
 
 _TTL = """
 a AS (SELECT user_id || event_type AS hash, ts, event_id FROM events),
-nxt AS (
+nxt AS MATERIALIZED (
   SELECT a.hash, a.event_id, b.event_id AS next_id FROM a ASOF LEFT JOIN a b ON a.hash = b.hash AND a.ts + INTERVAL 24 HOUR <= b.ts),
 chain AS (
   SELECT hash, arg_min(event_id, (ts, event_id)) AS event_id FROM a GROUP BY hash

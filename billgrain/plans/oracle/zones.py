@@ -1,6 +1,6 @@
 """Expected results of the OCR item queries."""
 
-from billgrain.plans.oracle.base import NW, OCR, SIGNALS, with_ctes, zoned
+from billgrain.plans.oracle.base import NW, OCR, SIGNALS, TEXTS, with_ctes, zoned
 
 _SECTIONS = """
 sections AS (
@@ -46,4 +46,11 @@ kept AS (
         select="""
       SELECT pg.src, pg.k AS doc_id, coalesce(kept.text, '') AS text
       FROM pg LEFT JOIN kept ON pg.src = kept.src AND pg.k = kept.doc_id"""),
+    "ocr_item_normalise": with_ctes(TEXTS, select="""
+      SELECT doc_id, CAST(i AS INT) AS pos, line AS text,
+        CASE (doc_id + i) % 8 WHEN 0 THEN 0.9 WHEN 1 THEN 0.5 WHEN 3 THEN 0.75 ELSE 0 END::DOUBLE AS confidence,
+        CASE (doc_id + i) % 8 WHEN 0 THEN '1.0 2.0 3.0 4.0 5.0 6.0 7.0 ' || i || '.0' WHEN 1 THEN '1.5 2.0 3.0 ' || i || '.0'
+          WHEN 2 THEN '0.0 0.0 0.0 0.0 0.0 0.0 0.0 0.0' WHEN 3 THEN '1.0 2.0 3.0 4.0 5.0 6.0 7.0 8.0'
+          WHEN 4 THEN '1.0 2.0 3.0 4.0' ELSE '9.0 9.0 9.0' END AS bbox
+      FROM text_line WHERE (doc_id + i) % 8 NOT IN (5, 6)"""),
 }

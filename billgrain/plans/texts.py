@@ -125,6 +125,25 @@ def ocr_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+RAW_ITEMS = """
+concat('[', array_join(transform(text_lines, (t, i) ->
+  CASE cast((k + i) % 8 AS int)
+    WHEN 0 THEN concat('{"text":"', t, '","confidence":0.9,"text_region":[[1,2],[3,4],[5,6],[7,', cast(i AS string), ']]}')
+    WHEN 1 THEN concat('{"text":"', t, '","confidence":0.5,"bbox":[1.5,2,3,', cast(i AS string), ']}')
+    WHEN 2 THEN concat('{"text":"', t, '"}')
+    WHEN 3 THEN concat('[[[1,2],[3,4],[5,6],[7,8]],["', t, '",0.75]]')
+    WHEN 4 THEN concat('[[1,2,3,4],"', t, '"]')
+    WHEN 5 THEN concat('{"text":"  ","bbox":[1,2,3,4]}')
+    WHEN 6 THEN '["only one"]'
+    ELSE concat('{"text":"', t, '","text_region":[],"bbox":[9,9,9]}') END), ','), ']')
+"""
+
+
+def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OCR items as JSON text in all the shapes they come in."""
+    return invoice_texts(spark, sf_dir).select(F.col("k").alias("doc_id"), F.expr(RAW_ITEMS).alias("raw"))
+
+
 # --- HTML -------------------------------------------------------------------------
 
 HTML = f"""

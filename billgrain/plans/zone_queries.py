@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from billgrain.functions import ocr_input
 from billgrain.operators import zones
 from billgrain.plans import texts
 
@@ -44,10 +45,19 @@ def confident_text(spark, sf_dir):
     return zones.confident_text(texts.ocr_pages(spark, sf_dir))
 
 
+def ocr_item_normalise(spark, sf_dir):
+    raw = texts.raw_items(spark, sf_dir)
+    shaped = ocr_input.items(F.try_parse_json("raw"))
+    box = F.array_join(F.transform("i.bbox", lambda n: n.cast("string")), " ")
+    return raw.select("doc_id", F.explode(shaped).alias("i")).select(
+        "doc_id", "i.pos", "i.text", "i.confidence", box.alias("bbox")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         zone_signals, item_geometry, zone_classify, reading_order, zone_text,
-        zone_distribution, party_by_zone, confident_text,
+        zone_distribution, party_by_zone, confident_text, ocr_item_normalise,
     )
 }
