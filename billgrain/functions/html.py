@@ -53,7 +53,10 @@ def unescape(text: Column) -> Column:
             F.length(F.ltrim(hexadecimal, F.lit("0"))) <= 8, F.conv(hexadecimal, 16, 10)
         ).cast("bigint")
         return (
+            # the three most frequent ones without any pattern
             F.when(F.startswith(piece, F.lit("amp;")), F.concat(F.lit("&"), F.substr(piece, F.lit(5))))
+            .when(F.startswith(piece, F.lit("lt;")), F.concat(F.lit("<"), F.substr(piece, F.lit(4))))
+            .when(F.startswith(piece, F.lit("gt;")), F.concat(F.lit(">"), F.substr(piece, F.lit(4))))
             .when(
                 decimal != "",
                 F.concat(

@@ -7,6 +7,8 @@ not, so the classes are spelled out.
 from __future__ import annotations
 
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,17 +39,14 @@ def collapse_spaces(text: Column) -> Column:
     return strip(F.regexp_replace(text, f"{SPACE}+", " "))
 
 
-def words(text: Column) -> Column:
-    """Split on runs of white space, without empty words at the ends."""
-    return F.split(strip(text), f"{SPACE}+")
+def contains_any(text: Column, needles: tuple[str, ...]) -> Column:
+    """True if any needle occurs as a plain substring; one pass over the text."""
+    return text.rlike("|".join(re.escape(n) for n in needles))
 
 
-def contains_any(text: Column, needles: tuple[str, ...]) -> Column:
-    """True if any needle occurs as a plain substring."""
-    found = text.contains(needles[0])
-    for needle in needles[1:]:
-        found = found | text.contains(needle)
-    return found
+def has_word(text: Column, wanted: tuple[str, ...]) -> Column:
+    """True if any part between white space is one of the words."""
+    return text.rlike(rf"(?:\A|{SPACE})(?:{'|'.join(map(re.escape, wanted))})(?:{SPACE}|\z)")
 
 
 def missing(text: Column) -> Column:

@@ -17,9 +17,9 @@ from billgrain.functions.text import (
     WORD_END,
     WORD_START,
     contains_any,
+    has_word,
     is_blank,
     strip,
-    words,
 )
 
 # Word lists of the classification rules.
@@ -45,6 +45,7 @@ CUSTOMER_Y_SHARE = 0.35
 PRICE_MAX_CHARS = 20
 PRICE_WORD_MAX_CHARS = 30
 POSTAL_MIN_CHARS = 15
+IBAN_MIN_CHARS = 20  # two letters, two digits, sixteen digits
 
 # Patterns only have to answer "does it occur", so optional tails are left out.
 EMAIL = rf"[\p{{L}}\p{{N}}_.+-]@[\p{{L}}\p{{N}}_.-]+\.{W}"
@@ -57,48 +58,52 @@ PURE_NUMBER = rf"\A{S}*[\p{{Nd}}.,]+{S}*[€$£%]?{S}*\z"
 POSTAL_CODE = rf"{WORD_START}{D}{{5}}{WORD_END}"
 
 
-def has_vendor_contact(text: Column) -> Column:
-    lowered = F.lower(text)
-    phone = text.rlike(PHONE) & contains_any(lowered, ("tel", "tfno"))
-    return text.rlike(EMAIL) | text.rlike(IBAN) | text.rlike(WEBSITE) | phone
+def has_vendor_contact(text: Column, lowered: Column | None = None) -> Column:
+    """The substring tests come first: they are cheap and rule out most lines."""
+    low = F.lower(text) if lowered is None else lowered
+    return (
+        (text.contains("@") & text.rlike(EMAIL))
+        | (low.contains("www.") & text.rlike(WEBSITE))
+        | (contains_any(low, ("tel", "tfno")) & text.rlike(PHONE))
+        | ((F.length(text) >= IBAN_MIN_CHARS) & text.rlike(IBAN))
+    )
 
 
-def is_numeric_price(text: Column) -> Column:
+def is_numeric_price(text: Column, lowered: Column | None = None, stripped: Column | None = None) -> Column:
     """Stripped text is a number, a short amount, or holds a price word of its own."""
-    t = strip(text)
-    price_word = F.arrays_overlap(
-        words(F.lower(t)), F.array(*[F.lit(w) for w in PRICE_WORDS])
-    )
+    t = strip(text) if stripped is None else stripped
+    low = F.lower(text) if lowered is None else lowered
     size = F.length(t)
     return (size > 0) & (
-        t.rlike(PURE_NUMBER)
-        | ((size < PRICE_MAX_CHARS) & t.rlike(CURRENCY))
-        | ((size < PRICE_WORD_MAX_CHARS) & price_word)
+        ((size < PRICE_MAX_CHARS) & t.rlike(CURRENCY))
+        | ((size < PRICE_WORD_MAX_CHARS) & has_word(low, PRICE_WORDS))
+        | t.rlike(PURE_NUMBER)
     )
 
 
-def has_address(text: Column) -> Column:
+def has_address(text: Column, lowered: Column | None = None) -> Column:
     """The length rule looks at the text as it is, not stripped."""
-    return contains_any(F.lower(text), ADDRESS_PHRASES) | (
+    low = F.lower(text) if lowered is None else lowered
+    return contains_any(low, ADDRESS_PHRASES) | (
         (F.length(text) > POSTAL_MIN_CHARS) & text.rlike(POSTAL_CODE)
     )
 
 
-def has_customer_phrase(text: Column) -> Column:
-    return contains_any(F.lower(text), CUSTOMER_PHRASES)
+def has_customer_phrase(text: Column, lowered: Column | None = None) -> Column:
+    return contains_any(F.lower(text) if lowered is None else lowered, CUSTOMER_PHRASES)
 
 
 def has_tax_id(text: Column) -> Column:
     return text.rlike(TAX_ID)
 
 
-def signals(text: Column) -> Column:
+def signals(text: Column, lowered: Column | None = None, stripped: Column | None = None) -> Column:
     """The five signals as one struct."""
     return F.struct(
-        has_vendor_contact(text).alias("has_vendor_contact"),
-        is_numeric_price(text).alias("is_numeric_price"),
-        has_address(text).alias("has_address"),
-        has_customer_phrase(text).alias("has_customer_keyword"),
+        has_vendor_contact(text, lowered).alias("has_vendor_contact"),
+        is_numeric_price(text, lowered, stripped).alias("is_numeric_price"),
+        has_address(text, lowered).alias("has_address"),
+        has_customer_phrase(text, lowered).alias("has_customer_keyword"),
         has_tax_id(text).alias("has_tax_id"),
     )
 
@@ -139,17 +144,14 @@ def zone(
     height: Column,
     width: Column,
     region_type: Column | None = None,
-    signal: Column | None = None,
+    lowered: Column | None = None,
+    stripped: Column | None = None,
 ) -> Column:
     """Content first, then the region's own type, then the position on the page.
 
-    ``signal`` is the struct of :func:`signals` when it is already at hand.
+    ``lowered`` and ``stripped`` are those forms of the text, if they are already at hand.
     ``CASE WHEN`` is lazy, so later patterns run only where earlier ones missed.
     """
-
-    def sig(name: str, rule) -> Column:
-        return signal[name] if signal is not None else rule(text)
-
     header_y, footer_y = height * HEADER_SHARE, height * FOOTER_SHARE
     region = F.lower(region_type) if region_type is not None else F.lit(None).cast("string")
     right_upper = (
@@ -157,14 +159,11 @@ def zone(
         & (y < height * CUSTOMER_Y_SHARE)
         & (y > header_y * 0.5)
     )
-    looks_like_customer = sig("has_address", has_address) | sig("has_tax_id", has_tax_id)
+    looks_like_customer = has_address(text, lowered) | has_tax_id(text)
     return (
-        F.when(sig("is_numeric_price", is_numeric_price), "CONTENT")
-        .when(
-            sig("has_vendor_contact", has_vendor_contact),
-            F.when(y > footer_y, "FOOTER").otherwise("HEADER"),
-        )
-        .when(sig("has_customer_keyword", has_customer_phrase), "CUSTOMER")
+        F.when(is_numeric_price(text, lowered, stripped), "CONTENT")
+        .when(has_vendor_contact(text, lowered), F.when(y > footer_y, "FOOTER").otherwise("HEADER"))
+        .when(has_customer_phrase(text, lowered), "CUSTOMER")
         .when(region == "header", "HEADER")
         .when(region == "footer", "FOOTER")
         .when(region == "table", "CONTENT")
@@ -185,10 +184,19 @@ def zoned_items(
     """
 
     def classify(item: Column) -> Column:
-        return let(geometry(item["bbox"], height, width), lambda geo: placed_item(item, geo))
+        forms = F.struct(
+            geometry(item["bbox"], height, width).alias("geo"),
+            F.lower(item["text"]).alias("low"),
+            strip(item["text"]).alias("stripped"),
+        )
+        return let(forms, lambda f: placed_item(item, f))
 
-    def placed_item(item: Column, geo: Column) -> Column:
-        placed = zone(item["text"], geo["x_center"], geo["y_center"], height, width, region_type)
+    def placed_item(item: Column, forms: Column) -> Column:
+        geo = forms["geo"]
+        placed = zone(
+            item["text"], geo["x_center"], geo["y_center"], height, width, region_type,
+            forms["low"], forms["stripped"],
+        )
         return F.struct(
             geo["y_center"].alias("y_center"),
             geo["x_center"].alias("x_center"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from billgrain.functions import repairs, rules
 from billgrain.functions.pin import pin
+from billgrain.session import cut_lineage
 
 # Own quantity, price and total each rule out numbers of at most two neighbouring
 # four-decimal classes, so the closest allowed number is among the next seven classes.
@@ -44,19 +45,70 @@ def _slice(number: Column) -> Column:
     return F.floor(F.log2(F.greatest(number, F.lit(1)).cast("double")) * SLICES_PER_DOUBLING)
 
 
-def repaired_lines(lines: DataFrame, numbers: DataFrame) -> DataFrame:
-    """Flat layout: the same repair with lines and printed numbers in separate tables.
+def repaired_lines(
+    lines: DataFrame, texts: DataFrame, many_lines: int = 2_000, many_chars: int = 40_000
+) -> DataFrame:
+    """Flat layout: the same repair with lines and printed text in separate tables.
 
-    Pairing every line with every number of its document would grow with the square of
-    the document. Instead the distinct numbers of a document are ranked, and a line meets
-    only the few ranks around quantity x price. Ranks are built slice by slice (slices
-    of the number scale, with the counts of lower slices added), so that even one
-    document with most of the data is ranked by many tasks.
+    ``texts`` holds the text lines (doc_id, line_order, text). In a document of usual
+    size each doubtful line meets the numbers of its document. Documents with very many
+    lines or very long text take :func:`_best_by_rank`, which never pairs them all.
     """
-    wrong = lines.filter(
+    long = texts.groupBy("doc_id").agg(F.sum(F.length("text")).alias("n")).filter(F.col("n") > many_chars)
+    crowded = lines.groupBy("doc_id").count().filter(F.col("count") > many_lines)
+    huge = cut_lineage(long.select("doc_id").union(crowded.select("doc_id")).distinct())
+    doubtful = lines.filter(
         repairs.is_implausible(F.col("quantity"), F.col("unit_price"), F.col("line_total"))
     ).withColumn("expected", F.col("quantity") * F.col("unit_price"))
+    numbers = tokens(texts, F.col("line_order"), "doc_id")
+    if huge.isEmpty():
+        best = _best_of_pairs(doubtful, numbers)
+    else:
+        usual = _best_of_pairs(
+            doubtful.join(huge, "doc_id", "left_anti"), numbers.join(huge, "doc_id", "left_anti")
+        )
+        best = usual.unionByName(
+            _best_by_rank(doubtful.join(huge, "doc_id", "left_semi"), numbers.join(huge, "doc_id", "left_semi"))
+        )
+    return lines.join(best, ["doc_id", "line_no"], "left").select(
+        "doc_id",
+        "line_no",
+        F.left("description", F.lit(40)).alias("label"),
+        F.col("line_total").alias("printed"),
+        F.coalesce("better", "line_total").alias("line_total"),
+        F.col("better").isNotNull().alias("repaired"),
+    )
+
+
+def _allowed(value: Column, item: str = "") -> Column:
+    """In the window around quantity x price, and none of the line's own numbers."""
+    condition = repairs.in_window(value, F.col(f"{item}expected"))
+    for name in ("quantity", "unit_price", "line_total"):
+        own = F.coalesce(repairs.same_amount(value, F.col(f"{item}{name}")), F.lit(False))
+        condition = condition & ~own
+    return condition
+
+
+def _closest(value: Column, expected: Column, *place: str) -> Column:
+    """The value nearest to the expected one, first in the text on a tie."""
+    order = F.struct(F.abs(value - expected).alias("d"), F.struct(*place).alias("p"), value.alias("v"))
+    return F.min(order)["v"].alias("better")
+
 
+def _best_of_pairs(doubtful: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Equi-join on the document with the window as an extra condition."""
+    places = numbers.select(F.col("doc_id").alias("n_doc"), "line_order", "idx", "value")
+    value = F.col("value")
+    pairs = doubtful.join(places, (F.col("doc_id") == F.col("n_doc")) & _allowed(value))
+    return pairs.groupBy("doc_id", "line_no").agg(_closest(value, F.col("expected"), "line_order", "idx"))
+
+
+def _best_by_rank(doubtful: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Each line meets only the few ranks of its document's numbers around quantity x price.
+
+    Ranks are built slice by slice (slices of the number scale, with the counts of lower
+    slices added), so even one document with most of the data is ranked by many tasks.
+    """
     distinct = numbers.groupBy("doc_id", "value").agg(F.min(F.struct("line_order", "idx")).alias("pos"))
     classes = (
         distinct.groupBy("doc_id", _class(F.col("value")).alias("cls"))
@@ -65,17 +117,18 @@ def repaired_lines(lines: DataFrame, numbers: DataFrame) -> DataFrame:
         .withColumn("slice", _slice(F.col("cls")))
     )
     item = F.struct("line_no", "expected", "quantity", "unit_price", "line_total")
-    seekers = wrong.select(
+    seekers = doubtful.select(
         "doc_id", _class(F.col("expected")).alias("cls"), item.alias("item")
     ).withColumn("slice", _slice(F.col("cls")))
-    everyone = classes.select(
-        "doc_id", "slice", "cls", "members", F.lit(None).cast(seekers.schema["item"].dataType).alias("item")
-    ).unionByName(
-        seekers.select(
-            "doc_id", "slice", "cls", F.lit(None).cast(classes.schema["members"].dataType).alias("members"), "item"
+    no_item = F.lit(None).cast(seekers.schema["item"].dataType).alias("item")
+    no_members = F.lit(None).cast(classes.schema["members"].dataType).alias("members")
+    everyone = cut_lineage(
+        classes.select("doc_id", "slice", "cls", "members", no_item).unionByName(
+            seekers.select("doc_id", "slice", "cls", no_members, "item")
         )
     )
     is_class = F.col("members").isNotNull().cast("int")
+    # one row per slice of the number scale, so this window stays short for any document
     before = Window.partitionBy("doc_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         everyone.groupBy("doc_id", "slice").agg(F.sum(is_class).alias("n"))
@@ -89,7 +142,6 @@ def repaired_lines(lines: DataFrame, numbers: DataFrame) -> DataFrame:
     )
     ranked = everyone.withColumn("local", F.sum(is_class).over(within)).join(offsets, ["doc_id", "slice"])
     ranked = ranked.withColumn("rank", F.col("local") + F.col("offset"))
-
     wanted = ranked.filter("item IS NOT NULL").select(
         "doc_id",
         "item",
@@ -97,27 +149,11 @@ def repaired_lines(lines: DataFrame, numbers: DataFrame) -> DataFrame:
     )
     offered = ranked.filter("members IS NOT NULL").select("doc_id", "rank", F.explode("members").alias("c"))
     value = F.col("c.value")
-    own = [F.col(f"item.{n}") for n in ("quantity", "unit_price", "line_total")]
-    allowed = repairs.in_window(value, F.col("item.expected"))
-    for number in own:
-        allowed = allowed & ~F.coalesce(repairs.same_amount(value, number), F.lit(False))
-    best = (
+    return (
         wanted.join(offered, ["doc_id", "rank"])
-        .filter(allowed)
+        .filter(_allowed(value, "item."))
         .groupBy("doc_id", F.col("item.line_no").alias("line_no"))
-        .agg(
-            F.min(
-                F.struct(F.abs(value - F.col("item.expected")).alias("d"), F.col("c.pos").alias("p"), value.alias("v"))
-            )["v"].alias("better")
-        )
-    )
-    return lines.join(best, ["doc_id", "line_no"], "left").select(
-        "doc_id",
-        "line_no",
-        F.left("description", F.lit(40)).alias("label"),
-        F.col("line_total").alias("printed"),
-        F.coalesce("better", "line_total").alias("line_total"),
-        F.col("better").isNotNull().alias("repaired"),
+        .agg(_closest(value, F.col("item.expected"), "c.pos.line_order", "c.pos.idx"))
     )
 
 

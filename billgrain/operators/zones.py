@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 
 from billgrain.functions import zones
 from billgrain.functions.pin import pin
-from billgrain.functions.text import is_blank
+from billgrain.functions.text import is_blank, strip
 
 TAX_ID_TEXT = r"(?iu)(?<![\p{L}\p{N}_])([A-Z]-?\p{Nd}{7,8}-?[A-Z0-9]?)(?![\p{L}\p{N}_])"
 
 
+def _with_forms(items: DataFrame) -> DataFrame:
+    """The lower-case and stripped text, computed once for all patterns."""
+    return items.withColumn("_low", F.lower("text")).withColumn("_stripped", strip(F.col("text")))
+
+
 def with_signals(items: DataFrame) -> DataFrame:
     """Add the five content signals of every item."""
-    return pin(items, signals=zones.signals(F.col("text")))
+    return pin(_with_forms(items), signals=zones.signals(F.col("text"), F.col("_low"), F.col("_stripped"))).drop("_low", "_stripped")
 
 
 def with_geometry(items: DataFrame) -> DataFrame:
@@ -23,12 +28,12 @@ def with_geometry(items: DataFrame) -> DataFrame:
 
 def classified(items: DataFrame, region_type: Column | None = None) -> DataFrame:
     """Add geometry and zone to every non-blank item. A malformed box means CONTENT."""
-    placed = with_geometry(items.filter(~is_blank(F.col("text"))))
+    placed = _with_forms(with_geometry(items.filter(~is_blank(F.col("text")))))
     zone = zones.zone(
         F.col("text"), F.col("geo.x_center"), F.col("geo.y_center"),
-        F.col("height"), F.col("width"), region_type,
+        F.col("height"), F.col("width"), region_type, F.col("_low"), F.col("_stripped"),
     )
-    return pin(placed, zone=F.when(F.col("geo.valid"), zone).otherwise("CONTENT"))
+    return pin(placed, zone=F.when(F.col("geo.valid"), zone).otherwise("CONTENT")).drop("_low", "_stripped")
 
 
 def in_reading_order(pages: DataFrame) -> DataFrame:

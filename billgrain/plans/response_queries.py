@@ -87,8 +87,8 @@ def number_tokens(spark, sf_dir):
 
 
 def line_total_fix(spark, sf_dir):
-    numbers = corrections.tokens(corpora.line_texts(spark, sf_dir), F.col("line_no"), "doc_id")
-    return corrections.repaired_lines(corpora.line_records(spark, sf_dir), numbers)
+    printed = corpora.line_texts(spark, sf_dir).withColumnRenamed("line_no", "line_order")
+    return corrections.repaired_lines(corpora.line_records(spark, sf_dir), printed)
 
 
 def invoice_assemble(spark, sf_dir):

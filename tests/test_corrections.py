@@ -40,12 +40,12 @@ def nested(spark, docs):
     return [r[1] for r in sorted(df.select("doc_id", fixed).collect())]
 
 
-def flat(spark, docs):
+def flat(spark, docs, **limits):
     lines = [(i, j, f"d{j}", *x) for i, (items, _) in enumerate(docs) for j, x in enumerate(items)]
     texts = [(i, n, line) for i, (_, text) in enumerate(docs) for n, line in enumerate(text.split("\n"))]
     lines = spark.createDataFrame(lines, "doc_id int, line_no int, description string, quantity double, unit_price double, line_total double")
-    texts = spark.createDataFrame(texts, "doc_id int, n int, text string")
-    fixed = corrections.repaired_lines(lines, corrections.tokens(texts, F.col("n"), "doc_id"))
+    texts = spark.createDataFrame(texts, "doc_id int, line_order int, text string")
+    fixed = corrections.repaired_lines(lines, texts, **limits)
     found = {(r.doc_id, r.line_no): r.line_total for r in fixed.collect()}
     return [[found[(i, j)] for j in range(len(items))] for i, (items, _) in enumerate(docs)]
 
@@ -69,6 +69,8 @@ def test_both_layouts_like_brute_force(spark):
     expected = [brute_force(items, numbers_of(text)) for items, text in docs]
     assert nested(spark, docs) == expected
     assert flat(spark, docs) == expected
+    assert flat(spark, docs, many_lines=3, many_chars=60) == expected
+    assert flat(spark, docs, many_lines=0, many_chars=0) == expected
 
 
 def test_one_document_with_nearly_all_rows(spark):
@@ -104,6 +106,7 @@ def test_worked_example(spark):
 def test_limits(spark, item, text, expected):
     assert nested(spark, [([item], text)]) == [[expected]]
     assert flat(spark, [([item], text)]) == [[expected]]
+    assert flat(spark, [([item], text)], many_lines=0) == [[expected]]
 
 
 def test_assembly_in_parts(spark):
