@@ -237,6 +237,11 @@ def toon(table: Column, table_no: Column, page_no: Column) -> Column:
     return let(table, body)
 
 
+def toon_fallback(html: Column, table_no: Column, page_no: Column) -> Column:
+    """The table's bare text under its title."""
+    return F.format_string("TABLE %s (Page %s): %s", table_no, page_no, strip_tags(html))
+
+
 # Header words that tell the table kinds apart.
 EXPENSE_HEADERS = (
     "HONORARIOS", "SUPLIDOS", "PROVISIONES", "PROV.FONDOS",
@@ -264,7 +269,8 @@ HINTS = {
 
 def table_type(headers: Column) -> Column:
     def matching(wanted: tuple[str, ...]) -> Column:
-        return F.size(F.filter(headers, lambda h: contains_any(F.upper(h), wanted)))
+        upper = F.transform(headers, lambda h: F.upper(h))
+        return F.size(F.filter(upper, lambda h: contains_any(h, wanted)))
 
     return (
         F.when(matching(EXPENSE_HEADERS) >= 2, "expense_category_table")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from billgrain.functions import schema
+from billgrain.functions.pin import let
 from billgrain.functions.text import SPACE, rstrip, strip
 
 FENCE = "```"
@@ -176,17 +177,19 @@ def _check(value: Column, path: Column, spec: dict) -> Column:
         return F.when(elements.isNull(), F.array(_code(path, "type"))).otherwise(
             F.coalesce(checked, none)
         )
-    found = []
-    for name, field in spec["fields"].items():
-        inner = F.try_variant_get(value, f"$.{name}", "variant")
+    absent = F.array(F.lit(None).cast("string"))
+
+    def check_field(name: str, field: dict) -> Column:
         inner_path = F.concat_ws(".", F.nullif(path, F.lit("")), F.lit(name))
-        absent = F.array(F.lit(None).cast("string"))
-        if field["required"]:
-            absent = F.array(_code(inner_path, "missing"))
-            found.append(F.when(inner.isNull(), absent).otherwise(_check(inner, inner_path, field)))
-        else:
-            skip = inner.isNull() | F.is_variant_null(inner)
-            found.append(F.when(skip, absent).otherwise(_check(inner, inner_path, field)))
+
+        def present(inner: Column) -> Column:
+            skip = inner.isNull() if field["required"] else inner.isNull() | F.is_variant_null(inner)
+            when_absent = F.array(_code(inner_path, "missing")) if field["required"] else absent
+            return F.when(skip, when_absent).otherwise(_check(inner, inner_path, field))
+
+        return let(F.try_variant_get(value, f"$.{name}", "variant"), present)
+
+    found = [check_field(name, field) for name, field in spec["fields"].items()]
     return F.when(~_is_map(value), F.array(_code(path, "type"))).otherwise(F.concat(*found))
 
 

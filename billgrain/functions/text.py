@@ -40,8 +40,15 @@ def collapse_spaces(text: Column) -> Column:
 
 
 def contains_any(text: Column, needles: tuple[str, ...]) -> Column:
-    """True if any needle occurs as a plain substring; one pass over the text."""
-    return text.rlike("|".join(re.escape(n) for n in needles))
+    """True if any needle occurs as a plain substring.
+
+    A chain of byte searches is several times faster than one alternation pattern, as
+    long as ``text`` is a plain column and not computed again for each needle.
+    """
+    found = text.contains(needles[0])
+    for needle in needles[1:]:
+        found = found | text.contains(needle)
+    return found
 
 
 def has_word(text: Column, wanted: tuple[str, ...]) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from billgrain.functions import repairs, rules
 from billgrain.functions.pin import pin
-from billgrain.session import cut_lineage
+from billgrain.session import counted_keys, cut_lineage
 
 # Own quantity, price and total each rule out numbers of at most two neighbouring
 # four-decimal classes, so the closest allowed number is among the next seven classes.
@@ -56,12 +56,12 @@ def repaired_lines(
     """
     long = texts.groupBy("doc_id").agg(F.sum(F.length("text")).alias("n")).filter(F.col("n") > many_chars)
     crowded = lines.groupBy("doc_id").count().filter(F.col("count") > many_lines)
-    huge = cut_lineage(long.select("doc_id").union(crowded.select("doc_id")).distinct())
+    n_huge, huge = counted_keys(long.select("doc_id").union(crowded.select("doc_id")).distinct())
     doubtful = lines.filter(
         repairs.is_implausible(F.col("quantity"), F.col("unit_price"), F.col("line_total"))
     ).withColumn("expected", F.col("quantity") * F.col("unit_price"))
     numbers = tokens(texts, F.col("line_order"), "doc_id")
-    if huge.isEmpty():
+    if n_huge == 0:
         best = _best_of_pairs(doubtful, numbers)
     else:
         usual = _best_of_pairs(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from billgrain.session import cut_lineage
+from billgrain.session import counted_keys, cut_lineage
 
 TTL_HOURS = 24
 HOT_KEY = 10_000
@@ -85,9 +85,10 @@ def with_reuse(arrivals: DataFrame, ttl_hours: int = TTL_HOURS, hot: int = HOT_K
     """
     seconds = ttl_hours * 3600
     timed = arrivals.withColumn("_t", F.unix_micros("ts"))
-    hot_keys = timed.groupBy("hash").count().filter(F.col("count") > hot).select("hash")
-    hot_keys = cut_lineage(hot_keys)
-    if hot_keys.isEmpty():
+    n_hot, hot_keys = counted_keys(
+        timed.groupBy("hash").count().filter(F.col("count") > hot).select("hash")
+    )
+    if n_hot == 0:
         return _folded(timed, seconds).drop("_t")
     usual = timed.join(hot_keys, "hash", "left_anti")
     crowded = timed.join(hot_keys, "hash", "left_semi")

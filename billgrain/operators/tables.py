@@ -29,10 +29,11 @@ def with_structure(df: DataFrame) -> DataFrame:
 
 
 def compact(df: DataFrame) -> DataFrame:
+    """Compact notation of each table; bare text where no structure could be built."""
     table = with_structure(df)
-    return table.select(
-        "doc_id", html.toon(F.col("table"), F.col("table_num"), F.col("page_num")).alias("toon")
-    )
+    compacted = html.toon(F.col("table"), F.col("table_num"), F.col("page_num"))
+    bare = html.toon_fallback(F.col("html"), F.col("table_num"), F.col("page_num"))
+    return table.select("doc_id", F.coalesce(compacted, bare).alias("toon"))
 
 
 def kinds(df: DataFrame) -> DataFrame:

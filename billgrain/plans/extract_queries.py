@@ -152,7 +152,7 @@ def is_invoice(spark, sf_dir):
     return scored.select("src", "doc_id", "score", (F.col("score") >= 3).alias("is_invoice"))
 
 
-def pipeline_metrics(spark, sf_dir):
+def quality_metrics(spark, sf_dir):
     """Success rate of structuring and mean quality of the checked invoices, per model."""
     source = F.concat(F.lit("model"), (F.col("doc_id") % 4).cast("string"))
     outcomes = response_queries._outcomes(spark, sf_dir).groupBy("source").agg(
@@ -174,6 +174,6 @@ QUERIES = {
     for f in (
         spanish_dates, currency_norm, payment_method, vendor_from_email, tax_lines, pattern_c_rows,
         utility_lines, item_exclusions, null_defaults, ocr_digit_fix, page_quality, preprocess_plan,
-        format_checks, tax_id_check, completeness, is_invoice, pipeline_metrics,
+        format_checks, tax_id_check, completeness, is_invoice, quality_metrics,
     )
 }

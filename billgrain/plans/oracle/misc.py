@@ -185,7 +185,7 @@ both_texts AS (
   UNION ALL SELECT 'doc', doc_id, lower(text) FROM documents)""", select=f"""
       SELECT src, doc_id, score, score >= 3 AS is_invoice
       FROM (SELECT src, doc_id, {' + '.join(f"CAST(contains(t, '{w}') AS INT)" for w in _WORDS)} AS score FROM both_texts)"""),
-    "pipeline_metrics": with_ctes(
+    "quality_metrics": with_ctes(
         ANSWERS + ", checked_head AS (SELECT * FROM head)" + CHECK_STEPS, validation._SEMANTIC, """
 scored AS (
   SELECT 'model' || (doc_id % 4) AS source,

@@ -102,27 +102,26 @@ transform(text_lines, (t, i) -> named_struct(
 """.replace("x1", "cast(40 + (i % 3) * 250 AS double)").replace("y1", "cast((i * 47 + k * 13) % 980 AS double)")
 
 
-def ocr_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One page of text items per document: src, doc_id, height, width, items."""
+def _paged(spark: SparkSession, sf_dir: str) -> DataFrame:
     ours = invoice_texts(spark, sf_dir).select(F.lit("inv").alias("src"), "k", "text_lines")
     given = documents(spark, sf_dir).select(
         F.lit("doc").alias("src"), F.col("doc_id").alias("k"), F.split("text", "\n").alias("text_lines")
     )
-    return ours.unionByName(given).select(
-        "src",
-        F.col("k").alias("doc_id"),
-        F.lit(1000.0).alias("height"),
-        F.lit(800.0).alias("width"),
-        F.expr(ITEM).alias("items"),
-    )
+    return ours.unionByName(given)
+
+
+PAGE = ("src", "k AS doc_id", "1000D AS height", "800D AS width")
+
+
+def ocr_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page of text items per document: src, doc_id, height, width, items."""
+    return _paged(spark, sf_dir).selectExpr(*PAGE, f"{ITEM} AS items")
 
 
 def ocr_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same items, one row each."""
-    pages = ocr_pages(spark, sf_dir)
-    return pages.select("src", "doc_id", "height", "width", F.explode("items").alias("item")).select(
-        "src", "doc_id", "height", "width", "item.*"
-    )
+    items = _paged(spark, sf_dir).selectExpr(*PAGE, f"explode({ITEM}) AS item")
+    return items.select("src", "doc_id", "height", "width", "item.*")
 
 
 RAW_ITEMS = """

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Everything here is a runtime SQL setting, so it also applies to a session the
 # cluster handed us. Sizes (executors, memory, shuffle partitions) stay with
@@ -62,3 +63,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+BROADCAST_ROWS = 100_000
+
+
+def counted_keys(keys: DataFrame) -> tuple[int, DataFrame]:
+    """Store a table of single keys and count it; hint a broadcast only if it is small."""
+    stored = cut_lineage(keys)
+    count = stored.count()
+    return count, F.broadcast(stored) if count <= BROADCAST_ROWS else stored

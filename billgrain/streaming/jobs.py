@@ -16,10 +16,15 @@ from billgrain.session import shared_dir
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def files(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A stream over the Parquet files of a folder that match ``name``."""
+def files(spark: SparkSession, folder: str, name: str, batch_bytes: str = "10g") -> DataFrame:
+    """A stream over the Parquet files of a folder that match ``name``, oldest first.
+
+    ``batch_bytes`` bounds a micro-batch, and with it the rows of one key that the
+    reuse operator has to sort at a time.
+    """
     schema = spark.read.parquet(f"{folder}/{name}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    source = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    return source.option("maxBytesPerTrigger", batch_bytes).parquet(folder)
 
 
 def run_to_end(stream: DataFrame) -> str:
