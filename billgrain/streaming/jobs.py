@@ -16,7 +16,7 @@ from billgrain.session import shared_dir
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def files(spark: SparkSession, folder: str, name: str, batch_bytes: str = "10g") -> DataFrame:
+def files(spark: SparkSession, folder: str, name: str, batch_bytes: int = 10 * 1024**3) -> DataFrame:
     """A stream over the Parquet files of a folder that match ``name``, oldest first.
 
     ``batch_bytes`` bounds a micro-batch, and with it the rows of one key that the
@@ -24,7 +24,7 @@ def files(spark: SparkSession, folder: str, name: str, batch_bytes: str = "10g")
     """
     schema = spark.read.parquet(f"{folder}/{name}").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", name)
-    return source.option("maxBytesPerTrigger", batch_bytes).parquet(folder)
+    return source.option("maxBytesPerTrigger", str(batch_bytes)).parquet(folder)
 
 
 def run_to_end(stream: DataFrame) -> str:
