@@ -3,7 +3,6 @@
 import random
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 from billgrain.functions import repairs
@@ -87,26 +86,27 @@ def test_worked_example(spark):
     assert nested(spark, docs) == [[19.0], [45.0]]
 
 
-@pytest.mark.parametrize(
-    "item, text, expected",
-    [
-        ((2.0, 10.0, 10.0), "20", 10.0),  # off by exactly half: kept
-        ((2.0, 10.0, 9.99), "20", 20.0),
-        ((2.0, 10.0, 1.0), "10 21", 21.0),  # own price is no candidate; upper limit counts
-        ((2.0, 10.0, 1.0), "21,01", 1.0),
-        ((2.0, 100.0, 1.0), "100,5 99,9", 100.5),
-        ((0.0, 10.0, 5.0), "0", 5.0),
-        ((1.0, 0.0, 5.0), "0", 5.0),
-        ((2.0, 10.0, 1.0), "", 1.0),
-        ((2.0, 10.0, 1.0), "19 21", 19.0),  # equally far: first in the text
-        ((2.0, 10.0, 1.0), "21 19", 21.0),
-        ((2.0, 617.28, 1.0), "1.234,56", 1.0),  # thousands are read as 1.234 and 56
-    ],
-)
-def test_limits(spark, item, text, expected):
-    assert nested(spark, [([item], text)]) == [[expected]]
-    assert flat(spark, [([item], text)]) == [[expected]]
-    assert flat(spark, [([item], text)], many_lines=0) == [[expected]]
+LIMITS = [
+    ((2.0, 10.0, 10.0), "20", 10.0),  # off by exactly half: kept
+    ((2.0, 10.0, 9.99), "20", 20.0),
+    ((2.0, 10.0, 1.0), "10 21", 21.0),  # own price is no candidate; upper limit counts
+    ((2.0, 10.0, 1.0), "21,01", 1.0),
+    ((2.0, 100.0, 1.0), "100,5 99,9", 100.5),
+    ((0.0, 10.0, 5.0), "0", 5.0),
+    ((1.0, 0.0, 5.0), "0", 5.0),
+    ((2.0, 10.0, 1.0), "", 1.0),
+    ((2.0, 10.0, 1.0), "19 21", 19.0),  # equally far: first in the text
+    ((2.0, 10.0, 1.0), "21 19", 21.0),
+    ((2.0, 617.28, 1.0), "1.234,56", 1.0),  # thousands are read as 1.234 and 56
+]
+
+
+def test_limits(spark):
+    docs = [([item], text) for item, text, _ in LIMITS]
+    expected = [[value] for *_, value in LIMITS]
+    assert nested(spark, docs) == expected
+    assert flat(spark, docs) == expected
+    assert flat(spark, docs, many_lines=0) == expected
 
 
 def test_assembly_in_parts(spark):
