@@ -14,16 +14,22 @@ def cents(value: Column) -> Column:
 
 
 def exact_sum(value: Column) -> Column:
-    """Aggregate sum that does not depend on row order. NaN and infinity give NULL."""
-    return F.sum(value.try_cast(MONEY)).cast("double")
+    """Aggregate sum that does not depend on row order.
+
+    Values no decimal can hold (NaN, infinity) are added as doubles, so that they carry
+    through to the sum.
+    """
+    exact = value.try_cast(MONEY)
+    return F.when(
+        F.count_if(value.isNotNull() & exact.isNull()) > 0, F.sum(value)
+    ).otherwise(F.sum(exact).cast("double"))
 
 
 def array_sum(values: Column) -> Column:
     """The same sum over an array of doubles in one row."""
     zero = F.lit(0).cast(MONEY)
-    return F.aggregate(
-        values, zero, lambda acc, v: (acc + v.try_cast(MONEY)).cast(MONEY)
-    ).cast("double")
+    exact = F.aggregate(values, zero, lambda acc, v: (acc + v.try_cast(MONEY)).cast(MONEY))
+    return F.coalesce(exact.cast("double"), F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v))
 
 
 def exceeds(value: Column, limit) -> Column:

@@ -49,6 +49,8 @@ CASES = {
     "zero": invoice([(1.0, 0.0, 0.0)], 0.0, 0.0, 0.0),
     "no items": invoice([], 200.0, 42.0, 242.0),
     "nan": invoice(TWO, NAN, 42.0, 242.0),
+    "nan item": invoice([(1.0, 1.0, NAN)], 0.0, 0.0, 500.0),
+    "endless item": invoice([(1.0, 1.0, float("inf"))], 100.0, 0.0, 100.0),
     "negative": invoice([(-1.0, -2.0, -3.0)], -3.0, 0.0, -3.0),
     "tax rate": invoice(ONE, 100.0, 21.0, 121.0, rate=100.5),
     "tax rate limit": invoice(ONE, 100.0, 21.0, 121.0, rate=100.0),
@@ -71,7 +73,7 @@ CASES = {
 def results(spark):
     import json
 
-    rows = [(name, None if inv is None else json.dumps(inv).replace("NaN", '"NaN"')) for name, inv in CASES.items()]
+    rows = [(name, None if inv is None else json.dumps(inv).replace("NaN", '"NaN"').replace("Infinity", '"Infinity"')) for name, inv in CASES.items()]
     df = spark.createDataFrame(rows, "doc_id string, body string")
     value = F.parse_json("body")
     inv = F.try_variant_get(value, "$", INVOICE)
@@ -137,6 +139,21 @@ def test_nan_never_exceeds(results):
     assert kinds(row) == [] and row.semantic.errors == []
 
 
+def test_nan_item_matches_nothing_and_endless_item_is_off(results):
+    assert kinds(results["nan item"]) == ["total_mismatch"]
+    assert any("Math error" in e for e in results["nan item"].semantic.errors)
+    assert kinds(results["endless item"])[0] == "subtotal_mismatch"
+
+
+def test_flat_sums_carry_nan_and_infinity(spark):
+    rows = [(1, 0.1), (1, 0.2), (2, NAN), (2, 1.0), (3, float("inf")), (3, 5.0)]
+    lines = spark.createDataFrame(rows, "doc_id int, line_total double").selectExpr(
+        "*", "1D AS unit_price", "1D AS quantity"
+    )
+    sums = {r.doc_id: repr(r.items_sum) for r in validation.line_facts(lines).collect()}
+    assert sums == {1: "0.3", 2: "nan", 3: "inf"}
+
+
 def test_negative_items_in_order(results):
     row = results["negative"]
     assert [i.field for i in row.math.issues][:3] == ["items[0].line_total", "items[0].unit_price", "items[0].quantity"]
