@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import os
+import re
 import sys
 import types
 
 import numpy as np
 
 #: Words that a worker remembers; beyond it, it begins anew.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 #: Words that one tokeniser call takes.
 CHUNK = 4000
+#: A word with one mark behind it: the tokeniser never joins the two.
+MARKED = re.compile(rb"(.*[a-z0-9])([.,!?;:])", re.S)
 
 
 def remembered(name: str, make):
@@ -63,11 +66,15 @@ def bpe_ids(words: list[bytes], path: str) -> list[bytes]:
 
 
 def text_ids(texts: list[bytes], path: str) -> list[bytes]:
-    """The ids of whole texts. The tokeniser drops white space and joins nothing over it."""
+    """The ids of whole texts, by a tokeniser that ignores case, drops white space and joins nothing over it."""
     known = remembered(f"ids {path}", dict)
-    split = [t.split() for t in texts]
+    # names of special tokens are the one thing that case matters for
+    split = [(t if b"<|" in t else t.lower()).split() for t in texts]
     if len(known) > REMEMBERED:
         known.clear()
-    new = [*set().union(*split).difference(known)]
-    known.update(zip(new, bpe_ids(new, path)))
+    new = set().union(*split).difference(known)
+    marked = [(w, *m.groups()) for w in new if (m := MARKED.fullmatch(w))]
+    alone = [*(new.difference(w for w, _, _ in marked) | {p for m in marked for p in m[1:]}).difference(known)]
+    known.update(zip(alone, bpe_ids(alone, path)))
+    known.update((word, known[stem] + known[mark]) for word, stem, mark in marked)
     return [b"".join(map(known.__getitem__, words)) for words in split]
