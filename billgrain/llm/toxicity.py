@@ -12,9 +12,10 @@ fitted on the same documents. Spans of likely tokens are handed on with their of
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+import uuid
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from billgrain.llm.common import short_batches
-from billgrain.llm.words import REMEMBERED
+from billgrain.llm.words import REMEMBERED, remembered
 
 #: Labelled documents of each class that the fit takes at most, and characters that such a
-#: document may have: the bound of the sample (about 60 MB of text at the very most).
-SAMPLE, SAMPLE_CHARS = 1_500, 20_000
+#: document may have: the bound of the sample (40 million characters at the very most, usually a tenth).
+SAMPLE, SAMPLE_CHARS = 1_000, 20_000
 #: A marking feature: so many different contexts, and so much likelier in toxic documents.
 CONTEXTS, ODDS = 5, 20.0
 #: Lengths of beginnings and endings that count as features.
@@ -106,6 +107,7 @@ class Model:
     bias: float
     moves: np.ndarray
     logistic: np.ndarray
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def weights(self, word: str) -> tuple[float, ...]:
         found = features(word)
@@ -130,96 +132,139 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(facts @ self.logistic[1:] + self.logistic[0], -35, 35)))
 
 
-def marking_features(documents: list[tuple[list[list[str]], bool]]) -> set[str]:
-    """Features that tell toxic documents apart and stand in enough different contexts."""
-    held = {True: Counter(), False: Counter()}
-    contexts: dict[str, set] = defaultdict(set)
-    for lines, toxic in documents:
-        names = set()
-        for words in lines:
-            for k, word in enumerate(words):
-                found = features(word)
-                names.update(found)
-                if toxic:
-                    around = (words[k - 1] if k else "", words[k + 1] if k + 1 < len(words) else "")
-                    for name in found:
-                        if len(contexts[name]) < CONTEXTS:
-                            contexts[name].add(around)
-        held[toxic].update(names)
-    n = {c: sum(toxic == c for _, toxic in documents) for c in held}
-    rate = lambda name, c: (held[c][name] + 0.5) / (n[c] + 1)
-    return {f for f, seen in contexts.items() if f and len(seen) >= CONTEXTS and rate(f, True) >= ODDS * rate(f, False)}
+@dataclass
+class Sample:
+    """Labelled documents as numbers of words; a word's features as numbers too."""
+
+    words: list[str]
+    code: np.ndarray  # of each token
+    line: np.ndarray
+    starts: np.ndarray  # of each line
+    owner: np.ndarray  # the document of each token
+    toxic: np.ndarray  # of each document
+    names: list[str]  # of features
+    of_word: np.ndarray  # words, and beside them ...
+    feature: np.ndarray  # ... a feature that each has
+    plain: np.ndarray  # the first feature of each word
+
+
+def _sample(rows: list[tuple[str, bool]]) -> Sample:
+    place: dict[str, int] = {}
+    codes, sizes, tokens = [], [], []
+    for text, _ in rows:
+        lines = lines_of(text)
+        codes.append(np.fromiter((place.setdefault(w, len(place)) for words in lines for w in words), np.int32))
+        sizes += map(len, lines)
+        tokens.append(len(codes[-1]))
+    number: dict[str, int] = {}
+    of_word, feature, plain = [], [], []
+    for k, word in enumerate(place):
+        found = [number.setdefault(f, len(number)) for f in dict.fromkeys(features(word))]
+        of_word += [k] * len(found)
+        feature += found
+        plain.append(found[0])
+    size = np.array(sizes, np.int64)
+    return Sample(
+        [*place],
+        np.concatenate([*codes, np.zeros(0, np.int32)]),
+        np.repeat(np.arange(len(size)), size),
+        np.cumsum(size) - size,
+        np.repeat(np.arange(len(rows)), tokens),
+        np.array([toxic for _, toxic in rows], bool),
+        [*number],
+        np.array(of_word, np.int32),
+        np.array(feature, np.int32),
+        np.array(plain, np.int32),
+    )
+
+
+def marking_words(sample: Sample) -> np.ndarray:
+    """Which words have a feature that tells toxic documents apart in enough different contexts."""
+    held = np.unique(sample.owner * len(sample.words) + sample.code)  # the words of each document, once
+    owner, code = held // max(len(sample.words), 1), held % max(len(sample.words), 1)
+    by_word = np.argsort(sample.of_word, kind="stable")
+    first = np.searchsorted(sample.of_word[by_word], np.arange(len(sample.words) + 1))
+    count = (first[1:] - first[:-1])[code]
+    inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    pairs = np.unique(np.repeat(owner, count) * len(sample.names) + sample.feature[np.repeat(first[code], count) + inner])
+    named, toxic = pairs % max(len(sample.names), 1), sample.toxic[pairs // max(len(sample.names), 1)]
+    rate = lambda c: (np.bincount(named[toxic == c], minlength=len(sample.names)) + 0.5) / ((sample.toxic == c).sum() + 1)
+    likely = rate(True) >= ODDS * rate(False)
+    likely[[k for k, name in enumerate(sample.names) if not name]] = False
+    # contexts are looked at only for those few
+    has = likely[sample.feature]
+    features_of = defaultdict(list)
+    for word, name in zip(sample.of_word[has].tolist(), sample.feature[has].tolist()):
+        features_of[word].append(name)
+    contexts: dict[int, set] = defaultdict(set)
+    wanted = np.zeros(len(sample.words), bool)
+    wanted[list(features_of)] = True
+    n = len(sample.code)
+    for k in np.flatnonzero(wanted[sample.code] & sample.toxic[sample.owner]).tolist():
+        before = int(sample.code[k - 1]) if k and sample.line[k - 1] == sample.line[k] else -1
+        after = int(sample.code[k + 1]) if k + 1 < n and sample.line[k + 1] == sample.line[k] else -1
+        for name in features_of[int(sample.code[k])]:
+            contexts[name].add((before, after))
+    marks = np.zeros(len(sample.names), bool)
+    marks[[name for name, seen in contexts.items() if len(seen) >= CONTEXTS]] = True
+    found = np.zeros(len(sample.words), bool)
+    found[sample.of_word[marks[sample.feature]]] = True
+    return found
 
 
 def fit(rows: list[tuple[str, bool]]) -> Model:
-    """The chain and the logistic from labelled texts. Without both classes everything scores 0.
+    """The chain and the logistic from labelled texts. Without both classes everything scores near 0.
 
-    Plain gradient ascent on the chain's likelihood, each weight with its own step (Adagrad).
+    Gradient ascent on the chain's likelihood, each weight with its own step (Adagrad). Tokens are
+    summed up by word first, so a round costs a few passes over the tokens.
     """
-    documents = [(lines_of(text), toxic) for text, toxic in rows]
-    marks = marking_features(documents)
     nothing = Model({}, {s: {} for s in SIDES}, -12.0, np.zeros((2, 2)), np.array([-12.0, 0, 0, 0]))
-    if not marks or len({toxic for _, toxic in documents}) < 2:
+    data = _sample(rows)
+    if len(set(data.toxic.tolist())) < 2:
         return nothing
-    split = [words for lines, _ in documents for words in lines]
-    label = np.array([toxic and not marks.isdisjoint(features(w)) for lines, toxic in documents for words in lines for w in words])
+    label = marking_words(data)[data.code] & data.toxic[data.owner]
     if not label.any():
         return nothing
-    sizes = np.array([len(w) for w in split], np.int64)
-    starts, line = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+    n, n_words, size = len(label), len(data.words), len(data.names)
+    times = np.bincount(data.code, minlength=n_words)
     # features that too few tokens have cannot be told from chance
-    place: dict[str, int] = {}
-    common = Counter(w for words in split for w in words)
-    often = Counter()
-    for word, times in common.items():
-        for name in features(word):
-            often[name] += times
-    for name, times in often.items():
-        if times >= 3:
-            place[name] = len(place)
-    size = len(place)
-    known = {w: np.array([place[f] for f in features(w) if f in place], np.int64) for w in common}
-    each = [known[w] for words in split for w in words]
-    token = np.repeat(np.arange(len(each)), [len(e) for e in each])
-    feature = np.concatenate(each)
-    plain = np.array([place.get(features(w)[0], -1) for words in split for w in words])
-    beside = {}
-    for side in SIDES:
-        at = np.flatnonzero(line[1:] == line[:-1]) + (1 if side < 0 else 0)
-        at = at[plain[at + side] >= 0]
-        beside[side] = (at, plain[at + side])
-    weights = {"own": np.zeros(size), **{s: np.zeros(size) for s in SIDES}, "bias": np.full(1, -5.0), "moves": np.zeros((2, 2))}
+    often = np.bincount(data.feature, times[data.of_word], size) >= 3
+    kept = often[data.feature]
+    of_word, feature = data.of_word[kept], data.feature[kept]
+    plain = np.where(often[data.plain], data.plain, size)  # one past the end: no feature
+    same = np.flatnonzero(data.line[1:] == data.line[:-1])
+    at = {-1: same + 1, 1: same}
+    weights = {"own": np.zeros(size), **{s: np.zeros(size + 1) for s in SIDES}, "bias": np.full(1, -5.0), "moves": np.zeros((2, 2))}
     step = {k: np.full(v.shape, 1e-3) for k, v in weights.items()}
-    follows = np.flatnonzero(line[1:] == line[:-1])
-    truth = label.astype(float)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (label[follows].astype(int), label[follows + 1].astype(int)), 1)
-    n = len(label)
+    a0, b0 = label[same].astype(int), label[same + 1].astype(int)
+    seen = np.bincount(2 * a0 + b0, minlength=4).reshape(2, 2)
     for _ in range(ROUNDS):
-        lift = np.bincount(token, weights["own"][feature], n) + weights["bias"][0]
-        for side, (at, name) in beside.items():
-            lift += np.bincount(at, weights[side][name], n)
-        odds = marginals(lift, starts, weights["moves"])
-        p = 1 / (1 + np.exp(-odds))
-        error = truth - p
-        gradient = {"own": np.bincount(feature, error[token], size), "bias": np.array([error.sum()])}
-        gradient |= {side: np.bincount(name, error[at], size) for side, (at, name) in beside.items()}
-        a, b = p[follows], p[follows + 1]
-        m = weights["moves"]
-        pair = np.stack([(1 - a) * (1 - b), (1 - a) * b, a * (1 - b), a * b]) * np.exp(m.reshape(4, 1) - m.mean())
-        pair = (pair / pair.sum(axis=0)).sum(axis=1).reshape(2, 2)
-        gradient["moves"] = seen - pair
+        by_word = np.bincount(of_word, weights["own"][feature], n_words)
+        lift = by_word[data.code] + weights["bias"][0]
+        for side in SIDES:
+            lift[at[side]] += weights[side][plain][data.code[at[side] + side]]
+        p = 1 / (1 + np.exp(-marginals(lift, data.starts, weights["moves"])))
+        error = label - p
+        gradient = {"own": np.bincount(feature, np.bincount(data.code, error, n_words)[of_word], size), "bias": np.array([error.sum()])}
+        for side in SIDES:
+            gradient[side] = np.bincount(plain, np.bincount(data.code[at[side] + side], error[at[side]], n_words), size + 1)
+            gradient[side][size] = 0
+        m = np.exp(weights["moves"])
+        a, b = p[same], p[same + 1]
+        pair = np.stack([(1 - a) * (1 - b) * m[0, 0], (1 - a) * b * m[0, 1], a * (1 - b) * m[1, 0], a * b * m[1, 1]])
+        gradient["moves"] = seen - (pair / pair.sum(axis=0)).sum(axis=1).reshape(2, 2)
         for k, g in gradient.items():
-            g = g / n - PENALTY * (weights[k] if k != "bias" else 0) * 1e-2
+            g = g / n - (PENALTY * 1e-2 * weights[k] if k != "bias" else 0)
             step[k] += 1e6 * g * g
             weights[k] += RATE * 1e3 * g / np.sqrt(step[k])
         weights["moves"] = np.clip(weights["moves"], -4, 4)
-    back = {i: name for name, i in place.items()}
-    kept = lambda w: {back[i]: float(w[i]) for i in np.flatnonzero(np.abs(w) > 1e-3)}
-    model = Model(kept(weights["own"]), {s: kept(weights[s]) for s in SIDES}, float(weights["bias"][0]), weights["moves"], np.zeros(4))
-    odds, _ = model.log_odds(split, {})
-    owner = np.repeat(np.arange(len(documents)), [sum(map(len, lines)) for lines, _ in documents])
-    model.logistic = _logistic(summary(odds, owner, len(documents)), np.array([toxic for _, toxic in documents], float))
+    large = lambda w: {data.names[i]: float(w[i]) for i in np.flatnonzero(np.abs(w[:size]) > 1e-3)}
+    model = Model(large(weights["own"]), {s: large(weights[s]) for s in SIDES}, float(weights["bias"][0]), weights["moves"], np.zeros(4))
+    lift = np.bincount(of_word, weights["own"][feature], n_words)[data.code] + weights["bias"][0]
+    for side in SIDES:
+        lift[at[side]] += weights[side][plain][data.code[at[side] + side]]
+    facts = summary(marginals(lift, data.starts, weights["moves"]), data.owner, len(rows))
+    model.logistic = _logistic(facts, data.toxic.astype(float))
     return model
 
 
@@ -264,16 +309,20 @@ def toxic_spans(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
     """
     short_batches(docs.sparkSession)
     docs = docs.select(*[c for c in docs.columns if c not in ("score", "spans")])
-    known: dict[str, tuple[float, ...]] = {}
     kinds = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("odds", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = remembered("words of the model", dict)
+        if known.get(None) != model.name:  # what a worker remembers is of one model
+            known.clear()
+            known[None] = model.name
         for batch in batches:
             for at in range(0, len(batch), TEXTS):
                 some = batch.slice(at, TEXTS)
                 texts = [t or "" for t in some.column(text_col).to_pylist()]
                 if len(known) > REMEMBERED:
                     known.clear()
+                    known[None] = model.name
                 split = [lines_of(t) for t in texts]
                 counts = np.array([sum(map(len, lines)) for lines in split], np.int64)
                 odds, _ = model.log_odds([words for lines in split for words in lines], known)
