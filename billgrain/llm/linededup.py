@@ -5,8 +5,9 @@ Segment-partition edit join: a line is cut into ``max_edits + 1`` segments, so a
 are the index; longer lines probe it with the substrings that length and place allow. Lines
 that meet at a digest are verified with a banded bit-parallel edit distance. Where many lines
 meet at one digest (they share a segment, as lines made from a template do), they are first
-told apart by what is left of them with up to ``max_edits`` characters deleted: lines within
-the threshold still meet, and no others in number.
+told apart by what is left of them: for one edit by pieces of it, again and again, and at last
+by the little that is unknown with up to ``max_edits`` characters deleted. Lines within the
+threshold still meet, and no crowd of others.
 
 Only digests and places are shuffled for all lines; texts move only for lines that met
 another one. Everything is DataFrame and SQL functions.
@@ -21,6 +22,8 @@ from billgrain.llm.common import stored, text_of
 
 #: Lines that meet at one digest are paired directly up to this number; both ways are exact.
 DIRECT = 16
+#: Pieces into which the unknown rest of crowded lines is cut, and how often.
+PIECES, LEVELS = 4, 3
 #: Words of 64 bits in the filter that tells which lines' texts are needed: at most 2 MiB.
 FILTER_WORDS = 1 << 18
 
@@ -91,6 +94,25 @@ def _met(distinct: DataFrame) -> DataFrame:
     return rows.join(at_key.select("key", "crowd"), "key")
 
 
+def _crowded(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("crowd", F.count("*").over(Window.partitionBy("key", "part")))
+
+
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """Crowds cut by what is left of the lines: a single edit changes one of ``PIECES`` pieces of it.
+
+    Lines meet again if all other pieces agree; a probe, longer by one character, has it in the
+    piece that is left over. Only that piece is still unknown.
+    """
+    n = "(char_length(rest) - role)"
+    start, end = f"(k * {n} div {PIECES})", f"((k + 1) * {n} div {PIECES})"
+    left, right = f"substring(rest, 1, {start})", f"substring(rest, {end} + role + 1)"
+    pieces = f"transform(sequence(0, {PIECES - 1}), k -> named_struct('part', xxhash64(part, {n}, k, {left}, {right}), 'rest', substring(rest, {start} + 1, {end} - {start} + role)))"
+    same = "array(named_struct('part', part, 'rest', rest))"
+    cut = _crowded(rows).withColumn("cut", F.explode(F.expr(f"if(crowd <= {DIRECT}, {same}, {pieces})")))
+    return cut.select("key", "role", "h1", "h2", "line", "cut.part", "cut.rest")
+
+
 def near_lines(docs: DataFrame, id_col: str, text_col: str, max_edits: int, min_chars: int, distinct: DataFrame) -> DataFrame:
     """Pairs ``a1, a2, b1, b2`` of digests of different lines within ``max_edits`` edits, each once."""
     met = stored(_met(distinct))
@@ -101,12 +123,14 @@ def near_lines(docs: DataFrame, id_col: str, text_col: str, max_edits: int, min_
     texts = texts.join(F.broadcast(needed), "word").where(F.getbit("bits", F.col("bit")) == 1)
     texts = texts.groupBy("h1", "h2").agg(F.first("line").alias("line"))
     met = met.join(texts, ["h1", "h2"])
-    rest = "concat(substring(line, 1, at), '\\n', substring(line, at + n + 1))"
-    fewer = f"array({rest})"
+    rows = met.select("key", "role", "h1", "h2", "line", F.lit(0).cast("long").alias("part"), F.expr("concat(substring(line, 1, at), substring(line, at + n + 1))").alias("rest"))
+    for _ in range(LEVELS if max_edits == 1 else 0):
+        rows = _told_apart(rows)
+    fewer = "array(rest)"
     for _ in range(max_edits):
-        fewer = f"array_union({fewer}, flatten(transform({fewer}, r -> transform(sequence(1, char_length(r)), j -> concat(substring(r, 1, j - 1), substring(r, j + 1))))))"
-    told = f"if(crowd <= {DIRECT}, array(0L), array_distinct(transform({fewer}, r -> xxhash64(replace(r, '\\n', '')))))"
-    rows = met.select("key", "role", "h1", "h2", "line", F.explode(F.expr(told)).alias("part"))
+        fewer = f"array_union({fewer}, flatten(transform({fewer}, r -> transform(if(r = '', array(), sequence(1, char_length(r))), j -> concat(substring(r, 1, j - 1), substring(r, j + 1))))))"
+    told = f"if(crowd <= {DIRECT}, array(part), array_distinct(transform({fewer}, r -> xxhash64(part, r))))"
+    rows = _crowded(rows).select("key", "role", "h1", "h2", "line", F.explode(F.expr(told)).alias("part"))
     index, other = rows.where("role = 0"), rows
     a, b = index.alias("a"), other.alias("b")
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.part") == F.col("b.part")))
