@@ -76,6 +76,10 @@ def repair(text: Column) -> Column:
     local so that they travel to the executors by value.
     """
 
+    import re
+
+    SURROGATE = re.compile("[\ud800-\udfff]")
+
     def finite(value):
         # NaN and infinity are not JSON; as text they still convert to DOUBLE.
         if isinstance(value, float) and (value != value or value in (float("inf"), float("-inf"))):
@@ -87,7 +91,10 @@ def repair(text: Column) -> Column:
         return value
 
     def load(text):
-        return json.dumps(finite(json.loads(text)), ensure_ascii=False, allow_nan=False)
+        value = finite(json.loads(text))
+        shown = json.dumps(value, ensure_ascii=False, allow_nan=False)
+        # a lone surrogate is no text outside of an escape
+        return shown if shown.isascii() or not SURROGATE.search(shown) else json.dumps(value, allow_nan=False)
 
     def attempt(text):
         try:
@@ -99,8 +106,11 @@ def repair(text: Column) -> Column:
             closed = head.removesuffix(",") + "]" * brackets + "}" * braces
             try:
                 return "repaired", load(closed), error.pos
-            except json.JSONDecodeError:
+            except (ValueError, RecursionError):
                 return "failed", None, error.pos
+        except (ValueError, RecursionError):
+            # numbers of thousands of digits, nesting without end: this row fails, not the job
+            return "failed", None, None
 
     def decode(texts: pd.Series) -> pd.DataFrame:
         rows = [(None, None, None) if t is None else attempt(t) for t in texts]

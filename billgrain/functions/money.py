@@ -17,18 +17,18 @@ def exact_sum(value: Column) -> Column:
     """Aggregate sum that does not depend on row order.
 
     Values no decimal can hold (NaN, infinity) are added as doubles, so that they carry
-    through to the sum.
+    through to the sum, and so are values whose sum no decimal can hold.
     """
     exact = value.try_cast(MONEY)
     return F.when(
         F.count_if(value.isNotNull() & exact.isNull()) > 0, F.sum(value)
-    ).otherwise(F.sum(exact).cast("double"))
+    ).otherwise(F.coalesce(F.try_sum(exact).cast("double"), F.sum(value)))
 
 
 def array_sum(values: Column) -> Column:
     """The same sum over an array of doubles in one row."""
     zero = F.lit(0).cast(MONEY)
-    exact = F.aggregate(values, zero, lambda acc, v: (acc + v.try_cast(MONEY)).cast(MONEY))
+    exact = F.aggregate(values, zero, lambda acc, v: F.try_add(acc, v.try_cast(MONEY)).try_cast(MONEY))
     return F.coalesce(exact.cast("double"), F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v))
 
 

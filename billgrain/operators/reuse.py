@@ -16,11 +16,14 @@ def first_of_each(documents: DataFrame, *order: str) -> DataFrame:
     """One row per hash: the first document and how many copies there are.
 
     An aggregate rather than a ranked window, so that copies meet partially summed and
-    one content with a third of all rows is no burden on its task.
+    one content with a third of all rows is no burden on its task. Documents without a
+    hash (images) are not known to be copies of anything: each stays as it is.
     """
-    return documents.groupBy("hash").agg(
+    known = documents.filter("hash IS NOT NULL").groupBy("hash").agg(
         F.min(F.struct(*order)).alias("first"), F.count(F.lit(1)).alias("n_copies")
-    ).select("hash", "first.*", "n_copies")
+    )
+    unknown = documents.filter("hash IS NULL").select("hash", *order, F.lit(1).cast("long").alias("n_copies"))
+    return known.select("hash", "first.*", "n_copies").unionByName(unknown)
 
 
 def entries(results: DataFrame, cached_at: Column, ttl_hours: int = TTL_HOURS) -> DataFrame:
@@ -78,11 +81,18 @@ def with_reuse(arrivals: DataFrame, ttl_hours: int = TTL_HOURS, hot: int = HOT_K
 
     An arrival is a hit within ``ttl_hours`` of the last miss of its hash. Hits do not
     prolong that time, so the answer needs the whole chain of misses from the start.
+    Arrivals without a hash or a time are misses and take no part in any chain.
 
     Hashes with few arrivals are folded as one sorted array per hash. A hash with more
     than ``hot`` arrivals never becomes an array: its chain is followed step by step with
     aggregates that all tasks share (:func:`_hot_misses`).
     """
+    placed = F.col("hash").isNotNull() & F.col("ts").isNotNull()
+    chained = _chained(arrivals.filter(placed), ttl_hours, hot)
+    return chained.unionByName(arrivals.filter(~placed).withColumn("is_hit", F.lit(False)))
+
+
+def _chained(arrivals: DataFrame, ttl_hours: int, hot: int) -> DataFrame:
     seconds = ttl_hours * 3600
     timed = arrivals.withColumn("_t", F.unix_micros("ts"))
     n_hot, hot_keys = counted_keys(

@@ -147,3 +147,11 @@ def test_typed_invoice_and_unknown_fields(spark):
     row = spark.createDataFrame([(answer,)], "t string").select(json_text.to_invoice(value), json_text.unknown_fields(value)).first()
     assert row[0].financial_details.subtotal == 1.5 and row[0]["items"][0].quantity == 1.0
     assert json.loads(row[1]) == {"origin": {"x": 1}}
+
+
+def test_one_bad_row_does_not_end_the_job(spark):
+    texts = ['{"a": ' + "9" * 5000 + "}", "[" * 100_000 + "NaN", '{"a": NaN, "b": "\\ud800"}', '{"a": NaN}']
+    table = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {r.id: r.r for r in table.select("id", json_text.repair(F.col("t")).alias("r")).collect()}
+    assert [got[k].status for k in range(4)] == ["failed", "failed", "parsed", "parsed"]
+    assert json.loads(got[2].json)["b"] == "\ud800"

@@ -66,6 +66,20 @@ def test_first_of_each(spark):
     assert got == {"x": (1, 2), "y": (2, 1)}
 
 
+def test_documents_without_a_hash_are_never_copies(spark):
+    df = spark.createDataFrame([("x", 1), (None, 2), (None, 3), ("x", 4)], "hash string, doc_id int")
+    got = sorted((r.doc_id, r.n_copies) for r in reuse.first_of_each(df, "doc_id").collect())
+    assert got == [(1, 2), (2, 1), (3, 1)]
+
+
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_arrivals_without_hash_or_time_are_misses(spark, hot):
+    rows = [("x", None, 1), ("x", "2024-01-01 00:00:00", 2), ("x", "2024-01-01 05:00:00", 3), ("x", None, 4), (None, "2024-01-01 00:00:00", 5), (None, "2024-01-01 01:00:00", 6)]
+    df = spark.createDataFrame(rows, "hash string, ts string, arrival_id int").withColumn("ts", F.to_timestamp("ts"))
+    got = {r.arrival_id: r.is_hit for r in reuse.with_reuse(df, hot=hot).collect()}
+    assert got == {1: False, 2: False, 3: True, 4: False, 5: False, 6: False}
+
+
 def test_admission_order_and_limits(spark):
     limit = 10 * 1024 * 1024
     rows = [("text/plain", 0, "unsupported_type"), ("application/pdf", 0, "empty"), ("image/heif", limit, None), ("image/heif", limit + 1, "too_large"), (None, 1, "unsupported_type")]

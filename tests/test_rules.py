@@ -208,3 +208,11 @@ def test_suspicion_limits(spark, hits, total, level):
 
     row = spark.range(1).select(suspicion_level(F.lit(hits), F.lit(total))).first()
     assert row[0] == level
+
+
+def test_sums_beyond_any_decimal(spark):
+    from billgrain.functions import money
+
+    df = spark.createDataFrame([(9e31,), (9e31,)], "v double")
+    assert df.agg(money.exact_sum(F.col("v"))).first()[0] == 1.8e32
+    assert spark.range(1).select(money.array_sum(F.array(F.lit(9e31), F.lit(9e31)))).first()[0] == 1.8e32
