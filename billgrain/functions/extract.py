@@ -26,6 +26,10 @@ PAYMENT_WORDS = {
 # Words that mark a tax line, and lines that are no goods or services.
 TAX_WORDS = ("Tax", "VAT", "IVA", "GST", "IGIC", "MwSt", "TVA", "BTW", "MOMS", "Sales Tax", "Impuesto", "Steuer")
 NOT_ITEMS = ("Recargo", "Alquiler", "Otros", "Impuesto", "Surcharge", "Rental", "Other", "Fee")
+DISCOUNTS = ("Descuento", "Dto", "Discount")
+
+# An amount as printed: digits with decimal and thousands marks.
+AMOUNT = "[0-9]+(?:[.,][0-9]+)*"
 
 
 def _word(words: tuple[str, ...]) -> str:
@@ -33,7 +37,15 @@ def _word(words: tuple[str, ...]) -> str:
 
 
 def number(text: Column) -> Column:
-    return F.replace(text, F.lit(","), F.lit(".")).try_cast("double")
+    """A printed amount: ``1.234,56``, ``1,234.56``, ``1.234.567``, ``45,50`` or ``45``.
+
+    The last mark is the decimal one, unless the same mark stands there twice or more and no
+    other one. A single mark is a decimal mark.
+    """
+    whole = text.rlike(r"\A[^.,]*([.,])(?:[^.,]*\1)+[^.,]*\z")
+    last_only = F.regexp_replace(text, r"[.,](?=.*[.,])", "")
+    plain = F.when(whole, F.regexp_replace(text, "[.,]", "")).otherwise(F.replace(last_only, F.lit(","), F.lit(".")))
+    return plain.try_cast("double")
 
 
 def iso_date(text: Column) -> Column:
@@ -63,16 +75,28 @@ def first_found(lines: Column, rule) -> Column:
     return F.get(F.filter(F.transform(lines, rule), lambda v: v.isNotNull()), F.lit(0))
 
 
+# The label before the top-level domain; second-level ones such as co.uk count as part of that.
+EMAIL_DOMAIN = (
+    r"[\p{L}\p{N}_.+-]@(?:[\p{L}\p{N}_-]+\.)*?([\p{L}\p{N}_-]+)\.(?:(?:co|com|org|net|gob|gov|ac|edu)\.)?"
+    r"[\p{L}\p{N}_]+(?![\p{L}\p{N}_-]|\.[\p{L}\p{N}_])"
+)
+
+
 def vendor_from_email(text: Column) -> Column:
-    """Company name from the first e-mail domain: acme-corp.com becomes Acme Corp."""
-    domain = F.regexp_extract(text, r"[\p{L}\p{N}_.+-]@([\p{L}\p{N}_-]+)\.[\p{L}\p{N}_]", 1)
+    """Company name from the first e-mail domain: mail.acme-corp.com becomes Acme Corp."""
+    domain = F.regexp_extract(text, EMAIL_DOMAIN, 1)
     return F.nullif(F.initcap(F.replace(domain, F.lit("-"), F.lit(" "))), F.lit(""))
 
 
 def tax_line(line: Column) -> Column:
-    """Struct (type, rate, amount) of a tax line, else NULL. Amounts are never computed."""
+    """Struct (type, rate, amount) of a tax line, else NULL. Amounts are never computed.
+
+    The amount is the number after a colon, else the last one with a decimal mark; rates aside.
+    """
     rate = F.regexp_extract(line, rf"([0-9]+(?:[.,][0-9]+)?){S}*%", 1)
-    amount = F.regexp_extract(line, rf":{S}*[€$£]?{S}*([0-9]+(?:[.,][0-9]+)?)(?![0-9.,]*{S}*%)", 1)
+    unrated = F.regexp_replace(line, rf"{AMOUNT}{S}*%", " ")
+    named = F.regexp_extract(unrated, rf":{S}*[€$£]?{S}*({AMOUNT})", 1)
+    amount = F.when(named != "", named).otherwise(F.regexp_extract(unrated, r"\A.*(?<![0-9.,])([0-9]+(?:[.,][0-9]+)+)", 1))
     name = strip(F.regexp_extract(line, r"\A([^0-9(:%]*)", 1))
     return F.when(
         line.rlike(_word(TAX_WORDS)),
@@ -88,7 +112,7 @@ def tax_lines(lines: Column) -> Column:
     return F.filter(F.transform(lines, tax_line), lambda t: t.isNotNull())
 
 
-ITEM_ROW = r"\A([A-Z]+-[0-9]+) (.*?)((?: [0-9]+,[0-9]+){3,})\z"
+ITEM_ROW = r"\A([A-Z]+-[0-9]+) (.*?)((?: [0-9]+(?:[.,][0-9]+)+){3,})\z"
 
 
 def item_row(line: Column) -> Column:
@@ -130,7 +154,9 @@ def utility_line(line: Column) -> Column:
 
 
 def is_excluded(line: Column) -> Column:
-    return line.rlike(_word(NOT_ITEMS))
+    """Taxes, discounts, surcharges and fees, in singular or plural, are no items."""
+    words = "|".join((*NOT_ITEMS, *TAX_WORDS, *DISCOUNTS))
+    return line.rlike(rf"(?iu){WORD_START}(?:{words})(?:e?s)?{WORD_END}")
 
 
 def fix_digits(text: Column) -> Column:

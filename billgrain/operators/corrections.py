@@ -157,15 +157,10 @@ def _best_by_rank(doubtful: DataFrame, numbers: DataFrame) -> DataFrame:
     )
 
 
-def assembled(headers: DataFrame, lines: DataFrame, part_size: int = 1000) -> DataFrame:
-    """Headers with their lines as arrays, one row per part of at most ``part_size`` lines.
+def assembled(headers: DataFrame, lines: DataFrame) -> DataFrame:
+    """Headers with their lines in the flat layout: one row per line, by ``doc_id``.
 
-    Almost every invoice has one part. A huge one spreads over parts instead of growing
-    a single row without bound. ``line_no`` is the line's place in the invoice, from 1.
+    An invoice without lines has one row, with NULL line columns. The grain is the same for
+    every size, so no invoice grows a row without bound and none is cut into parts.
     """
-    part = F.floor((F.col("line_no") - 1) / part_size).cast("int")
-    item = F.struct("line_no", "description", "quantity", "unit_price", "line_total")
-    parts = lines.groupBy("doc_id", part.alias("part_no")).agg(
-        F.array_sort(F.collect_list(item)).alias("items")
-    )
-    return headers.join(parts, "doc_id")
+    return headers.join(lines, "doc_id", "left")

@@ -192,10 +192,10 @@ def line_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stated subtotal per order that has lines; some are off by 5.00, 0.02 or 0.01."""
+    """Stated subtotal of every order, 0.00 without lines; some are off by 5.00, 0.02 or 0.01."""
     sums = lines(spark, sf_dir).groupBy("doc_id").agg(F.sum("total").alias("st"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_custkey")
-    return orders.join(sums, "doc_id").selectExpr(
+    return orders.join(sums, "doc_id", "left").withColumn("st", F.coalesce("st", F.lit(0))).selectExpr(
         "doc_id",
         "o_custkey AS custkey",
         "cast(st + CASE WHEN doc_id % 7 = 0 THEN 500 ELSE 0 END + CASE WHEN doc_id % 6 = 0 THEN 1 ELSE 0 END"

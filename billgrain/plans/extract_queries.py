@@ -25,8 +25,9 @@ def spanish_dates(spark, sf_dir):
 
 
 def currency_norm(spark, sf_dir):
-    totals = _lines(spark, sf_dir).filter(F.startswith("line", F.lit("TOTAL")))
-    return totals.select("doc_id", extract.currency(F.col("line")).alias("currency"))
+    """The currency of every line that names one."""
+    found = pin(_lines(spark, sf_dir), currency=extract.currency(F.col("line"))).filter("currency IS NOT NULL")
+    return found.select("doc_id", "line_no", "currency")
 
 
 def payment_method(spark, sf_dir):

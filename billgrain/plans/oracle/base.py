@@ -138,10 +138,10 @@ facts AS (
     count(*) FILTER (WHERE price_c IN (0, 300, 700, 1500, 2100)) AS n_rate_like, CAST(sum(total_c) AS BIGINT) AS st
   FROM line GROUP BY doc_id),
 stated AS (
-  SELECT doc_id, o_custkey AS custkey, n_items, items_sum, n_rate_like,
-    CAST(st + CASE WHEN doc_id % 7 = 0 THEN 500 ELSE 0 END + CASE WHEN doc_id % 6 = 0 THEN 1 ELSE 0 END
-       + CASE WHEN doc_id % 26 = 0 THEN 2 ELSE 0 END AS DOUBLE) / 100 AS subtotal
-  FROM facts JOIN orders ON o_orderkey = doc_id)
+  SELECT o_orderkey AS doc_id, o_custkey AS custkey, n_items, items_sum, n_rate_like,
+    CAST(coalesce(st, 0) + CASE WHEN o_orderkey % 7 = 0 THEN 500 ELSE 0 END + CASE WHEN o_orderkey % 6 = 0 THEN 1 ELSE 0 END
+       + CASE WHEN o_orderkey % 26 = 0 THEN 2 ELSE 0 END AS DOUBLE) / 100 AS subtotal
+  FROM orders LEFT JOIN facts ON o_orderkey = doc_id)
 """
 
 

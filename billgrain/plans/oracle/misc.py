@@ -41,6 +41,10 @@ def _amount_of(text: str) -> str:
     return f"coalesce(TRY_CAST(replace({text}, ',', '.') AS DOUBLE), 0)"
 
 
+_NO_ITEM = (
+    "Recargo|Alquiler|Otros|Impuesto|Surcharge|Rental|Other|Fee|Tax|VAT|IVA|GST|IGIC|MwSt|TVA|BTW|MOMS|Sales Tax|Steuer|Descuento|Dto|Discount"
+)
+
 _METRICS = """
 m AS (
   SELECT l_orderkey, l_linenumber, l_quantity * 6 AS sharpness, CAST(l_linenumber * 13 % 90 AS DOUBLE) AS contrast,
@@ -115,16 +119,18 @@ live AS (SELECT hash FROM came GROUP BY hash HAVING TIMESTAMP '2024-01-02 12:00:
     "stream_arrival_counts": _recursive("""
       SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, count(*) FILTER (WHERE is_hit) AS hits,
         count(*) FILTER (WHERE NOT is_hit) AS misses
-      FROM flagged WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1"""),
+      FROM flagged GROUP BY 1"""),
     "spanish_dates": with_ctes(TEXTS, r"""
 d AS (
   SELECT doc_id, line, regexp_extract(line, '([0-9]{1,2})( de |\.|/)([0-9]{1,2})( de |\.|/)([0-9]{4})', ['d', 's', 'm', 't', 'y']) AS p
   FROM text_line WHERE line LIKE 'Fecha%')""", select="""
       SELECT doc_id, line, strftime(TRY_CAST(p.y || '-' || lpad(p.m, 2, '0') || '-' || lpad(p.d, 2, '0') AS DATE), '%Y-%m-%d') AS iso_date FROM d"""),
-    "currency_norm": with_ctes(TEXTS, select="""
-      SELECT doc_id, CASE WHEN contains(line, '€') THEN 'EUR' WHEN contains(line, '$') THEN 'USD' WHEN contains(line, '£') THEN 'GBP'
-        WHEN contains(line, '¥') THEN 'JPY' ELSE nullif(regexp_extract(line, '(EUR|GBP)$', 1), '') END AS currency
-      FROM text_line WHERE line LIKE 'TOTAL%'"""),
+    "currency_norm": with_ctes(TEXTS, select=f"""
+      SELECT * FROM (
+        SELECT doc_id, CAST(i AS INT) AS line_no, CASE WHEN contains(line, '€') THEN 'EUR' WHEN contains(line, '$') THEN 'USD'
+          WHEN contains(line, '£') THEN 'GBP' WHEN contains(line, '¥') THEN 'JPY' WHEN contains(line, '₹') THEN 'INR'
+          ELSE nullif(regexp_extract(line, '(?:^|{NW})(EUR|USD|GBP|CAD|AUD|INR|JPY)(?:$|{NW})', 1), '') END AS currency FROM text_line)
+      WHERE currency IS NOT NULL"""),
     "payment_method": with_ctes(TEXTS, select="""
       SELECT k AS doc_id, CASE k % 8 WHEN 0 THEN 'BANK_TRANSFER' WHEN 1 THEN 'CARD' WHEN 2 THEN 'CASH' WHEN 3 THEN 'CHECK'
         WHEN 4 THEN 'DIRECT_DEBIT' WHEN 5 THEN 'BANK_TRANSFER' WHEN 6 THEN 'DIRECT_DEBIT' END AS method FROM lined"""),
@@ -154,7 +160,7 @@ u AS (
       SELECT doc_id, n[1] * n[2] AS quantity, n[3] AS unit_price, n[4] AS line_total FROM u"""),
     "item_exclusions": with_ctes(TEXTS, select=f"""
       SELECT doc_id, CAST(i AS INT) AS line_no,
-        regexp_matches(line, '(?i)(^|{NW})(Recargo|Alquiler|Otros|Impuesto|Surcharge|Rental|Other|Fee)($|{NW})') AS excluded FROM text_line"""),
+        regexp_matches(line, '(?i)(^|{NW})({_NO_ITEM})(e?s)?($|{NW})') AS excluded FROM text_line"""),
     "null_defaults": with_ctes(ANSWERS, """
 first_item AS (SELECT k, CAST(q AS DOUBLE) AS q FROM item WHERE i = 1)""", select="""
       SELECT doc_id, CASE WHEN doc_id % 26 = 0 OR doc_id % 34 = 0 THEN 'Unknown' ELSE 'Receptor' END AS customer,

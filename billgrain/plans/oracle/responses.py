@@ -69,9 +69,8 @@ SQL = {
       SELECT doc_id, i AS line_no, left(description, 40) AS label, t AS printed, fixed_t AS line_total, was_fixed AS repaired
       FROM fixed"""),
     "invoice_assemble": with_ctes(LINES, select="""
-      SELECT s.doc_id, custkey, subtotal, 0 AS part_no, CAST(n_items AS INT) AS n_items, items FROM stated s
-      JOIN (SELECT doc_id, string_agg(line_no || ':' || description, ',' ORDER BY line_no) AS items FROM rec GROUP BY doc_id) r
-        ON s.doc_id = r.doc_id"""),
+      SELECT s.doc_id, custkey, subtotal, line_no, description, quantity, unit_price, line_total
+      FROM stated s LEFT JOIN rec r ON s.doc_id = r.doc_id"""),
     "processing_results": with_ctes(*_CHAIN, select="""
       SELECT doc_id, true AS success, sha256(text) AS document_hash, 'paddleocr_gemini_text' AS processing_method,
         n_err = 0 AS is_valid, greatest(0, 100.0::DOUBLE - 20 * n_err - 5 * n_warn) AS quality_score,

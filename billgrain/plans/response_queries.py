@@ -93,10 +93,7 @@ def line_total_fix(spark, sf_dir):
 
 def invoice_assemble(spark, sf_dir):
     built = corrections.assembled(corpora.line_headers(spark, sf_dir), corpora.line_records(spark, sf_dir))
-    shown = F.transform("items", lambda i: F.concat_ws(":", i["line_no"].cast("string"), i["description"]))
-    return built.select(
-        "doc_id", "custkey", "subtotal", "part_no", F.size("items").alias("n_items"), F.array_join(shown, ",").alias("items")
-    )
+    return built.select("doc_id", "custkey", "subtotal", "line_no", "description", "quantity", "unit_price", "line_total")
 
 
 def processing_results(spark, sf_dir):

@@ -136,7 +136,7 @@ def stream_arrival_counts(spark, sf_dir):
     flagged = jobs.with_reuse(_arrivals(jobs.files(spark, sf_dir, "events.parquet")))
     rows = jobs.run_to_end(flagged)
     again = spark.readStream.schema(flagged.schema).parquet(rows)
-    return jobs.result(jobs.hourly_counts(again)).withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH:mm"))
+    return jobs.latest(jobs.hourly_counts(again)).withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH:mm"))
 
 
 QUERIES = {

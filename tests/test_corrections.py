@@ -109,14 +109,14 @@ def test_limits(spark):
     assert flat(spark, docs, many_lines=0) == expected
 
 
-def test_assembly_in_parts(spark):
+def test_assembly_keeps_all_lines_and_empty_invoices(spark):
     lines = spark.range(1, 2501).selectExpr(
         "1 AS doc_id", "cast(id AS int) AS line_no", "'x' AS description", "1D AS quantity", "1D AS unit_price", "1D AS line_total"
     )
-    headers = spark.createDataFrame([(1, "h")], "doc_id int, name string")
-    rows = sorted(corrections.assembled(headers, lines).collect(), key=lambda r: r.part_no)
-    assert [len(r["items"]) for r in rows] == [1000, 1000, 500]
-    assert [i.line_no for r in rows for i in r["items"]] == list(range(1, 2501))
+    headers = spark.createDataFrame([(1, "h"), (2, "empty")], "doc_id int, name string")
+    rows = corrections.assembled(headers, lines).collect()
+    assert sorted(r.line_no for r in rows if r.doc_id == 1) == list(range(1, 2501))
+    assert [r.line_no for r in rows if r.doc_id == 2] == [None]
 
 
 def test_null_invoice_stays_null(spark):

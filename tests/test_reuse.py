@@ -60,6 +60,24 @@ def test_stream_over_several_batches(spark, tmp_path):
     assert {r.arrival_id: r.is_hit for r in got.collect()} == brute_force(rows)
 
 
+@pytest.mark.parametrize("parts", [1, 3, 6])
+def test_hourly_counts_do_not_depend_on_batches(spark, tmp_path, parts):
+    rows = arrivals(5, 300)
+    random.Random(2).shuffle(rows)  # out of time order across batches
+    flagged = [(key, ts, i, i % 3 == 0) for key, ts, i in rows]
+    for part in range(parts):
+        some = spark.createDataFrame(flagged[part::parts], "hash string, ts timestamp, arrival_id bigint, is_hit boolean")
+        some.coalesce(1).write.mode("append").parquet(str(tmp_path))
+    stream = spark.readStream.schema("hash string, ts timestamp, arrival_id bigint, is_hit boolean")
+    got = jobs.latest(jobs.hourly_counts(stream.option("maxFilesPerTrigger", 1).parquet(str(tmp_path)))).collect()
+    expected = {}
+    for _, ts, _, hit in flagged:
+        hour = ts.replace(minute=0)
+        hits, misses = expected.get(hour, (0, 0))
+        expected[hour] = (hits + hit, misses + (not hit))
+    assert {r.hour: (r.hits, r.misses) for r in got} == expected
+
+
 def test_first_of_each(spark):
     df = spark.createDataFrame([("x", 3), ("x", 1), ("y", 2)], "hash string, doc_id int")
     got = {r.hash: (r.doc_id, r.n_copies) for r in reuse.first_of_each(df, "doc_id").collect()}
