@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from billgrain.session import counted_keys, cut_lineage
+from billgrain.session import cut_lineage
 
 TTL_HOURS = 24
-HOT_KEY = 10_000
-SALTS = 64
+#: A cell of time has two to this power slots.
+CELL_BITS = 12
 
 
 def first_of_each(documents: DataFrame, *order: str) -> DataFrame:
@@ -76,88 +76,92 @@ def invalidation_report(processed: DataFrame, doomed: DataFrame) -> DataFrame:
     )
 
 
-def with_reuse(arrivals: DataFrame, ttl_hours: int = TTL_HOURS, hot: int = HOT_KEY) -> DataFrame:
+def with_reuse(arrivals: DataFrame, ttl_hours: int = TTL_HOURS, earlier: DataFrame | None = None) -> DataFrame:
     """Add ``is_hit`` to arrivals (hash, ts, arrival_id).
 
     An arrival is a hit within ``ttl_hours`` of the last miss of its hash. Hits do not
     prolong that time, so the answer needs the whole chain of misses from the start.
-    Arrivals without a hash or a time are misses and take no part in any chain.
-
-    Hashes with few arrivals are folded as one sorted array per hash. A hash with more
-    than ``hot`` arrivals never becomes an array: its chain is followed step by step with
-    aggregates that all tasks share (:func:`_hot_misses`).
+    Arrivals without a hash or a time are misses and take no part in any chain. Of arrivals
+    at one moment the one with the smallest id comes first; rows equal in hash, time and id
+    are one arrival. ``earlier`` (hash, last_miss; one row per hash) continues chains that
+    began before these arrivals.
+
+    One way for all sizes: every moment of a hash points to the first moment after its
+    expiry, and the chain from the first moment is marked by pointer doubling, in about
+    log2(time span / expiry) rounds of joins on (hash, moment).
     """
     placed = F.col("hash").isNotNull() & F.col("ts").isNotNull()
-    chained = _chained(arrivals.filter(placed), ttl_hours, hot)
-    return chained.unionByName(arrivals.filter(~placed).withColumn("is_hit", F.lit(False)))
-
-
-def _chained(arrivals: DataFrame, ttl_hours: int, hot: int) -> DataFrame:
-    seconds = ttl_hours * 3600
-    timed = arrivals.withColumn("_t", F.unix_micros("ts"))
-    n_hot, hot_keys = counted_keys(
-        timed.groupBy("hash").count().filter(F.col("count") > hot).select("hash")
-    )
-    if n_hot == 0:
-        return _folded(timed, seconds).drop("_t")
-    usual = timed.join(hot_keys, "hash", "left_anti")
-    crowded = timed.join(hot_keys, "hash", "left_semi")
-    folded = _folded(usual, seconds)
-    missed = _hot_misses(crowded.select("hash", "_t", "arrival_id"), seconds)
-    flagged = crowded.join(missed.withColumn("_miss", F.lit(True)), ["hash", "arrival_id"], "left")
-    flagged = flagged.withColumn("is_hit", F.col("_miss").isNull()).drop("_miss")
-    return folded.unionByName(flagged.select(*folded.columns)).drop("_t")
-
-
-def _folded(timed: DataFrame, seconds: int) -> DataFrame:
-    others = [c for c in timed.columns if c not in ("hash", "_t", "arrival_id")]
-    row = F.struct("_t", "arrival_id", *others)
-    grouped = timed.groupBy("hash").agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    start = F.struct(
-        F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("ids")
-    )
-
-    def step(state: Column, arrival: Column) -> Column:
-        fresh = state["last"].isNull() | (arrival["_t"] >= state["last"] + seconds * 1_000_000)
-        missed = F.struct(
-            arrival["_t"].alias("last"),
-            F.concat(state["ids"], F.array(arrival["arrival_id"])).alias("ids"),
-        )
-        return F.when(fresh, missed).otherwise(state)
-
-    chained = grouped.withColumn("missed", F.aggregate("rows", start, step)["ids"])
-    exploded = chained.select("hash", "missed", F.explode("rows").alias("r"))
-    return exploded.select(
-        "hash", "r.*", (~F.array_contains("missed", F.col("r.arrival_id"))).alias("is_hit")
+    timed = arrivals.filter(placed).withColumn("_t", F.unix_micros("ts"))
+    moments = cut_lineage(timed.groupBy("hash", "_t").agg(F.min("arrival_id").alias("_first")))
+    missed = _chain(moments.select("hash", "_t"), ttl_hours * 3_600_000_000, earlier)
+    first = moments.join(missed, ["hash", "_t"], "left_semi")
+    flagged = timed.join(first, ["hash", "_t"], "left").withColumn(
+        "is_hit", F.coalesce(F.col("_first") != F.col("arrival_id"), F.lit(True))
     )
+    unplaced = arrivals.filter(~placed).withColumn("is_hit", F.lit(False))
+    return flagged.select(*unplaced.columns).unionByName(unplaced)
 
 
-def _hot_misses(crowded: DataFrame, seconds: int) -> DataFrame:
-    """(hash, arrival_id) of all misses of the hashes with very many arrivals.
+def _next_moments(moments: DataFrame, micros: int) -> DataFrame:
+    """``hash, _t, to``: for each moment the first one of its hash at or after its expiry, if any.
 
-    Each round finds, for every hash still open, its first arrival after the last miss
-    has expired. Arrivals are salted so that one hash is read by many tasks, and ``min``
-    combines before the shuffle. There are at most (time span / expiry + 1) rounds.
+    Time is cut into slots of a 4096th of the expiry and cells of 4096 slots. The answer is
+    found within the slot of the expiry, else it is the first moment of the next slot in use,
+    else that of the next cell. So no window holds more than a slot's moments, a cell's slots
+    or a hash's cells, however many arrivals a hash has.
     """
-    spread = cut_lineage(
-        crowded.withColumn("salt", F.pmod(F.xxhash64("arrival_id"), F.lit(SALTS)).cast("int"))
+    width = max(1, micros >> CELL_BITS)
+    asked = F.col("_t") + micros
+    none = F.lit(None).cast("long")
+    rows = moments.select("hash", F.col("_t").alias("at"), F.col("_t").alias("moment"), none.alias("_t")).unionByName(
+        moments.select("hash", asked.alias("at"), none.alias("moment"), "_t")
     )
-    earliest = F.min(F.struct("_t", "arrival_id")).alias("m")
-    frontier = cut_lineage(spread.groupBy("hash").agg(earliest).select("hash", "m.*"))
-    rounds = [frontier]
-    while not frontier.isEmpty():
-        due = frontier.select(
-            "hash",
-            (F.col("_t") + seconds * 1_000_000).alias("due"),
-            F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
-        )
-        later = spread.join(due, ["hash", "salt"]).filter("_t >= due")
-        frontier = cut_lineage(later.groupBy("hash").agg(earliest).select("hash", "m.*"))
-        rounds.append(frontier)
-    missed = rounds[0]
-    for part in rounds[1:]:
-        missed = missed.unionByName(part)
-    return missed.select("hash", "arrival_id")
+    rows = rows.withColumn("slot", F.expr(f"(at - pmod(at, {width}L)) div {width}L"))
+    slots = rows.groupBy("hash", "slot").agg(F.min("moment").alias("first")).withColumn("cell", F.shiftright("slot", CELL_BITS))
+    cells = slots.groupBy("hash", "cell").agg(F.min("first").alias("first"))
+
+    def later(*group: str, by: str) -> Column:
+        order = Window.partitionBy(*group).orderBy(F.desc(by))
+        return F.min("first").over(order.rowsBetween(Window.unboundedPreceding, -1))
+
+    cells = cells.select("hash", "cell", later("hash", by="cell").alias("beyond"))
+    slots = slots.select("hash", "cell", "slot", later("hash", "cell", by="slot").alias("next"))
+    slots = slots.join(cells, ["hash", "cell"]).select("hash", "slot", F.coalesce("next", "beyond").alias("next"))
+    # descending, so that the frame grows by rows; a range, so that equal times see each other
+    here = Window.partitionBy("hash", "slot").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.withColumn("to", F.min("moment").over(here)).filter("_t IS NOT NULL")
+    found = found.join(slots, ["hash", "slot"]).select("hash", "_t", F.coalesce("to", "next").alias("to"))
+    return found.filter("to IS NOT NULL")
+
+
+def _chain(moments: DataFrame, micros: int, earlier: DataFrame | None) -> DataFrame:
+    """(hash, _t) of all misses: each hash's first open moment and what follows it by expiry."""
+    open_moments = moments
+    if earlier is not None:
+        known = earlier.select("hash", F.unix_micros("last_miss").alias("_last"))
+        still = F.col("_last").isNull() | (F.col("_t") >= F.col("_last") + micros)
+        open_moments = moments.join(known, "hash", "left").filter(still)
+    starts = cut_lineage(open_moments.groupBy("hash").agg(F.min("_t").alias("_t")))
+    jumps = [cut_lineage(_next_moments(moments, micros))]
+    while not jumps[-1].isEmpty():
+        jump = jumps[-1]
+        # from here on only starts and moments that a jump reaches can be on a chain
+        ends = jump.select("hash", F.col("to").alias("_t")).unionByName(starts.select("hash", "_t")).distinct()
+        onward = jump.select("hash", F.col("_t").alias("to"), F.col("to").alias("_next"))
+        twice = jump.join(ends, ["hash", "_t"], "left_semi").join(onward, ["hash", "to"])
+        jumps.append(cut_lineage(twice.select("hash", "_t", F.col("_next").alias("to"))))
+    chain = starts
+    for jump in reversed(jumps[:-1]):
+        both = F.explode(F.array_compact(F.array("_t", "to")))
+        chain = chain.join(jump, ["hash", "_t"], "left").select("hash", both.alias("_t"))
+    return chain
+
+
+def last_misses(flagged: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+    """``hash, last_miss`` after these arrivals, to continue from (see :func:`with_reuse`)."""
+    now = flagged.filter("NOT is_hit AND hash IS NOT NULL AND ts IS NOT NULL").select("hash", F.col("ts").alias("last_miss"))
+    known = now if earlier is None else now.unionByName(earlier)
+    return known.groupBy("hash").agg(F.max("last_miss").alias("last_miss"))
 
 
 def statistics(flagged: DataFrame) -> DataFrame:

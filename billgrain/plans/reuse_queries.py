@@ -107,8 +107,7 @@ def cache_stats(spark, sf_dir):
 
 
 def stream_ttl_dedup(spark, sf_dir):
-    stream = jobs.with_reuse(_arrivals(jobs.files(spark, sf_dir, "events.parquet")))
-    return jobs.result(stream).select("arrival_id", "is_hit")
+    return jobs.with_reuse(_arrivals(jobs.files(spark, sf_dir, "events.parquet"))).select("arrival_id", "is_hit")
 
 
 def stream_dedup(spark, sf_dir):
@@ -133,9 +132,9 @@ def stream_validate(spark, sf_dir):
 
 def stream_arrival_counts(spark, sf_dir):
     """Hits and misses per hour, from the stored output of the reuse stream."""
-    flagged = jobs.with_reuse(_arrivals(jobs.files(spark, sf_dir, "events.parquet")))
-    rows = jobs.run_to_end(flagged)
-    again = spark.readStream.schema(flagged.schema).parquet(rows)
+    arrivals = _arrivals(jobs.files(spark, sf_dir, "events.parquet"))
+    rows = jobs.reuse_rows(arrivals)
+    again = spark.readStream.schema(jobs.flagged_schema(arrivals)).parquet(rows)
     return jobs.latest(jobs.hourly_counts(again)).withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH:mm"))
 
 

@@ -3,37 +3,42 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql import types as T
 
+from billgrain.operators import reuse
 from billgrain.operators.reuse import TTL_HOURS
 from billgrain.session import shared_dir
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Table of the last miss of each hash.
+LAST_MISSES = "hash string, last_miss timestamp"
 
 
 def files(spark: SparkSession, folder: str, name: str, batch_bytes: int = 10 * 1024**3) -> DataFrame:
     """A stream over the Parquet files of a folder that match ``name``, oldest first.
 
-    ``batch_bytes`` bounds a micro-batch, and with it the rows of one key that the
-    reuse operator has to sort at a time.
+    ``batch_bytes`` bounds a micro-batch.
     """
     schema = spark.read.parquet(f"{folder}/{name}").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", name)
     return source.option("maxBytesPerTrigger", str(batch_bytes)).parquet(folder)
 
 
-def run_to_end(stream: DataFrame) -> str:
-    """Process what is there and return the folder of the result.
+def folder(spark: SparkSession, name: str | None = None) -> str:
+    """Where a stream keeps its rows and progress, in the shared folder.
 
-    Result and progress live in the shared folder, so a restarted run goes on where it
-    stopped and no executor's disk is needed.
+    A job that is started again under the same name goes on where it stopped; without a name
+    each start begins anew.
     """
-    root = f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/streams/{name or uuid.uuid4().hex}"
+
+
+def result(stream: DataFrame, name: str | None = None) -> DataFrame:
+    """Process what is there; the rows of all batches so far."""
+    spark = stream.sparkSession
+    root = folder(spark, name)
     query = (
         stream.writeStream.format("parquet")
         .option("checkpointLocation", f"{root}/progress")
@@ -41,54 +46,46 @@ def run_to_end(stream: DataFrame) -> str:
         .start(f"{root}/rows")
     )
     query.awaitTermination()
-    return f"{root}/rows"
-
-
-def result(stream: DataFrame) -> DataFrame:
-    rows = run_to_end(stream)
-    return stream.sparkSession.read.schema(stream.schema).parquet(rows)
-
+    return spark.read.schema(stream.schema).parquet(f"{root}/rows")
 
-def _processor(ttl_hours: int) -> StatefulProcessor:
-    """Built here so that the class travels to the executors by value."""
-    span = pd.Timedelta(hours=ttl_hours)
 
-    class LastMiss(StatefulProcessor):
-        """State per hash: the time of its last miss."""
+def reuse_rows(arrivals: DataFrame, name: str | None = None, ttl_hours: int = TTL_HOURS) -> str:
+    """Flag a stream of arrivals (hash, ts, arrival_id) and return the pattern of the folders with the rows.
 
-        def init(self, handle) -> None:
-            self.last = handle.getValueState("last", "ts timestamp")
+    Each micro-batch is flagged by the batch operator, which continues the chains from the
+    last miss of each hash, so a key with very many arrivals is no task's burden. The last
+    misses are a table in the shared folder, written anew under each batch's number; a batch
+    that is run again after a failure reads the same predecessor and replaces its own rows.
+    """
+    spark = arrivals.sparkSession
+    root = folder(spark, name)
+    spark.createDataFrame([], LAST_MISSES).write.mode("ignore").parquet(f"{root}/last/-1")
+
+    def flag(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        earlier = session.read.schema(LAST_MISSES).parquet(f"{root}/last/{number - 1}")
+        flagged = reuse.with_reuse(batch, ttl_hours, earlier)
+        flagged.write.mode("overwrite").parquet(f"{root}/rows/{number}")
+        written = session.read.schema(flagged.schema).parquet(f"{root}/rows/{number}")
+        reuse.last_misses(written, earlier).write.mode("overwrite").parquet(f"{root}/last/{number}")
+
+    spark.createDataFrame([], arrivals.schema).withColumn("is_hit", F.lit(False)).write.mode("ignore").parquet(f"{root}/rows/-1")
+    query = arrivals.writeStream.foreachBatch(flag).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return f"{root}/rows/*"
 
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-            # Only order matters within a batch, so the rows of a key are sorted together.
-            batch = pd.concat(list(rows)).sort_values(["ts", "arrival_id"])
-            stored = self.last.get()
-            anchor = pd.Timestamp(stored[0]) if stored is not None else None
-            hits = []
-            for moment in batch["ts"]:
-                fresh = anchor is None or moment >= anchor + span
-                anchor = moment if fresh else anchor
-                hits.append(not fresh)
-            self.last.update((anchor.to_pydatetime(),))
-            yield pd.DataFrame(
-                {"hash": key[0], "arrival_id": batch["arrival_id"], "ts": batch["ts"], "is_hit": hits}
-            )
 
-        def close(self) -> None:
-            pass
+def with_reuse(arrivals: DataFrame, name: str | None = None, ttl_hours: int = TTL_HOURS) -> DataFrame:
+    """Hit or miss for every arrival of a stream, by the same rule as the batch operator.
 
-    return LastMiss()
+    Arrivals have to come in time order from batch to batch; within a batch any order will do.
+    """
+    rows = reuse_rows(arrivals, name, ttl_hours)
+    return arrivals.sparkSession.read.schema(flagged_schema(arrivals)).parquet(rows)
 
 
-def with_reuse(arrivals: DataFrame, ttl_hours: int = TTL_HOURS) -> DataFrame:
-    """Hit or miss for every arrival; the state is one timestamp per hash."""
-    arrivals.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    return arrivals.groupBy("hash").transformWithStateInPandas(
-        _processor(ttl_hours),
-        outputStructType="hash string, arrival_id bigint, ts timestamp, is_hit boolean",
-        outputMode="Append",
-        timeMode="None",
-    )
+def flagged_schema(arrivals: DataFrame) -> T.StructType:
+    return T.StructType([*arrivals.schema.fields, T.StructField("is_hit", T.BooleanType())])
 
 
 def without_repeats(arrivals: DataFrame, ttl_hours: int = TTL_HOURS) -> DataFrame:
@@ -106,15 +103,15 @@ def hourly_counts(flagged: DataFrame) -> DataFrame:
     )
 
 
-def latest(totals: DataFrame) -> DataFrame:
+def latest(totals: DataFrame, name: str | None = None) -> DataFrame:
     """The rows of a running aggregate once all that is there has been read.
 
     Each micro-batch writes the whole (small) aggregate anew, so a batch that is run again
     after a failure leaves the same rows.
     """
     spark = totals.sparkSession
-    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    spark.createDataFrame([], totals.schema).write.parquet(f"{root}/rows")
+    root = folder(spark, name)
+    spark.createDataFrame([], totals.schema).write.mode("ignore").parquet(f"{root}/rows")
     query = (
         totals.writeStream.outputMode("complete")
         .foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{root}/rows"))

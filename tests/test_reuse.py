@@ -1,4 +1,4 @@
-"""Result reuse with expiry: batch (both paths), stream in several batches, store."""
+"""Result reuse with expiry: batch, stream in several batches, store."""
 
 import datetime as dt
 import random
@@ -35,29 +35,55 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "hash string, ts timestamp, arrival_id bigint")
 
 
-@pytest.mark.parametrize("hot", [10_000, 100, 1])
-def test_both_paths_like_brute_force(spark, hot):
-    rows = arrivals()
-    got = reuse.with_reuse(frame(spark, rows), hot=hot)
+@pytest.mark.parametrize("seed", [1, 2])
+def test_like_brute_force(spark, seed):
+    rows = arrivals(seed)
+    got = reuse.with_reuse(frame(spark, rows))
     assert {r.arrival_id: r.is_hit for r in got.collect()} == brute_force(rows)
 
 
-@pytest.mark.parametrize("hot", [100, 1])
-def test_expiry_is_not_prolonged_by_hits(spark, hot):
+def test_bursts_and_long_gaps(spark):
+    """A hot hash in bursts of equal and nearly equal times, with gaps of many days between."""
+    rnd = random.Random(3)
+    moments = [START + dt.timedelta(days=d, microseconds=rnd.randint(0, 5)) for d in (0, 1, 2, 40, 41, 400) for _ in range(30)]
+    moments += [START + dt.timedelta(days=100 + d, microseconds=-d) for d in range(20)]
+    rows = [("hot", ts, i) for i, ts in enumerate(moments)] + [("cold", START, 10_000), ("before", dt.datetime(1960, 5, 1), 10_001)]
+    got = reuse.with_reuse(frame(spark, rows))
+    assert {r.arrival_id: r.is_hit for r in got.collect()} == brute_force(rows)
+
+
+def test_expiry_is_not_prolonged_by_hits(spark):
     hours = [0, 12, 23.999, 24, 30, 47.9, 48]
     rows = [("k", START + dt.timedelta(hours=h), i) for i, h in enumerate(hours)]
-    got = sorted(reuse.with_reuse(frame(spark, rows), hot=hot).collect(), key=lambda r: r.arrival_id)
+    got = sorted(reuse.with_reuse(frame(spark, rows)).collect(), key=lambda r: r.arrival_id)
     assert [r.is_hit for r in got] == [False, True, True, False, True, True, False]
 
 
-def test_stream_over_several_batches(spark, tmp_path):
+def test_no_arrivals(spark):
+    assert reuse.with_reuse(frame(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("parts", [1, 3, 6])
+def test_stream_over_several_batches(spark, tmp_path, parts):
     rows = sorted(arrivals(4, 300), key=lambda r: r[1])
-    for part in range(3):
-        frame(spark, rows[part * 100 : (part + 1) * 100]).coalesce(1).write.mode("append").parquet(str(tmp_path))
+    rows += [(None, START, 1000), ("a", None, 1001), (None, START, 1002), ("a", None, 1003)]
+    size = -(-len(rows) // parts)
+    for part in range(parts):
+        frame(spark, rows[part * size : (part + 1) * size]).coalesce(1).write.mode("append").parquet(str(tmp_path))
     schema = "hash string, ts timestamp, arrival_id bigint"
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
-    got = jobs.result(jobs.with_reuse(stream))
-    assert {r.arrival_id: r.is_hit for r in got.collect()} == brute_force(rows)
+    got = jobs.with_reuse(stream)
+    expected = {**brute_force(rows[:300]), 1000: False, 1001: False, 1002: False, 1003: False}
+    assert {r.arrival_id: r.is_hit for r in got.collect()} == expected and got.count() == len(rows)
+
+
+def test_a_named_stream_goes_on(spark, tmp_path):
+    rows = sorted(arrivals(6, 100), key=lambda r: r[1])
+    schema, name = "hash string, ts timestamp, arrival_id bigint", f"test-{random.random()}"
+    for part in (rows[:60], rows[60:]):
+        frame(spark, part).coalesce(1).write.mode("append").parquet(str(tmp_path))
+        got = jobs.with_reuse(spark.readStream.schema(schema).parquet(str(tmp_path)), name)
+    assert {r.arrival_id: r.is_hit for r in got.collect()} == brute_force(rows) and got.count() == 100
 
 
 @pytest.mark.parametrize("parts", [1, 3, 6])
@@ -90,11 +116,10 @@ def test_documents_without_a_hash_are_never_copies(spark):
     assert got == [(1, 2), (2, 1), (3, 1)]
 
 
-@pytest.mark.parametrize("hot", [1, 1000])
-def test_arrivals_without_hash_or_time_are_misses(spark, hot):
+def test_arrivals_without_hash_or_time_are_misses(spark):
     rows = [("x", None, 1), ("x", "2024-01-01 00:00:00", 2), ("x", "2024-01-01 05:00:00", 3), ("x", None, 4), (None, "2024-01-01 00:00:00", 5), (None, "2024-01-01 01:00:00", 6)]
     df = spark.createDataFrame(rows, "hash string, ts string, arrival_id int").withColumn("ts", F.to_timestamp("ts"))
-    got = {r.arrival_id: r.is_hit for r in reuse.with_reuse(df, hot=hot).collect()}
+    got = {r.arrival_id: r.is_hit for r in reuse.with_reuse(df).collect()}
     assert got == {1: False, 2: False, 3: True, 4: False, 5: False, 6: False}
 
 
