@@ -226,11 +226,17 @@ geo AS (
   FROM boxed)
 """
 
+# Words and phrases of the zone rules.
 _ADDRESS = (
-    "calle c/ av. avda plaza street road paseo carretera urbanización edif edificio piso puerta pta bajo local"
-).split()
+    "calle", "c/", "av.", "avda", "plaza", "street", "road",
+    "paseo", "carretera", "urbanización", "edif", "edificio",
+    "piso", "puerta", "pta", "bajo", "local",
+)
 _CUSTOMER = ("cliente", "customer", "bill to", "ship to", "facturar a", "destinatario", "comprador", "buyer")
-_PRICE = "precio price pvp importe amount total subtotal base cuota iva igic tax dto descuento".split()
+_PRICE = [
+    "precio", "price", "pvp", "importe", "amount", "total", "subtotal",
+    "base", "cuota", "iva", "igic", "tax", "dto", "descuento",
+]
 
 
 def _any(column: str, words) -> str:

@@ -10,10 +10,17 @@ from billgrain.plans.oracle.base import (
 _ONCE = cells("hc", "tab", "html")
 _ENTITY = entity("ent", "tab", "hc")
 
-_EXPENSE = "HONORARIOS SUPLIDOS PROVISIONES PROV.FONDOS RETENCION".split() + ["BASE IMP", "BASE IMPONIBLE"]
+# Header words per table kind.
+_EXPENSE = (
+    "HONORARIOS", "SUPLIDOS", "PROVISIONES", "PROV.FONDOS",
+    "RETENCION", "BASE IMP", "BASE IMPONIBLE",
+)
 _ITEM = (
-    "DESCRIPCION DESCRIPTION CONCEPTO ITEM CANTIDAD QUANTITY QTY UNITS UNIDADES PRECIO PRICE PVP TOTAL IMPORTE AMOUNT"
-).split() + ["UNIT PRICE", "PRECIO UNITARIO", "LINE TOTAL"]
+    "DESCRIPCION", "DESCRIPTION", "CONCEPTO", "ITEM",
+    "CANTIDAD", "QUANTITY", "QTY", "UNITS", "UNIDADES",
+    "PRECIO", "PRICE", "PVP", "UNIT PRICE", "PRECIO UNITARIO",
+    "TOTAL", "IMPORTE", "AMOUNT", "LINE TOTAL",
+)
 
 
 def _matching(words) -> str:
