@@ -201,7 +201,7 @@ def later_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, ove
 
 
 def line_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1, min_chars: int = 20, grown: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1, min_chars: int = 20, grown: bool = False, short: bool = False
 ) -> DataFrame:
     """Each line of at least ``min_chars`` characters: ``id, body, line_no, first_id, first_line, times, links, kept``.
 
@@ -212,12 +212,14 @@ def line_classes(
     threshold stands earlier; ``grown`` also counts earlier lines within ``grown_edits`` of
     both lines' words, which change no ``links``. Rows equal in id and text share their places, so they keep the
     same lines; two texts are taken for one if two 64-bit digests agree. Null and empty texts
-    have no lines; shorter lines and other columns are not looked at.
+    have no lines. ``short`` adds the shorter lines that are not empty, which repeat only
+    exactly; without it they are not looked at. Nor are other columns.
     """
-    occurrences = _occurrences(docs, id_col, text_col, min_chars)
+    occurrences = _occurrences(docs, id_col, text_col, 1 if short else min_chars)
+    keys = f"filter({_keys(max_edits)}, k -> len >= {min_chars})"
     place = F.struct("id", "body", "no")
     distinct = stored(
-        occurrences.withColumn("keys", F.expr(f"transform({_keys(max_edits)}, k -> named_struct('key', k.key, 'role', k.role, 'at', k.at, 'n', k.n))"))
+        occurrences.withColumn("keys", F.expr(f"transform({keys if short else _keys(max_edits)}, k -> named_struct('key', k.key, 'role', k.role, 'at', k.at, 'n', k.n))"))
         .groupBy("h1", "h2")
         .agg(F.min(place).alias("place"), F.count("*").alias("times"), F.first("keys").alias("keys"))
     )
@@ -246,12 +248,12 @@ def line_classes(
     )
 
 
-def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1, min_chars: int = 20, grown: bool = False) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1, min_chars: int = 20, grown: bool = False, short: bool = False) -> DataFrame:
     """The documents without the lines that ``line_classes`` does not keep; all columns and rows stay.
 
     A text of which nothing is left becomes empty, a null text stays null.
     """
-    gone = line_classes(docs, id_col, text_col, max_edits, min_chars, grown).where("NOT kept")
+    gone = line_classes(docs, id_col, text_col, max_edits, min_chars, grown, short).where("NOT kept")
     gone = gone.groupBy(F.col(id_col).alias("_gone_id"), F.col("body").alias("_gone_body")).agg(F.collect_set("line_no").alias("_gone"))
     match = docs[id_col].eqNullSafe(F.col("_gone_id")) & (F.xxhash64(text_of(text_col)) == F.col("_gone_body"))
     left = F.filter(F.split(text_col, "\n"), lambda line, no: ~F.array_contains("_gone", no))

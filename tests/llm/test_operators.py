@@ -169,6 +169,16 @@ def test_edits_allowed_grow_with_the_line(spark):
     assert alone < gone
 
 
+def test_short_lines_repeat_exactly(spark):
+    texts = ["Home\na line of more than twenty characters\n\nNext", "Home \nHone\n\nA", "A\na line of more than twenty charakters\n\tHome", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text for r in linededup.without_repeated_lines(docs, short=True).collect()}
+    assert got == {0: texts[0], 1: "Hone\n\nA", 2: "", 3: None, 4: ""}
+    rows = {(r.doc_id, r.line_no): (r.first_id, r.first_line, r.times, r.links, r.kept) for r in linededup.line_classes(docs, short=True).collect()}
+    assert rows[(2, 2)] == (0, 0, 3, 0, False) and rows[(1, 1)] == (1, 1, 1, 0, True) and len(rows) == 9
+    assert linededup.line_classes(docs).count() == 2
+
+
 def brute_fingerprint(text):
     w = [x for x in re.split(rb"[\x20\x09-\x0d]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode())) if x]
     shingles = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
