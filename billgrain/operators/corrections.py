@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from billgrain.functions import repairs, rules
 from billgrain.functions.pin import pin
-from billgrain.session import counted_keys, cut_lineage
+from billgrain.session import cut_lineage
 
 # Own quantity, price and total each rule out numbers of at most two neighbouring
 # four-decimal classes, so the closest allowed number is among the next seven classes.
@@ -38,11 +38,12 @@ def tokens(lines: DataFrame, order: Column, *keys: str) -> DataFrame:
 
 
 def _class(value: Column) -> Column:
-    return F.round(value * CLASSES_PER_UNIT).cast("bigint")
+    # stays a double: printed numbers may have more digits than a bigint
+    return F.round(value * CLASSES_PER_UNIT)
 
 
 def _slice(number: Column) -> Column:
-    return F.floor(F.log2(F.greatest(number, F.lit(1)).cast("double")) * SLICES_PER_DOUBLING)
+    return F.floor(F.log2(F.greatest(number, F.lit(1.0))) * SLICES_PER_DOUBLING)
 
 
 def repaired_lines(
@@ -50,26 +51,16 @@ def repaired_lines(
 ) -> DataFrame:
     """Flat layout: the same repair with lines and printed text in separate tables.
 
-    ``texts`` holds the text lines (doc_id, line_order, text). In a document of usual
-    size each doubtful line meets the numbers of its document. Documents with very many
-    lines or very long text take :func:`_best_by_rank`, which never pairs them all.
+    ``texts`` holds the text lines (doc_id, line_order, text). Doubtful lines are found first;
+    then each meets only the ranks around it of the numbers of its document, so no document
+    of any size pairs all its lines with all its numbers. ``many_lines`` and ``many_chars``
+    once chose between two ways and no longer matter.
     """
-    long = texts.groupBy("doc_id").agg(F.sum(F.length("text")).alias("n")).filter(F.col("n") > many_chars)
-    crowded = lines.groupBy("doc_id").count().filter(F.col("count") > many_lines)
-    n_huge, huge = counted_keys(long.select("doc_id").union(crowded.select("doc_id")).distinct())
     doubtful = lines.filter(
         repairs.is_implausible(F.col("quantity"), F.col("unit_price"), F.col("line_total"))
     ).withColumn("expected", F.col("quantity") * F.col("unit_price"))
-    numbers = tokens(texts, F.col("line_order"), "doc_id")
-    if n_huge == 0:
-        best = _best_of_pairs(doubtful, numbers)
-    else:
-        usual = _best_of_pairs(
-            doubtful.join(huge, "doc_id", "left_anti"), numbers.join(huge, "doc_id", "left_anti")
-        )
-        best = usual.unionByName(
-            _best_by_rank(doubtful.join(huge, "doc_id", "left_semi"), numbers.join(huge, "doc_id", "left_semi"))
-        )
+    concerned = texts.join(doubtful.select("doc_id").distinct(), "doc_id", "left_semi")
+    best = _best_by_rank(doubtful, tokens(concerned, F.col("line_order"), "doc_id"))
     return lines.join(best, ["doc_id", "line_no"], "left").select(
         "doc_id",
         "line_no",
@@ -95,14 +86,6 @@ def _closest(value: Column, expected: Column, *place: str) -> Column:
     return F.min(order)["v"].alias("better")
 
 
-def _best_of_pairs(doubtful: DataFrame, numbers: DataFrame) -> DataFrame:
-    """Equi-join on the document with the window as an extra condition."""
-    places = numbers.select(F.col("doc_id").alias("n_doc"), "line_order", "idx", "value")
-    value = F.col("value")
-    pairs = doubtful.join(places, (F.col("doc_id") == F.col("n_doc")) & _allowed(value))
-    return pairs.groupBy("doc_id", "line_no").agg(_closest(value, F.col("expected"), "line_order", "idx"))
-
-
 def _best_by_rank(doubtful: DataFrame, numbers: DataFrame) -> DataFrame:
     """Each line meets only the few ranks of its document's numbers around quantity x price.
 

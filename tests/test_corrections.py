@@ -109,6 +109,18 @@ def test_limits(spark):
     assert flat(spark, docs, many_lines=0) == expected
 
 
+def test_numbers_of_many_digits(spark):
+    long = ["1234567890123456", "12345678901234567", "123456789012345678", "9223372036854775808", "99999999999999999999", "9" * 400]
+    text = "IBAN 19 " + " ".join(long)
+    items = [(2.0, 10.0, 1.0), (1e8, 1.3e8, 1.0), (1e10, 1.0e10, 1.0)]
+    docs = [(items, text), (items, "\n".join([text] + [f"{n} 21" for n in range(3000, 12000)]))]
+    expected = [brute_force(items, numbers_of(text)) for items, text in docs]
+    assert expected[0] == [19.0, 12345678901234567.0, 99999999999999999999.0]
+    assert nested(spark, docs) == expected
+    assert flat(spark, docs) == expected
+    assert flat(spark, docs, many_lines=0, many_chars=0) == expected
+
+
 def test_assembly_keeps_all_lines_and_empty_invoices(spark):
     lines = spark.range(1, 2501).selectExpr(
         "1 AS doc_id", "cast(id AS int) AS line_no", "'x' AS description", "1D AS quantity", "1D AS unit_price", "1D AS line_total"
