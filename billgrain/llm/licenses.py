@@ -2,11 +2,15 @@
 
 A text is brought to one form: lower case, copyright lines gone, equivalent spellings made
 one, punctuation and white space reduced to single blanks. Its digest is joined with those of
-the known texts. Looked up are the whole document and each of its lines.
+the known texts. Looked up are the whole document, each of its lines, and its blocks of lines
+between blank ones: a known text of several blocks is found where all of them follow each
+other, whichever way their lines are wrapped.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,13 +74,48 @@ def known_digests(spark, known=KNOWN) -> DataFrame:
     return texts.select("license", F.md5(canonical(F.col("text"))).alias("digest")).distinct()
 
 
+def whole_texts() -> list[tuple[str, str]]:
+    """``license, text`` of the licences and headers stored with this module."""
+    files = sorted((Path(__file__).parent / "license_texts").glob("*.txt"))
+    return [(f.name.removesuffix(".txt").removesuffix(".header"), f.read_text(encoding="utf-8")) for f in files]
+
+
+def _blocks(text: Column) -> Column:
+    """Canonical blocks of lines between blank ones; what is only a copyright line is none."""
+    return F.filter(F.transform(F.split(text, r"\n(?:[ \t\r]*\n)+"), lambda b: canonical(b)), lambda b: b != "")
+
+
+def known_blocks(spark, texts=None) -> DataFrame:
+    """``license, text, blocks, at, digest``: each block of the known texts of several lines, by place."""
+    rows = [(k, name, t.strip("\n")) for k, (name, t) in enumerate(whole_texts() + [*KNOWN] if texts is None else texts)]
+    known = spark.createDataFrame(rows, "text int, license string, body string").withColumn("b", _blocks(F.col("body")))
+    return known.select("license", "text", F.size("b").alias("blocks"), F.posexplode("b").alias("at", "block")).withColumn("digest", F.md5("block")).drop("block")
+
+
+def license_blocks(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, license, scope, times`` with scope ``block``: known texts that stand as runs of blocks.
+
+    A text of one line is not looked for here when it stands as one line: that is scope ``line``.
+    """
+    known = known_blocks(docs.sparkSession) if known is None else known
+    text = text_of(text_col)
+    wrapped = F.transform(F.split(text, r"\n(?:[ \t\r]*\n)+"), lambda b: F.struct(canonical(b).alias("form"), F.btrim(b, F.lit(" \t\r\n")).contains("\n").alias("wrapped")))
+    blocks = docs.select(F.col(id_col).alias("id"), F.expr("uuid()").alias("row"), F.filter(wrapped, lambda b: b["form"] != "").alias("b"))
+    blocks = blocks.select("id", "row", F.posexplode("b").alias("no", "b")).select("id", "row", "no", F.md5("b.form").alias("digest"), "b.wrapped")
+    met = blocks.join(F.broadcast(known), "digest").withColumn("start", F.col("no") - F.col("at"))
+    whole = met.groupBy("id", "row", "license", "text", "blocks", "start").agg(F.count("*").alias("n"), F.max("wrapped").alias("wrapped"))
+    whole = whole.where("n = blocks AND (blocks > 1 OR wrapped)").select("id", "row", "license", "start").distinct()
+    return whole.groupBy("id", "license").agg(F.count("*").alias("times")).select(F.col("id").alias(id_col), "license", F.lit("block").alias("scope"), "times")
+
+
 def licenses(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, license, scope, times``: the licences a document is or contains as whole lines.
+    """``id, license, scope, times``: the licences a document is or contains as whole lines or blocks.
 
-    ``scope`` is ``document`` or ``line``; a text of one line counts as both. Null and empty
+    ``scope`` is ``document``, ``line`` or ``block`` (with the given list ``known``: not ``block``); a text of one line counts as both. Null and empty
     texts match nothing; rows with one id are counted together, a null id counts as an id.
     """
-    known = known_digests(docs.sparkSession) if known is None else known
+    blocks = license_blocks(docs, None, id_col, text_col) if known is None else None
+    known = known_digests(docs.sparkSession, [*KNOWN, *whole_texts()]) if known is None else known
     text = text_of(text_col)
     unit = F.concat(
         F.array(F.struct(F.lit("document").alias("scope"), text.alias("text"))),
@@ -84,4 +123,5 @@ def licenses(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc
     )
     units = docs.select(F.col(id_col).alias("id"), F.explode(unit).alias("unit")).select("id", "unit.scope", F.md5(canonical(F.col("unit.text"))).alias("digest"))
     found = units.join(F.broadcast(known), "digest")
-    return found.groupBy("id", "license", "scope").agg(F.count("*").alias("times")).withColumnRenamed("id", id_col)
+    found = found.groupBy("id", "license", "scope").agg(F.count("*").alias("times")).withColumnRenamed("id", id_col)
+    return found if blocks is None else found.unionByName(blocks)

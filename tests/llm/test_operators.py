@@ -224,6 +224,25 @@ def test_licenses(docs):
     assert licenses.licenses(docs.limit(0)).count() == 0
 
 
+def test_whole_licence_texts(spark):
+    text = dict(licenses.whole_texts())
+    mit, gpl = text["MIT"], text["GPL-3.0"]
+    header = (licenses.Path(licenses.__file__).parent / "license_texts" / "Apache-2.0.header.txt").read_text()
+    rows = [
+        (0, "Copyright (c) 2020 Someone\n\n" + mit.replace("sublicense", "sublicence").replace("COPYRIGHT HOLDERS", "Copyright Holders")),
+        (1, "Notes\n\n" + mit.replace("\n\n", "\0").replace("\n", " ").replace("\0", "\n \n") + "\n\nmore text"),
+        (2, gpl),
+        (3, "import x\n\n" + header + "\nrest"),
+        (4, "first\n\nThis project is licensed\nunder the terms of the MIT license.\n\nlast"),
+        (5, mit.split("\n\n")[0]),
+        (6, text["BSD-3-Clause"] + "\n" + text["BSD-3-Clause"]),
+    ]
+    got = {(r.doc_id, r.license, r.scope): r.times for r in licenses.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    expected = {(0, "MIT", "document"): 1, (0, "MIT", "block"): 1, (1, "MIT", "block"): 1, (2, "GPL-3.0", "document"): 1, (2, "GPL-3.0", "block"): 1}
+    expected |= {(3, "Apache-2.0", "line"): 1, (3, "Apache-2.0", "block"): 1, (4, "MIT", "block"): 1, (6, "BSD-3-Clause", "block"): 2}
+    assert got == expected
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
