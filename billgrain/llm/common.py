@@ -45,3 +45,21 @@ def short_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of this session by rows and bytes (runtime SQL settings)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+#: A key with this part of all rows or more is hot: there are at most so many of them.
+HOT_KEYS = 1000
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """``rows`` with the columns of ``facts``, which has one row per key and in ``times`` the rows of that key.
+
+    Keys with at least one in ``HOT_KEYS`` of all ``total`` rows, so at most ``HOT_KEYS`` of them,
+    are broadcast and their rows stay where they are; only the other rows are shuffled. Both
+    tables should be stored ones, as they are read more than once; keys must not be null.
+    """
+    hot = F.col("times") * HOT_KEYS >= total
+    often, rarely = facts.where(hot), facts.where(~hot)
+    stay = rows.join(F.broadcast(often), keys)
+    move = rows.join(F.broadcast(often.select(*keys)), keys, "left_anti").join(rarely, keys)
+    return stay.unionByName(move)

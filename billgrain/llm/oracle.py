@@ -127,4 +127,96 @@ SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'bytes' A
 FROM cut
 """
 
-SQL = {"op2_line_edit_dedup": OP2, "op3_source_mix": OP3, "op9_license_scan": OP9, "op10_byte_shards": OP10}
+OP11 = r"""
+WITH rows AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), failing AS (
+  SELECT doc_id, part, [
+    len(words) < 100,
+    100 * len(list_distinct(words)) < 80 * len(words),
+    100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text),
+    regexp_matches(text, '[#$%&*|]'),
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS fails
+  FROM rows
+), marks AS (
+  SELECT doc_id, max(coalesce(quality, 0) = 1) AS good, max(coalesce(toxic, 0) = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), sets AS (
+  SELECT part, fails, count(*) AS n, count_if(coalesce(good, false)) AS good, count_if(coalesce(toxic, false)) AS toxic
+  FROM failing LEFT JOIN marks USING (doc_id) GROUP BY part, fails
+), letters AS (SELECT unnest(range(1, 6)) AS f), orders AS (
+  SELECT [a.f, b.f, c.f, d.f, e.f] AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), steps AS (SELECT o, array_to_string(list_transform(o, lambda f: substring('ABCDE', f, 1)), '') AS filter_order, unnest(range(1, 6))::INT AS step FROM orders),
+counted AS (
+  SELECT part, filter_order, step, o[step] AS f,
+    sum(n) FILTER (WHERE NOT early AND NOT own) AS kept,
+    sum(n) FILTER (WHERE NOT early AND own) AS removed,
+    sum(n) FILTER (WHERE early AND own) AS redundant,
+    sum(n) FILTER (WHERE own AND alone) AS unique_fails,
+    sum(good) FILTER (WHERE NOT early AND own) AS good_lost,
+    sum(toxic) FILTER (WHERE NOT early AND own) AS toxic_lost
+  FROM (
+    SELECT *, fails[o[step]] AS own, len(list_filter(o[1:step - 1], lambda f: fails[f])) > 0 AS early, len(list_filter(fails, lambda x: x)) = 1 AS alone
+    FROM sets, steps
+  ) GROUP BY part, filter_order, step, f
+)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+       coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       coalesce(sum(removed) OVER (PARTITION BY part, f), 0)::BIGINT AS shapley
+FROM counted
+"""
+
+_LOWER = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP12 = rf"""
+WITH RECURSIVE rows AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format(text="coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+  FROM rows
+), members AS (SELECT doc_id, len(s) AS n, unnest(s) AS m FROM sets),
+links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM members a JOIN members b ON a.m = b.m AND a.doc_id != b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reached AS (
+  SELECT doc_id AS u, doc_id AS v FROM sets
+  UNION
+  SELECT r.u, l.v FROM reached r JOIN links l ON r.v = l.u
+), least AS (SELECT u, min(v) AS component_id FROM reached GROUP BY u)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN least ON u = doc_id
+"""
+
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(regexp_replace(hex(encode({text})), '(..)', '\\1 ', 'g'), ' ')[:-2], lambda h: ('0x' || h)::BIGINT)),
+      lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)"""
+
+OP13 = rf"""
+WITH crc_table AS (SELECT {_CRC_TABLE} AS t),
+rows AS (
+  SELECT doc_id, row_number() OVER () AS no, regexp_extract_all({_LOWER.format(text="coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), aim AS (SELECT regexp_extract_all({_LOWER.format(text="coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+words AS (SELECT no, unnest(w) AS word FROM rows), aim_words AS (SELECT unnest(w) AS word FROM aim),
+vocabulary AS (SELECT word, {_CRC.format(text="word")} % 10000 AS bucket FROM (SELECT word FROM words UNION SELECT word FROM aim_words), crc_table),
+s AS (SELECT bucket, count(*) AS s FROM words JOIN vocabulary USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM aim_words JOIN vocabulary USING (word) GROUP BY bucket),
+totals AS (SELECT (SELECT coalesce(sum(s), 0) FROM s) AS all_s, (SELECT coalesce(sum(t), 0) FROM t) AS all_t),
+gains AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (all_s + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * (all_t + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM s FULL JOIN t USING (bucket), totals
+), sums AS (SELECT no, sum(gain) AS gain FROM words JOIN vocabulary USING (word) JOIN gains USING (bucket) GROUP BY no),
+scored AS (
+  SELECT doc_id, len(w)::BIGINT AS n_features, CASE WHEN len(w) = 0 THEN 0 ELSE floor(gain::DOUBLE / len(w))::BIGINT END AS weight,
+    floor(-1000 * ln(-ln((('0x' || substring(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS noise
+  FROM rows LEFT JOIN sums USING (no)
+), placed AS (
+  SELECT doc_id, n_features, weight, weight + noise AS score, n_features >= 20 AS able,
+    row_number() OVER (PARTITION BY n_features >= 20 ORDER BY weight + noise DESC, doc_id NULLS LAST, n_features, weight) AS place,
+    count(*) FILTER (WHERE n_features >= 20) OVER () AS n_able
+  FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 10 * n_able // 100 THEN place END AS rank FROM placed
+"""
+
+SQL = {"op2_line_edit_dedup": OP2, "op3_source_mix": OP3, "op9_license_scan": OP9, "op10_byte_shards": OP10, "op11_filter_audit": OP11, "op12_jaccard_tiles": OP12, "op13_importance_draw": OP13}

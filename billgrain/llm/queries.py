@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billgrain.llm import fertility, licenses, linededup, mixing, neighbours, packing, sharding, simhash, toxicity, warc
+from billgrain.llm import fertility, filteraudit, jaccard, licenses, linededup, mixing, neighbours, packing, resampling, sharding, simhash, toxicity, warc
 from billgrain.llm.common import n_words, table, text_of
 from billgrain.session import shared_dir
 
@@ -83,6 +83,18 @@ def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_jaccard_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_sets(table(spark, sf_dir, "documents"), shingle=5, percent=80)
+
+
+def op13_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), longest=1, n_buckets=10_000, percent=10)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -96,5 +108,8 @@ QUERIES = {
         op8_simhash_classes,
         op9_license_scan,
         op10_byte_shards,
+        op11_filter_audit,
+        op12_jaccard_tiles,
+        op13_importance_draw,
     )
 }
