@@ -27,30 +27,43 @@ def first_of_each(documents: DataFrame, *order: str) -> DataFrame:
 
 
 def entries(results: DataFrame, cached_at: Column, ttl_hours: int = TTL_HOURS) -> DataFrame:
-    """Rows for the store of processed results: one per hash, latest wins, PDFs only."""
+    """Rows for the store of processed results: one per hash, latest wins, PDFs only.
+
+    An ``invoice`` is kept as JSON with its NULL fields; of results of one moment the greatest
+    text is kept, so every run keeps the same one.
+    """
     stamped = results.filter("hash IS NOT NULL").withColumn("cached_at", cached_at)
-    latest = stamped.groupBy("hash").agg(F.max("cached_at").alias("cached_at"))
-    return latest.select(
-        "hash",
-        "cached_at",
-        (F.col("cached_at") + F.expr(f"INTERVAL {ttl_hours} HOURS")).alias("expires_at"),
-        F.to_date("cached_at").alias("cached_date"),
+    kept = ["cached_at"]
+    if "invoice" in results.columns:
+        stamped = stamped.withColumn("invoice", F.to_json("invoice", {"ignoreNullFields": "false"}))
+        kept.append("invoice")
+    latest = stamped.groupBy("hash").agg(F.max(F.struct(*kept)).alias("e")).select("hash", "e.*")
+    return latest.withColumns(
+        {
+            "expires_at": F.col("cached_at") + F.expr(f"INTERVAL {ttl_hours} HOURS"),
+            "cached_date": F.to_date("cached_at"),
+        }
     )
 
 
 def hits(documents: DataFrame, processed: DataFrame, now: Column) -> DataFrame:
-    """Documents answered from the store. They report a perfect validation, whatever it was.
+    """Documents answered from the store: the stored ``invoice``, if the store holds one, and a
+    perfect validation without errors or warnings, whatever it was.
 
     ``processed`` has one row per hash, so copies of a document join one to one; adaptive
     execution splits the side that holds many copies.
     """
-    live = processed.filter(now < F.col("expires_at")).select("hash", "cached_at")
-    return documents.join(live, "hash").select(
+    kept = [c for c in ("cached_at", "invoice") if c in processed.columns]
+    live = processed.filter(now < F.col("expires_at")).select("hash", *kept)
+    none = F.array().cast("array<string>")
+    return documents.select("doc_id", "hash").join(live, "hash").select(
         "doc_id",
         "hash",
-        "cached_at",
+        *kept,
         F.lit("cache_hit").alias("processing_method"),
         F.lit(True).alias("is_valid"),
+        none.alias("errors"),
+        none.alias("warnings"),
         F.lit(100.0).alias("quality_score"),
     )
 

@@ -13,10 +13,24 @@ up AS (
   FROM documents, types)"""
 
 _STORE = """
-pdf AS (SELECT doc_id, sha256(text) AS hash, TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(doc_id % 48 AS BIGINT)) AS came FROM documents),
-store AS (SELECT hash, max(came) AS cached_at, max(came) + INTERVAL 24 HOUR AS expires_at FROM pdf GROUP BY hash)"""
+pdf AS (
+  SELECT doc_id, sha256(text) AS hash, TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(doc_id % 48 AS BIGINT)) AS came,
+    '{"metadata":{"invoice_number":"D-' || doc_id || '","issue_date":null,"due_date":null},"notes":'
+      || CASE WHEN doc_id % 3 = 0 THEN coalesce('"' || lang || '"', 'null') ELSE 'null' END
+      || ',"parties":{"vendor":{"name":' || coalesce('"' || source || '"', 'null')
+      || ',"tax_id":null}},"financial_details":{"currency":"EUR","total_amount":' || (CAST(n_chars AS DOUBLE) / 100)
+      || ',"discount":null},"items":[]}' AS invoice
+  FROM documents),
+store AS (
+  SELECT hash, max(came) AS cached_at, max(came) + INTERVAL 24 HOUR AS expires_at, arg_max(invoice, {'c': came, 'i': invoice}) AS invoice
+  FROM pdf GROUP BY hash)"""
 _NOW = "TIMESTAMP '2024-01-02 12:00:00'"
 
+_HITS = with_ctes(_STORE, select=f"""
+      SELECT doc_id, pdf.hash, store.invoice, 'cache_hit' AS processing_method, true AS is_valid, '' AS errors, '' AS warnings,
+        100.0::DOUBLE AS quality_score
+      FROM pdf JOIN store ON pdf.hash = store.hash WHERE {_NOW} < expires_at""")
+
 _TTL = """
 a AS (SELECT user_id || event_type AS hash, ts, event_id FROM events),
 nxt AS MATERIALIZED (
@@ -92,11 +106,10 @@ SQL = {
         WHEN body = '' THEN 'empty' WHEN octet_length(encode(body)) > 5000 THEN 'too_large' END AS reject_reason FROM up"""),
     "dedup_exact": with_ctes(_STORE, select="SELECT hash, min(doc_id) AS doc_id, count(*) AS n_copies FROM pdf GROUP BY hash"),
     "cache_store": with_ctes(_STORE, select="""
-      SELECT hash, strftime(cached_at, '%Y-%m-%d %H:%M:%S') AS cached_at, strftime(expires_at, '%Y-%m-%d %H:%M:%S') AS expires_at,
+      SELECT hash, invoice, strftime(cached_at, '%Y-%m-%d %H:%M:%S') AS cached_at, strftime(expires_at, '%Y-%m-%d %H:%M:%S') AS expires_at,
         strftime(cached_at, '%Y-%m-%d') AS cached_date FROM store"""),
-    "cache_hits": with_ctes(_STORE, select=f"""
-      SELECT doc_id, pdf.hash, 'cache_hit' AS processing_method, true AS is_valid, 100.0::DOUBLE AS quality_score
-      FROM pdf JOIN store ON pdf.hash = store.hash WHERE {_NOW} < expires_at"""),
+    "cache_hits": _HITS,
+    "store_lookup": _HITS,
     "cache_misses": with_ctes(_STORE, select=f"""
       SELECT doc_id, hash FROM pdf WHERE hash NOT IN (SELECT hash FROM store WHERE {_NOW} < expires_at)"""),
     "cache_invalidate": with_ctes(_STORE, select="""

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from billgrain.operators import intake, reuse, validation
 from billgrain.plans import corpora, response_queries
+from billgrain.session import shared_dir
+from billgrain.sources import store
 from billgrain.streaming import jobs
 
 TYPES = (*intake.ACCEPTED_TYPES, "text/plain", "application/zip")
@@ -23,11 +27,17 @@ def _uploads(spark, sf_dir):
 
 
 def _pdfs(spark, sf_dir):
-    """All documents as PDFs, with the time they came in (one or two days in 2024)."""
+    """All documents as PDFs, with the time they came in (one or two days in 2024) and what was read from them."""
     return corpora.table(spark, sf_dir, "documents").select(
         "doc_id",
         F.sha2("text", 256).alias("hash"),
         F.expr("TIMESTAMP '2024-01-01 00:00:00' + make_dt_interval(0, cast(doc_id % 48 AS int))").alias("came"),
+        F.expr("""named_struct(
+          'metadata', named_struct('invoice_number', concat('D-', doc_id), 'issue_date', CAST(NULL AS string), 'due_date', CAST(NULL AS string)),
+          'notes', CASE WHEN doc_id % 3 = 0 THEN lang END,
+          'parties', named_struct('vendor', named_struct('name', source, 'tax_id', CAST(NULL AS string))),
+          'financial_details', named_struct('currency', 'EUR', 'total_amount', cast(n_chars AS double) / 100, 'discount', CAST(NULL AS struct<amount:double>)),
+          'items', CAST(array() AS array<struct<description:string>>))""").alias("invoice"),
     )
 
 
@@ -62,16 +72,29 @@ def dedup_exact(spark, sf_dir):
     return reuse.first_of_each(_pdfs(spark, sf_dir), "doc_id")
 
 
+def _answers(found):
+    lists = [F.array_join(c, " | ").alias(c) for c in ("errors", "warnings")]
+    return found.select("doc_id", "hash", "invoice", "processing_method", "is_valid", *lists, "quality_score")
+
+
 def cache_store(spark, sf_dir):
     def shown(c):
         return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
 
-    return _store(spark, sf_dir).select("hash", shown("cached_at"), shown("expires_at"), F.col("cached_date").cast("string").alias("cached_date"))
+    kept = _store(spark, sf_dir)
+    return kept.select("hash", "invoice", shown("cached_at"), shown("expires_at"), F.col("cached_date").cast("string").alias("cached_date"))
 
 
 def cache_hits(spark, sf_dir):
-    found = reuse.hits(_pdfs(spark, sf_dir), _store(spark, sf_dir), F.expr(NOW))
-    return found.select("doc_id", "hash", "processing_method", "is_valid", "quality_score")
+    return _answers(reuse.hits(_pdfs(spark, sf_dir), _store(spark, sf_dir), F.expr(NOW)))
+
+
+def store_lookup(spark, sf_dir):
+    """The results of both days written to a stored table, each day on its own, and all documents looked up in it."""
+    path, pdfs = f"{shared_dir(spark)}/results/{uuid.uuid4().hex}", _pdfs(spark, sf_dir)
+    for day in ("2024-01-02", "2024-01-01"):
+        store.append(pdfs.filter(F.to_date("came") == day), path, F.col("came"))
+    return _answers(store.lookup(pdfs, path, F.expr(NOW)))
 
 
 def cache_misses(spark, sf_dir):
@@ -141,7 +164,7 @@ def stream_arrival_counts(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        doc_intake, doc_sha256, admit_documents, dedup_exact, cache_store, cache_hits, cache_misses,
+        doc_intake, doc_sha256, admit_documents, dedup_exact, cache_store, cache_hits, store_lookup, cache_misses,
         cache_invalidate, all_results, ttl_dedup, cache_stats, stream_ttl_dedup, stream_dedup,
         stream_validate, stream_arrival_counts,
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,10 @@ from billgrain.operators import reuse
 from billgrain.operators.reuse import TTL_HOURS
 from billgrain.session import shared_dir
 
-#: Table of the last miss of each hash.
-LAST_MISSES = "hash string, last_miss timestamp"
+#: Log of misses, by day and batch.
+MISSES = "hash string, last_miss timestamp, day date, batch long"
+#: What a batch leaves to the next: the time up to which arrivals were released. What waited at the end of a run is half a batch.
+MARK = "batch double, released timestamp"
 
 
 def files(spark: SparkSession, folder: str, name: str, batch_bytes: int = 10 * 1024**3) -> DataFrame:
@@ -49,38 +52,106 @@ def result(stream: DataFrame, name: str | None = None) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{root}/rows")
 
 
-def reuse_rows(arrivals: DataFrame, name: str | None = None, ttl_hours: int = TTL_HOURS) -> str:
+class _ReuseJob:
+    """The folders of a reuse stream and what happens to a micro-batch.
+
+    ``misses``: the log of misses, partitioned by day and batch; a batch adds its own and reads
+    the days that its expiry reaches back to, so what it writes grows with the batch and what it
+    reads with the expiry, not with the history. ``held`` and ``mark``: arrivals not yet
+    released and the time up to which they were; two places by turns, so that a batch that is
+    run again finds what its predecessor left.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, ttl_hours: int, delay_hours: float | None):
+        self.root, self.schema, self.ttl_hours, self.delay_hours = root, schema, ttl_hours, delay_hours
+        self.flagged = T.StructType([*schema.fields, T.StructField("is_hit", T.BooleanType())])
+        for place in (0, 1):
+            spark.createDataFrame([], MARK).write.mode("ignore").parquet(f"{root}/mark/{place}")
+        spark.createDataFrame([], self.flagged).write.mode("ignore").parquet(f"{root}/rows/-1")
+        spark.createDataFrame([], MISSES).write.mode("ignore").partitionBy("day", "batch").parquet(f"{root}/misses")
+
+    def last(self, spark: SparkSession, number: float) -> tuple[float | None, int, dt.datetime | None]:
+        """Number, place and mark of the batch before ``number``."""
+        found = [(r.batch, place, r.released) for place in (0, 1) for r in spark.read.schema(MARK).parquet(f"{self.root}/mark/{place}").collect()]
+        return max((f for f in found if f[0] < number), default=(None, 1, None), key=lambda f: f[0])
+
+    def flag(self, batch: DataFrame, number: float, finish: bool = False) -> None:
+        spark = batch.sparkSession
+        before, place, released = self.last(spark, number)
+        rows = batch
+        if before is not None and self.delay_hours is not None:
+            rows = batch.unionByName(spark.read.schema(self.schema).parquet(f"{self.root}/held/{place}"))
+        ready = rows
+        if self.delay_hours is not None and not finish:
+            newest = rows.agg((F.max("ts") - F.expr(f"INTERVAL '{self.delay_hours * 3600}' SECOND")).alias("t")).first().t
+            released = max((t for t in (newest, released) if t is not None), default=None)
+            # a moment is released once nothing of it can come any more
+            waits = F.col("ts").isNotNull() & F.col("hash").isNotNull() & (F.lit(True) if released is None else F.col("ts") >= F.lit(released))
+            rows.filter(waits).write.mode("overwrite").parquet(f"{self.root}/held/{1 - place}")
+            ready = rows.filter(~waits)
+        elif finish:
+            spark.createDataFrame([], self.schema).write.mode("overwrite").parquet(f"{self.root}/held/{1 - place}")
+        path = f"{self.root}/rows/{number}"
+        reuse.with_reuse(ready, self.ttl_hours, self.earlier(spark, ready, number)).write.mode("overwrite").parquet(path)
+        self.log(spark.read.schema(self.flagged).parquet(path), number)
+        mark = [(float(number), released)]
+        spark.createDataFrame(mark, MARK).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/mark/{1 - place}")
+
+    def earlier(self, spark: SparkSession, ready: DataFrame, number: float) -> DataFrame | None:
+        """The last miss, before this batch, of each of its hashes that can still matter to it."""
+        oldest = ready.agg((F.min("ts") - F.expr(f"INTERVAL {self.ttl_hours} HOURS")).alias("t")).first().t
+        if oldest is None:
+            return None
+        log = spark.read.schema(MISSES).parquet(f"{self.root}/misses")
+        log = log.filter((F.col("day") >= F.lit(oldest.date())) & (F.col("batch") < number))
+        wanted = ready.filter("hash IS NOT NULL AND ts IS NOT NULL").select("hash").distinct()
+        return log.join(wanted, "hash", "left_semi").groupBy("hash").agg(F.max("last_miss").alias("last_miss"))
+
+    def log(self, flagged: DataFrame, number: float) -> None:
+        number = int(number) if number == int(number) else -2 - int(number)
+        missed = flagged.filter("NOT is_hit AND hash IS NOT NULL AND ts IS NOT NULL")
+        missed = missed.select("hash", F.col("ts").alias("last_miss"), F.to_date("ts").alias("day"), F.lit(number).cast("long").alias("batch"))
+        out = missed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch")
+        out.parquet(f"{self.root}/misses")
+
+
+def reuse_rows(
+    arrivals: DataFrame, name: str | None = None, ttl_hours: int = TTL_HOURS, delay_hours: float | None = None, finish: bool = True
+) -> str:
     """Flag a stream of arrivals (hash, ts, arrival_id) and return the pattern of the folders with the rows.
 
     Each micro-batch is flagged by the batch operator, which continues the chains from the
-    last miss of each hash, so a key with very many arrivals is no task's burden. The last
-    misses are a table in the shared folder, written anew under each batch's number; a batch
-    that is run again after a failure reads the same predecessor and replaces its own rows.
+    last misses in the log, so a key with very many arrivals is no task's burden. See
+    :func:`with_reuse` for ``delay_hours`` and ``finish``.
     """
     spark = arrivals.sparkSession
     root = folder(spark, name)
-    spark.createDataFrame([], LAST_MISSES).write.mode("ignore").parquet(f"{root}/last/-1")
-
-    def flag(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        earlier = session.read.schema(LAST_MISSES).parquet(f"{root}/last/{number - 1}")
-        flagged = reuse.with_reuse(batch, ttl_hours, earlier)
-        flagged.write.mode("overwrite").parquet(f"{root}/rows/{number}")
-        written = session.read.schema(flagged.schema).parquet(f"{root}/rows/{number}")
-        reuse.last_misses(written, earlier).write.mode("overwrite").parquet(f"{root}/last/{number}")
-
-    spark.createDataFrame([], arrivals.schema).withColumn("is_hit", F.lit(False)).write.mode("ignore").parquet(f"{root}/rows/-1")
-    query = arrivals.writeStream.foreachBatch(flag).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
+    job = _ReuseJob(spark, root, arrivals.schema, ttl_hours, delay_hours)
+    query = arrivals.writeStream.foreachBatch(job.flag).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
+    if delay_hours is not None and finish:
+        number = job.last(spark, float("inf"))[0]
+        if number is not None and number == int(number):
+            job.flag(spark.createDataFrame([], arrivals.schema), number + 0.5, finish=True)
     return f"{root}/rows/*"
 
 
-def with_reuse(arrivals: DataFrame, name: str | None = None, ttl_hours: int = TTL_HOURS) -> DataFrame:
+def with_reuse(
+    arrivals: DataFrame, name: str | None = None, ttl_hours: int = TTL_HOURS, delay_hours: float | None = None, finish: bool = True
+) -> DataFrame:
     """Hit or miss for every arrival of a stream, by the same rule as the batch operator.
 
-    Arrivals have to come in time order from batch to batch; within a batch any order will do.
+    Without ``delay_hours`` every arrival is answered in its batch, and arrivals have to come in
+    time order from batch to batch; within a batch any order will do. With it, arrivals wait
+    until the newest one is so much later, and are answered in time order: any split into
+    batches and any order in which none comes later than that gives the batch operator's
+    result. An arrival that is later still is a hit if a miss of its hash was found in the
+    expiry before it or at any time after it, else a miss. ``finish`` answers the arrivals that wait at
+    the end of what is there; leave it off for a named stream that will go on, where what comes
+    next may belong before them. Arrivals without a hash or a
+    time never wait.
     """
-    rows = reuse_rows(arrivals, name, ttl_hours)
+    rows = reuse_rows(arrivals, name, ttl_hours, delay_hours, finish)
     return arrivals.sparkSession.read.schema(flagged_schema(arrivals)).parquet(rows)
 
 

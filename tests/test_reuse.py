@@ -77,6 +77,50 @@ def test_stream_over_several_batches(spark, tmp_path, parts):
     assert {r.arrival_id: r.is_hit for r in got.collect()} == expected and got.count() == len(rows)
 
 
+@pytest.mark.parametrize("parts, delay", [(2, 30), (5, 30), (9, 50)])
+def test_disorder_within_the_delay_changes_nothing(spark, tmp_path, parts, delay):
+    rows = sorted(arrivals(7, 250), key=lambda r: r[1])
+    shaken = random.Random(parts)
+    rows = sorted(rows, key=lambda r: r[1] + dt.timedelta(hours=shaken.uniform(0, delay)))
+    moments = [r[1] for r in rows]
+    # nothing comes later than the delay allows
+    assert all(max(moments[: i + 1]) - t <= dt.timedelta(hours=delay) for i, t in enumerate(moments))
+    size = -(-len(rows) // parts)
+    for part in range(parts):
+        frame(spark, rows[part * size : (part + 1) * size]).coalesce(1).write.mode("append").parquet(str(tmp_path))
+    stream = spark.readStream.schema("hash string, ts timestamp, arrival_id bigint").option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
+    got = jobs.with_reuse(stream, delay_hours=delay)
+    assert {r.arrival_id: r.is_hit for r in got.collect()} == brute_force(rows) and got.count() == len(rows)
+
+
+def test_a_named_stream_keeps_what_waits(spark, tmp_path):
+    rows = sorted(arrivals(8, 120), key=lambda r: r[1])
+    schema, name = "hash string, ts timestamp, arrival_id bigint", f"test-{random.random()}"
+    stream = lambda: spark.readStream.schema(schema).parquet(str(tmp_path))
+    first, second = rows[:90:2] + rows[90:91], rows[1:90:2] + rows[91:]
+    delay = (rows[90][1] - rows[0][1]).total_seconds() / 3600 + 1
+    frame(spark, first).coalesce(1).write.mode("append").parquet(str(tmp_path))
+    assert jobs.with_reuse(stream(), name, delay_hours=delay, finish=False).count() == 0
+    frame(spark, second).coalesce(1).write.mode("append").parquet(str(tmp_path))
+    got = jobs.with_reuse(stream(), name, delay_hours=delay)
+    assert {r.arrival_id: r.is_hit for r in got.collect()} == brute_force(rows) and got.count() == 120
+
+
+def test_a_batch_writes_its_own_misses_only(spark, tmp_path):
+    for day in range(4):
+        rows = [(f"h{day}-{i}", START + dt.timedelta(days=3 * day, seconds=i), 10 * day + i) for i in range(10)]
+        frame(spark, rows).coalesce(1).write.mode("append").parquet(str(tmp_path))
+    name = f"test-{random.random()}"
+    stream = spark.readStream.schema("hash string, ts timestamp, arrival_id bigint").option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
+    jobs.with_reuse(stream, name)
+    log = spark.read.schema(jobs.MISSES).parquet(f"{jobs.folder(spark, name)}/misses")
+    assert {r.batch: r["count"] for r in log.groupBy("batch").count().collect()} == {i: 10 for i in range(4)}
+    # a batch that is run again leaves the same rows
+    job = jobs._ReuseJob(spark, jobs.folder(spark, name), log.sparkSession.read.parquet(str(tmp_path)).schema, 24, None)
+    job.flag(spark.read.parquet(str(tmp_path)).filter("arrival_id >= 30"), 3)
+    assert log.sparkSession.read.schema(jobs.MISSES).parquet(f"{jobs.folder(spark, name)}/misses").count() == 40
+
+
 def test_a_named_stream_goes_on(spark, tmp_path):
     rows = sorted(arrivals(6, 100), key=lambda r: r[1])
     schema, name = "hash string, ts timestamp, arrival_id bigint", f"test-{random.random()}"
@@ -169,3 +213,39 @@ def test_store(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(cached_date" in plan
     assert store.clear(spark, path) == 2
     assert store.live(spark, path, at(31)).count() == 0
+
+
+def test_store_keeps_invoices_with_their_nulls(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = [("h1", START, "a", None), ("h1", START + dt.timedelta(hours=2), "b", 1.5), ("h2", START, None, None), (None, START, "image", None)]
+    df = spark.createDataFrame(rows, "hash string, came timestamp, name string, total double")
+    store.append(df.select("hash", "came", F.struct("name", "total").alias("invoice")), path, F.col("came"))
+    docs = spark.createDataFrame([(1, "h1"), (2, "h1"), (3, "h2"), (4, "h3"), (5, None)], "doc_id int, hash string")
+    found = store.lookup(docs, path, F.lit(START + dt.timedelta(hours=3))).collect()
+    assert {r.doc_id: r.invoice for r in found} == {1: '{"name":"b","total":1.5}', 2: '{"name":"b","total":1.5}', 3: '{"name":null,"total":null}'}
+    assert all(r.errors == [] and r.warnings == [] and r.is_valid and r.processing_method == "cache_hit" for r in found)
+    late = store.lookup(docs, path, F.lit(START + dt.timedelta(hours=25)))
+    assert {r.doc_id for r in late.collect()} == {1, 2}
+
+
+def test_a_lookup_does_not_shuffle_the_store(spark, tmp_path):
+    path = str(tmp_path / "store")
+    df = spark.createDataFrame([(f"h{i}", str(i)) for i in range(100)], "hash string, name string")
+    for _ in range(2):
+        store.append(df.select("hash", F.struct("name").alias("invoice")), path, F.lit(START))
+    docs = spark.createDataFrame([(i, f"h{i % 70}") for i in range(500)], "doc_id int, hash string")
+    found = store.lookup(docs, path, F.lit(START))
+    assert found.count() == 500
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    lines = plan[plan.index("== Initial Plan ==") :].splitlines() if "== Initial Plan ==" in plan else plan.splitlines()
+    scan = next(i for i, line in enumerate(lines) if "Bucketed: true" in line)
+    depth = len(lines[scan]) - len(lines[scan].lstrip(" :+-"))
+    above = []
+    for line in reversed(lines[:scan]):  # what stands between the scan and the root
+        if len(line) - len(line.lstrip(" :+-")) < depth:
+            depth = len(line) - len(line.lstrip(" :+-"))
+            above.append(line.strip(" :+-"))
+    join = next(i for i, line in enumerate(above) if "Join" in line)
+    assert not any(line.startswith("Exchange") for line in above[:join]), above
+    kept = store.live(spark, path, F.lit(START))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in kept
