@@ -64,6 +64,7 @@ REPAIRED = T.StructType(
         T.StructField("status", T.StringType()),
         T.StructField("json", T.StringType()),
         T.StructField("position", T.IntegerType()),
+        T.StructField("problem", T.StringType()),
     ]
 )
 
@@ -71,9 +72,10 @@ REPAIRED = T.StructType(
 def repair(text: Column) -> Column:
     """Close a cut-off JSON text at the decoder's error position, once.
 
-    Gives a struct of status (parsed, repaired or failed), JSON and error position. NULL
-    input (the rows that parse as they are) passes through untouched. The functions are
-    local so that they travel to the executors by value.
+    Gives a struct of status (parsed, repaired or failed), JSON, error position and, for a
+    failed one, the problem: ``text`` (no JSON), ``value`` (a number too long to read) or
+    ``depth`` (nested too deep). NULL input (the rows that parse as they are) passes through
+    untouched. The functions are local so that they travel to the executors by value.
     """
 
     import re
@@ -96,25 +98,30 @@ def repair(text: Column) -> Column:
         # a lone surrogate is no text outside of an escape
         return shown if shown.isascii() or not SURROGATE.search(shown) else json.dumps(value, allow_nan=False)
 
+    def problem(error):
+        if isinstance(error, RecursionError):
+            return "depth"
+        return "text" if isinstance(error, json.JSONDecodeError) else "value"
+
     def attempt(text):
         try:
-            return "parsed", load(text), None
+            return "parsed", load(text), None, None
         except json.JSONDecodeError as error:
             head = text[: error.pos].rstrip()
             braces = head.count("{") - head.count("}")
             brackets = head.count("[") - head.count("]")
             closed = head.removesuffix(",") + "]" * brackets + "}" * braces
             try:
-                return "repaired", load(closed), error.pos
-            except (ValueError, RecursionError):
-                return "failed", None, error.pos
-        except (ValueError, RecursionError):
+                return "repaired", load(closed), error.pos, None
+            except (ValueError, RecursionError) as second:
+                return "failed", None, error.pos, problem(second)
+        except (ValueError, RecursionError) as error:
             # numbers of thousands of digits, nesting without end: this row fails, not the job
-            return "failed", None, None
+            return "failed", None, None, problem(error)
 
     def decode(texts: pd.Series) -> pd.DataFrame:
-        rows = [(None, None, None) if t is None else attempt(t) for t in texts]
-        frame = pd.DataFrame(rows, columns=["status", "json", "position"])
+        rows = [(None, None, None, None) if t is None else attempt(t) for t in texts]
+        frame = pd.DataFrame(rows, columns=["status", "json", "position", "problem"])
         return frame.astype({"position": "Int32"})
 
     return F.pandas_udf(decode, REPAIRED)(text)
@@ -209,8 +216,20 @@ def violations(value: Column) -> Column:
     return F.when(value.isNotNull(), codes)
 
 
+#: Marks between the digits of a number that is text, where such a number may stand.
+_SPACED_NUMBER = rf'(?<="(?:{"|".join(schema.NUMBER_FIELDS)})":"[-+0-9_.eE ]{{0,60}}[0-9])_(?=[0-9])'
+
+
 def to_invoice(value: Column) -> Column:
-    return F.try_variant_get(value, "$", schema.INVOICE)
+    """The typed invoice of an answer without violations.
+
+    Texts such as ``1_000`` are numbers to the check, so they have to be numbers here.
+    """
+    shown = F.to_json(value)
+    invoice = F.try_variant_get(value, "$", schema.INVOICE)
+    plain = F.try_variant_get(F.try_parse_json(F.regexp_replace(shown, _SPACED_NUMBER, "")), "$", schema.INVOICE)
+    # only such answers are written out and read again; what the schema leaves open stays as it was
+    return F.when(shown.rlike(_SPACED_NUMBER), plain.withField("extensions", invoice["extensions"])).otherwise(invoice)
 
 
 def unknown_fields(value: Column) -> Column:

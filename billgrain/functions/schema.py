@@ -39,6 +39,9 @@ PAYMENT_METHODS = (
 )
 CURRENCY_CODE = r"^[A-Z]{3}\z"
 
+#: Fields that hold numbers, wherever they stand; no other field has one of these names.
+NUMBER_FIELDS = ("subtotal", "rate", "amount", "taxable_base", "total_amount", "quantity", "unit_price", "line_total")
+
 
 # --- the same record as a checklist, for answers that arrive as JSON ---------------
 

@@ -99,6 +99,42 @@ def assemble(df: DataFrame) -> DataFrame:
     return df.select("doc_id", pages.assembled(F.col("pages")).alias("text"))
 
 
+#: Pages that one task joins at a time.
+PART_PAGES = 256
+
+
+def page_texts(items: DataFrame, limit: float = 0.5, *key: str) -> DataFrame:
+    """One row per page from one row per item (page_number, pos, text, confidence): the items
+    above the confidence limit in their order, joined by spaces. A page of which nothing is
+    left has an empty text."""
+    key = key or ("doc_id",)
+    sure = F.when(F.col("confidence") > limit, F.struct("pos", "text"))
+    read = F.transform(F.sort_array(F.collect_list(sure)), lambda i: i["text"])
+    return items.groupBy(*key, "page_number").agg(F.array_join(read, " ").alias("text"))
+
+
+def assemble_rows(page_rows: DataFrame, *key: str) -> DataFrame:
+    """Document text from one row per page (page_number, text), ordered by page number.
+
+    Ranges of ``PART_PAGES`` pages are joined first, each on its own, and then the ranges of a
+    document, so a huge document is the work of several tasks. Pages without a number come
+    last and are shown as N/A; a page without text is empty; pages with one number stand in
+    the order of their texts.
+    """
+    key = key or ("doc_id",)
+    number = F.coalesce(F.col("page_number").cast("string"), F.lit("N/A"))
+    shown = F.concat(
+        F.lit("[INICIO PÁGINA "), number, F.lit("]\n"), F.coalesce("text", F.lit("")), F.lit("\n[FIN PÁGINA "), number, F.lit("]")
+    )
+    last = F.col("page_number").isNull().alias("last")
+    part = F.floor(F.col("page_number") / PART_PAGES).alias("part")
+    parts = page_rows.select(*key, last, part, F.struct("page_number", shown.alias("text")).alias("page"))
+    joined = lambda rows: F.array_join(F.transform(F.sort_array(F.collect_list(rows)), lambda r: r["text"]), "\n\n")
+    parts = parts.groupBy(*key, "last", "part").agg(joined("page").alias("text"), F.count(F.lit(1)).alias("n"))
+    whole = parts.groupBy(*key).agg(joined(F.struct("last", "part", "text")).alias("text"), F.sum("n").alias("n_pages"))
+    return whole.select(*key, "n_pages", "text")
+
+
 PROMPT = (
     "Read the invoice text below and answer with one JSON object of this type:\n{schema}\n"
     "Use only what the text states. Text:\n"

@@ -11,6 +11,7 @@ from billgrain.functions.pin import pin
 # Outcome names.
 PARSE_ERROR = "JSON parse error"
 SCHEMA_ERROR = "Validation error"
+TOO_DEEP = "maximum recursion depth exceeded"
 SUCCESS = "success"
 METHOD = "paddleocr_gemini_text"
 
@@ -20,7 +21,7 @@ def with_cleaned(df: DataFrame) -> DataFrame:
 
 
 def with_parsed(df: DataFrame) -> DataFrame:
-    """Add ``value`` (VARIANT) and ``parse`` (parsed, repaired or failed).
+    """Add ``value`` (VARIANT), ``parse`` (parsed, repaired or failed) and the ``problem`` of a failed one.
 
     Only texts the JVM parser refuses are handed to the Python decoder; all others
     send it a NULL.
@@ -32,14 +33,20 @@ def with_parsed(df: DataFrame) -> DataFrame:
     )
     status = F.when(F.col("strict").isNotNull(), "parsed").otherwise(F.col("fix.status"))
     value = F.coalesce("strict", F.try_parse_json("fix.json"))
-    return pin(repaired, value=value, parse=status, cut_at=F.col("fix.position")).drop("strict", "fix")
+    return pin(repaired, value=value, parse=status, cut_at=F.col("fix.position"), problem=F.col("fix.problem")).drop("strict", "fix")
 
 
 def with_outcome(df: DataFrame) -> DataFrame:
-    """Add ``violations`` and ``status``; an answer with any violation is rejected whole."""
+    """Add ``violations`` and ``status``; an answer with any violation is rejected whole.
+
+    A number too long to read is a broken value like any other; nesting too deep for the
+    decoder is an outcome of its own.
+    """
     checked = pin(with_parsed(df), violations=json_text.violations(F.col("value")))
     status = (
-        F.when(F.col("value").isNull(), PARSE_ERROR)
+        F.when(F.col("value").isNull() & (F.col("problem") == "value"), SCHEMA_ERROR)
+        .when(F.col("value").isNull() & (F.col("problem") == "depth"), TOO_DEEP)
+        .when(F.col("value").isNull(), PARSE_ERROR)
         .when(F.size("violations") > 0, SCHEMA_ERROR)
         .otherwise(SUCCESS)
     )
@@ -56,6 +63,21 @@ def accepted(outcomes: DataFrame) -> DataFrame:
     ).drop("value", "text", "raw")
 
 
+#: What stands for a missing amount of an item.
+ITEM_DEFAULTS = {"quantity": 1.0, "unit_price": 0.0, "line_total": 0.0}
+
+
+def item_amounts(parsed: DataFrame) -> DataFrame:
+    """One row per item of each parsed answer (``value``): its number from 0 and its amounts, or their defaults.
+
+    An element that is no object has defaults only; answers without a list of items have no rows.
+    """
+    items = parsed.withColumn("items", F.try_variant_get("value", "$.items", "array<variant>"))
+    rows = items.select(*parsed.columns, F.posexplode("items").alias("item_no", "_item"))
+    amounts = {name: F.coalesce(F.try_variant_get("_item", f"$.{name}", "double"), F.lit(default)) for name, default in ITEM_DEFAULTS.items()}
+    return rows.withColumns(amounts).drop("_item")
+
+
 def failures(outcomes: DataFrame) -> DataFrame:
     """The answers that gave no invoice, and why."""
     failed = outcomes.filter(F.col("status") != SUCCESS)
@@ -76,17 +98,25 @@ def status_rollup(outcomes: DataFrame) -> DataFrame:
     return outcomes.rollup("source", "status").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-def results(df: DataFrame, stages: dict[str, Column]) -> DataFrame:
-    """Processing metadata: flags, both validation results, method and stage times."""
+def results(df: DataFrame, stages: dict[str, Column], model: str | None = None, answer: Column | None = None) -> DataFrame:
+    """Processing metadata: flags, model and length of its answer, both validation results, method and stage times."""
     times = [value.alias(name) for name, value in stages.items()]
+    length = F.lit(None) if answer is None else F.char_length(answer)
+
+    def shown(issue: Column) -> Column:
+        kept = [issue[c].alias(c) for c in ("field", "message", "severity", "expected", "actual")]
+        return F.struct(kept[0], issue["issue_type"].alias("type"), *kept[1:])
+
     return df.withColumn(
         "processing_results",
         F.struct(
             F.lit(True).alias("success"),
+            F.lit(model).cast("string").alias("model"),
+            length.cast("int").alias("raw_json_length"),
             F.struct(
                 "semantic.is_valid", "semantic.errors", "semantic.warnings", "semantic.quality_score"
             ).alias("validation"),
-            F.struct("math.is_valid", "math.issues", "math.corrections_applied").alias(
+            F.struct("math.is_valid", F.transform("math.issues", shown).alias("issues"), "math.corrections_applied").alias(
                 "mathematical_validation"
             ),
             F.coalesce("document_hash", F.lit("N/A for non-PDF files")).alias("document_hash"),
@@ -98,9 +128,9 @@ def results(df: DataFrame, stages: dict[str, Column]) -> DataFrame:
 
 
 def envelopes(df: DataFrame, user: str) -> DataFrame:
-    """The answer to the caller: invoice, metadata, user and a fresh job id, as JSON."""
+    """The answer to the caller: invoice, metadata, user and a fresh job id, as JSON with all NULL fields."""
     body = F.struct("invoice", "processing_results", F.lit(user).alias("user"), F.uuid().alias("job_id"))
-    return df.select("doc_id", F.to_json(body).alias("response"))
+    return df.select("doc_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("response"))
 
 
 def stage_times(df: DataFrame, stages: list[str]) -> DataFrame:

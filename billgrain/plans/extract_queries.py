@@ -81,6 +81,12 @@ def null_defaults(spark, sf_dir):
     )
 
 
+def item_defaults(spark, sf_dir):
+    """All items of the answers as they come, with what stands for a missing amount."""
+    parsed = responses.with_parsed(texts.responses(spark, sf_dir)).filter("value IS NOT NULL")
+    return responses.item_amounts(parsed).select("doc_id", "item_no", "quantity", "unit_price", "line_total")
+
+
 def ocr_digit_fix(spark, sf_dir):
     """Printed rows with digits misread as letters, and the rows set right again."""
     misread = F.when(
@@ -174,7 +180,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         spanish_dates, currency_norm, payment_method, vendor_from_email, tax_lines, pattern_c_rows,
-        utility_lines, item_exclusions, null_defaults, ocr_digit_fix, page_quality, preprocess_plan,
+        utility_lines, item_exclusions, null_defaults, item_defaults, ocr_digit_fix, page_quality, preprocess_plan,
         format_checks, tax_id_check, completeness, is_invoice, quality_metrics,
     )
 }

@@ -181,6 +181,10 @@ first_item AS (SELECT k, CAST(q AS DOUBLE) AS q FROM item WHERE i = 1)""", selec
         CASE WHEN doc_id % 7 = 0 THEN 0 ELSE CAST(stated AS DOUBLE) / 100 END AS subtotal,
         CASE WHEN doc_id % 59 = 0 THEN 0 ELSE CAST(total AS DOUBLE) / 100 END AS total, coalesce(q, 1.0::DOUBLE) AS quantity
       FROM parsed LEFT JOIN first_item ON k = doc_id WHERE parse <> 'failed'"""),
+    "item_defaults": with_ctes(ANSWERS, select="""
+      SELECT doc_id, CAST(i - 1 AS INT) AS item_no, CAST(q AS DOUBLE) AS quantity, CAST(p AS DOUBLE) / 100 AS unit_price,
+        CAST(t AS DOUBLE) / 100 AS line_total
+      FROM parsed JOIN item ON k = doc_id WHERE parse <> 'failed'"""),
     "ocr_digit_fix": with_ctes(LINES, responses._LINE_TEXT, _GARBLED, select="""
       SELECT doc_id, line_no, string_agg(f, ' ' ORDER BY i) AS text FROM fixed GROUP BY doc_id, line_no"""),
     "page_quality": with_ctes(_METRICS, select="SELECT *, score < 70 AS needs_preparation FROM rated"),

@@ -4,7 +4,7 @@ from billgrain.functions.html import HINTS
 from billgrain.functions.schema import INVOICE
 from billgrain.operators.pages import PROMPT
 from billgrain.plans.oracle.base import (
-    ITEMS, STRUCTURE, TABLES, VENDOR_CELL, WS, cells, entity, toon, with_ctes, zoned,
+    ITEMS, OCR, STRUCTURE, TABLES, VENDOR_CELL, WS, cells, entity, toon, with_ctes, zoned,
 )
 
 _ONCE = cells("hc", "tab", "html")
@@ -98,6 +98,15 @@ tmode AS (
   SELECT tab.doc_id, tab.html, CASE WHEN coalesce(ent.text, '') = '' THEN '[PAGE ' || page_num || ' - NO TEXT EXTRACTED]' ELSE ent.text END AS text
   FROM tab JOIN ent ON ent.doc_id = tab.doc_id)"""
 
+_DOCUMENTS = """
+page_text AS (
+  SELECT src, doc_id, coalesce(string_agg(text, ' ' ORDER BY pos) FILTER (WHERE confidence > 0.5), '') AS text FROM geo GROUP BY src, doc_id),
+assembled AS (
+  SELECT src, doc_id // 3 AS doc_id, CAST(count(*) AS BIGINT) AS n_pages, string_agg(
+      '[INICIO PÁGINA ' || (doc_id % 3 + 1) || ']' || chr(10) || text || chr(10) || '[FIN PÁGINA ' || (doc_id % 3 + 1) || ']',
+      chr(10) || chr(10) ORDER BY doc_id) AS text
+  FROM page_text GROUP BY src, doc_id // 3)"""
+
 _PAGE = (zoned(), TABLES, _ONCE, _ENTITY, STRUCTURE, _REGIONS, _ROUTED)
 
 SQL = {
@@ -163,6 +172,11 @@ counted AS (SELECT doc_id, r, CAST(row_number() OVER (PARTITION BY doc_id ORDER
         chr(10) || chr(10) ORDER BY i) AS text
       FROM (SELECT doc_id, unnest(a) AS t, unnest(range(len(a))) AS i
             FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)) GROUP BY doc_id""",
+    "document_pages": with_ctes(OCR, _DOCUMENTS, select="SELECT src, doc_id, n_pages, text FROM assembled"),
+    "document_requests": with_ctes(OCR, _DOCUMENTS, select=f"""
+      SELECT src || '-' || doc_id AS doc_id, '{PROMPT.replace("{schema}", INVOICE)}' || CASE WHEN length(text) > 150000
+        THEN left(text, 100000) || chr(10) || chr(10) || '[... MIDDLE CONTENT TRUNCATED ...]' || chr(10) || chr(10) || right(text, 50000)
+        ELSE text END AS prompt FROM assembled"""),
     "prompt_rows": f"""
       SELECT doc_id, '{PROMPT.replace("{schema}", INVOICE)}' || text AS prompt FROM documents""",
     "truncate_middle": """

@@ -110,6 +110,24 @@ def page_assembly(spark, sf_dir):
     return pages.assemble(texts.documents(spark, sf_dir).select("doc_id", numbered.alias("pages")))
 
 
+def _documents_of_pages(spark, sf_dir):
+    """Every three pages of a source form a document; items come as rows, in no order."""
+    items = texts.ocr_items(spark, sf_dir).select(
+        "src", F.expr("doc_id div 3").alias("doc_id"), F.expr("cast(doc_id % 3 + 1 AS int)").alias("page_number"), "pos", "text", "confidence"
+    )
+    return pages.assemble_rows(pages.page_texts(items, 0.5, "src", "doc_id"), "src", "doc_id")
+
+
+def document_pages(spark, sf_dir):
+    return _documents_of_pages(spark, sf_dir)
+
+
+def document_requests(spark, sf_dir):
+    documents = _documents_of_pages(spark, sf_dir)
+    named = documents.select(F.concat_ws("-", "src", "doc_id").alias("doc_id"), "text")
+    return pages.prompts(named, schema.INVOICE)
+
+
 def prompt_rows(spark, sf_dir):
     return pages.prompts(texts.documents(spark, sf_dir), schema.INVOICE)
 
@@ -126,6 +144,6 @@ QUERIES = {
         html_rows, html_table_text, html_entity_text, html_table_struct, table_to_toon, table_type,
         cell_party_split, expense_rows, strip_tags, region_scan, full_page_tables, table_numbering,
         region_route, region_fallback_text, adaptive_mode, doc_ocr_summary, page_assembly,
-        prompt_rows, truncate_middle,
+        document_pages, document_requests, prompt_rows, truncate_middle,
     )
 }

@@ -155,3 +155,29 @@ def test_one_bad_row_does_not_end_the_job(spark):
     got = {r.id: r.r for r in table.select("id", json_text.repair(F.col("t")).alias("r")).collect()}
     assert [got[k].status for k in range(4)] == ["failed", "failed", "parsed", "parsed"]
     assert json.loads(got[2].json)["b"] == "\ud800"
+
+
+def test_numbers_with_marks_between_digits_are_kept(spark):
+    answer = changed(**{
+        F_ + "subtotal": "1_000", F_ + "total_amount": " 1_2_3.50 ", "notes": "2_0", "extensions": {"rate": "1_0"}, "items": [{**ITEM, "quantity": "1_0", "description": '"rate":"1_0"'}],
+    })
+    table = spark.createDataFrame([(1, answer)], "doc_id int, raw string")
+    outcome = responses.with_outcome(table)
+    row = responses.accepted(outcome).select("invoice", F.to_json("invoice.extensions").alias("open")).first()
+    assert row.invoice.financial_details.subtotal == 1000.0 and row.invoice.financial_details.total_amount == 123.5
+    assert row.invoice["items"][0].quantity == 10.0 and row.invoice["items"][0].description == '"rate":"1_0"'
+    assert row.invoice.notes == "2_0" and json.loads(row.open) == {"rate": "1_0"}
+
+
+def test_four_outcomes(spark):
+    raw = {1: changed(), 2: "no json", 3: changed(notes=[1]), 4: '{"a": ' + "9" * 5000 + "}", 5: "[" * 100_000}
+    outcome = responses.with_outcome(spark.createDataFrame(list(raw.items()), "doc_id int, raw string"))
+    got = {r.doc_id: r.status for r in outcome.collect()}
+    assert got == {1: responses.SUCCESS, 2: responses.PARSE_ERROR, 3: responses.SCHEMA_ERROR, 4: responses.SCHEMA_ERROR, 5: responses.TOO_DEEP}
+
+
+def test_defaults_of_all_items(spark):
+    raw = {1: '{"items":[{"quantity":2,"unit_price":"3.5"},{},7,{"line_total":null,"unit_price":1}]}', 2: '{"items":{}}', 3: "{}", 4: "x", 5: '{"items":[]}'}
+    parsed = responses.with_parsed(spark.createDataFrame([*raw.items(), (6, None)], "doc_id int, raw string"))
+    got = sorted(tuple(r) for r in responses.item_amounts(parsed).select("doc_id", "item_no", "quantity", "unit_price", "line_total").collect())
+    assert got == [(1, 0, 2.0, 3.5, 0.0), (1, 1, 1.0, 0.0, 0.0), (1, 2, 1.0, 0.0, 0.0), (1, 3, 1.0, 1.0, 0.0)]
