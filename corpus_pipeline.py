@@ -24,8 +24,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; of lines that repeat, exactly or within an edit or as many as their length allows, only the first stays."""
-    return linededup.without_repeated_lines(docs.select(*COLUMNS), grown=True, short=True).withColumn("n_chars", F.char_length("text").cast("long"))
+    """All documents; of lines that repeat, exactly or within an edit, only the first stays; lines under 20 characters repeat exactly."""
+    return linededup.without_repeated_lines(docs.select(*COLUMNS), short=True).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
