@@ -9,11 +9,6 @@ told apart by what is left of them: for one edit by pieces of it, again and agai
 by the little that is unknown with up to ``max_edits`` characters deleted. Lines within the
 threshold still meet, and no crowd of others.
 
-More edits in longer lines (``grown``): ``t`` edits leave a run of ``RUN`` words unchanged if
-the line has enough of them, so the threshold grows with the number of words. Lines are met
-by winnowed digests of runs (the least of each ``WINDOW`` neighbouring ones), of which two
-lines with such a run in common always share one.
-
 Only digests and places are shuffled for all lines; texts move only for lines that met
 another one. Everything is DataFrame and SQL functions.
 """
@@ -23,7 +18,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from billgrain.functions.pin import pin
 from billgrain.llm.common import stored, text_of
 
 #: Lines that meet at one digest are paired directly up to this number; both ways are exact.
@@ -32,11 +26,6 @@ DIRECT = 16
 PIECES, LEVELS = 4, 3
 #: Words of 64 bits in the filter that tells which lines' texts are needed: at most 2 MiB.
 FILTER_WORDS = 1 << 18
-#: Words of a digest, digests of a window, and so the words of a run that two lines are sure to meet by.
-GRAM, WINDOW = 4, 3
-RUN = GRAM + WINDOW - 1
-#: Characters of scripts that set no blanks between words; each counts as a word.
-UNSPACED = r"([\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uAC00-\uD7AF])"
 
 
 def _keys(max_edits: int) -> str:
@@ -153,55 +142,8 @@ def near_lines(docs: DataFrame, id_col: str, text_col: str, max_edits: int, min_
     return near.select(F.col("x.h1").alias("a1"), F.col("x.h2").alias("a2"), F.col("y.h1").alias("b1"), F.col("y.h2").alias("b2"))
 
 
-def grown_edits(n_words: str) -> str:
-    """SQL for the edits allowed in a line of so many words: each spoils two words at most, and the longest run left has ``RUN``."""
-    return f"(({n_words} - {RUN}) div {RUN + 2})"
-
-
-def _by_runs(docs: DataFrame, id_col: str, text_col: str, min_chars: int, over: int) -> DataFrame:
-    """``h1, h2, line, len, most, words``: occurrences of lines in which more than ``over`` edits are allowed."""
-    lines = _occurrences(docs, id_col, text_col, min_chars).select("h1", "h2", "line", "len")
-    spaced = F.when(F.octet_length("line") > F.col("len"), F.regexp_replace("line", UNSPACED, "$1 ")).otherwise(F.col("line"))
-    lines = pin(lines, words=F.split(spaced, " "))
-    return lines.withColumn("most", F.expr(grown_edits("size(words)")).cast("int")).where(F.col("most") > over)
-
-
-def _within(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``h1, h2`` of the first lines of those pairs whose texts are near, each once."""
-    pairs = pairs.distinct()
-    a, b = texts.select("h1", "h2", "line"), texts.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("line").alias("other"))
-    pairs = pairs.join(a, ["h1", "h2"]).join(b, ["o1", "o2"])
-    return pairs.where(F.expr("levenshtein(line, other, most) >= 0")).select("h1", "h2").distinct()
-
-
-def later_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, over: int, distinct: DataFrame) -> DataFrame:
-    """``h1, h2`` of the lines within the grown threshold of a line that stands earlier.
-
-    The threshold of two lines is the lesser of theirs; only lines that allow more than
-    ``over`` edits are looked at. All lines of a run first meet its earliest line, which finds
-    copies of one line without pairing them; only lines not found so meet all earlier ones.
-    """
-    grams = f"transform(sequence(0, size(words) - {GRAM}), i -> xxhash64(slice(words, i + 1, {GRAM})))"
-    window = ", ".join(f"g[i + {k - 1}]" for k in range(WINDOW))
-    least = f"transform(array({grams}), g -> array_distinct(transform(sequence(1, size(g) - {WINDOW - 1}), i -> least({window}))))[0]"
-    lines = _by_runs(docs, id_col, text_col, min_chars, over)
-    rows = lines.select("h1", "h2", "len", "most", F.explode(F.expr(least)).alias("key")).distinct()
-    shared = rows.groupBy("key").agg(F.count("*").alias("crowd")).where("crowd >= 2").select("key")
-    met = stored(rows.join(shared, "key").join(distinct.select("h1", "h2", "place"), ["h1", "h2"]))
-    needed = met.select("h1", "h2").distinct()
-    texts = stored(_occurrences(docs, id_col, text_col, min_chars).select("h1", "h2", "line").join(needed, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line")))
-    one = met.groupBy("key").agg(F.min(F.struct("place", "h1", "h2", "len", "most")).alias("o"))
-    near = "(o.h1, o.h2) != (h1, h2) AND abs(o.len - len) <= least(o.most, most)"
-    ends = ("h1", "h2", "o.h1 AS o1", "o.h2 AS o2", "least(o.most, most) AS most")
-    found = stored(_within(met.join(one, "key").where(near).selectExpr(*ends), texts))
-    rest = met.join(found, ["h1", "h2"], "left_anti")
-    earlier = met.select("key", F.struct("place", "h1", "h2", "len", "most").alias("o"))
-    pairs = rest.join(earlier, "key").where(f"{near} AND o.place < place").selectExpr(*ends)
-    return found.unionByName(_within(pairs, texts))
-
-
 def line_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1, min_chars: int = 20, grown: bool = False, short: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1, min_chars: int = 20, short: bool = False
 ) -> DataFrame:
     """Each line of at least ``min_chars`` characters: ``id, body, line_no, first_id, first_line, times, links, kept``.
 
@@ -209,8 +151,7 @@ def line_classes(
     (id, digest of the text, number), null ids first. ``first_id, first_line``: where the line
     stands first; ``times``: how often; ``links``: the number of other texts of lines within
     ``max_edits`` edits. A line is kept where it stands first, unless a line within the
-    threshold stands earlier; ``grown`` also counts earlier lines within ``grown_edits`` of
-    both lines' words, which change no ``links``. Rows equal in id and text share their places, so they keep the
+    threshold stands earlier. Rows equal in id and text share their places, so they keep the
     same lines; two texts are taken for one if two 64-bit digests agree. Null and empty texts
     have no lines. ``short`` adds the shorter lines that are not empty, which repeat only
     exactly; without it they are not looked at. Nor are other columns.
@@ -229,9 +170,6 @@ def line_classes(
     ends = ends.join(places, ["h1", "h2"]).join(places.selectExpr("h1 AS o1", "h2 AS o2", "place AS other"), ["o1", "o2"])
     linked = ends.groupBy("h1", "h2").agg(F.count("*").alias("links"), F.max(F.col("other") < F.col("place")).alias("later"))
     facts = distinct.select("h1", "h2", "place", "times").join(linked, ["h1", "h2"], "left")
-    if grown:
-        further = later_lines(docs, id_col, text_col, min_chars, max_edits, distinct).withColumn("further", F.lit(True))
-        facts = facts.join(further, ["h1", "h2"], "left").withColumn("later", F.coalesce("further", "later"))
     return (
         occurrences.select("h1", "h2", "id", "body", "no")
         .join(facts, ["h1", "h2"])
@@ -248,12 +186,12 @@ def line_classes(
     )
 
 
-def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1, min_chars: int = 20, grown: bool = False, short: bool = False) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1, min_chars: int = 20, short: bool = False) -> DataFrame:
     """The documents without the lines that ``line_classes`` does not keep; all columns and rows stay.
 
     A text of which nothing is left becomes empty, a null text stays null.
     """
-    gone = line_classes(docs, id_col, text_col, max_edits, min_chars, grown, short).where("NOT kept")
+    gone = line_classes(docs, id_col, text_col, max_edits, min_chars, short).where("NOT kept")
     gone = gone.groupBy(F.col(id_col).alias("_gone_id"), F.col("body").alias("_gone_body")).agg(F.collect_set("line_no").alias("_gone"))
     match = docs[id_col].eqNullSafe(F.col("_gone_id")) & (F.xxhash64(text_of(text_col)) == F.col("_gone_body"))
     left = F.filter(F.split(text_col, "\n"), lambda line, no: ~F.array_contains("_gone", no))

@@ -136,39 +136,6 @@ def test_documents_without_repeated_lines(spark, docs):
     assert linededup.without_repeated_lines(docs.limit(0)).count() == 0
 
 
-def test_edits_allowed_grow_with_the_line(spark):
-    rng = random.Random(8)
-    word = lambda n=7: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, n)))
-    lines = []
-    for size in (20, 22, 30, 46, 70, 200):
-        base = [word() for _ in range(size)]
-        most = (size - 6) // 8
-        lines.append(" ".join(base))
-        for edits in (1, 2, 3, most - 1, most, most + 1, most + 2, most + 2):
-            text = list(" ".join(base))
-            for _ in range(edits):
-                at = rng.randrange(len(text))
-                text[at] = rng.choice([" ", "x", "", text[at] + "y", "z ", "漢"])
-            lines.append("".join(text))
-    lines.append("漢字仮名交" * 10)
-    lines.append("漢字仮名交" * 9 + "漢字東西交")
-    lines += [" ".join(["all rights are reserved by the owner named below", *(word() for _ in range(20))]) for _ in range(60)]
-    rng.shuffle(lines)
-    tokens = lambda t: len(re.sub("([漢字仮名交東西])", r"\1 ", t).split(" "))
-    lines = [t.strip(" \t\r") for t in lines]
-    gone = set()
-    for j, b in enumerate(lines):
-        for a in lines[:j]:
-            most = max(1, min((tokens(t) - 6) // 8 for t in (a, b)))
-            if abs(len(a) - len(b)) <= most and distance(a, b) <= most:
-                gone.add(j)
-    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(5)
-    got = {r.doc_id for r in linededup.line_classes(docs, grown=True).where("NOT kept").collect()}
-    assert got == gone and len(gone) > 20
-    alone = {r.doc_id for r in linededup.line_classes(docs).where("NOT kept").collect()}
-    assert alone < gone
-
-
 def test_short_lines_repeat_exactly(spark):
     texts = ["Home\na line of more than twenty characters\n\nNext", "Home \nHone\n\nA", "A\na line of more than twenty charakters\n\tHome", None, ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
