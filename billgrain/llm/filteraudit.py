@@ -8,15 +8,14 @@ come from the characters, E from a digest of the text and the least id that has
 left of a document is the set of filters it fails, one of 32; counts per part and set give all
 results for all orders.
 
-A word is shuffled once for each shard that holds it, not for each document; words that are
-in most shards stay where they are (``join_hot``).
+A word is shuffled once for each shard that holds it, not for each document.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import permutations
+from itertools import count, filterfalse, permutations
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +27,8 @@ from billgrain.llm.common import join_hot, short_batches, stored, text_of
 
 #: Bytes of text after which a shard is closed.
 SHARD_BYTES = 8 << 20
-#: Hex digits of a word's digest that name its range in the global dictionary.
-RANGE_DIGITS = 3
+#: Ranges of digests in which the words of the global dictionary are numbered.
+RANGES = 1 << 14
 FILTERS = "ABCDE"
 MARKS = np.isin(np.arange(256), np.frombuffer(b"#$%&*|", np.uint8))
 CAPITAL = (np.arange(256) >= 65) & (np.arange(256) <= 90)
@@ -45,10 +44,10 @@ class _Shard:
 
     def add(self, batch: pa.RecordBatch, at: int, text: bytes) -> None:
         counts = Counter(text.split())  # of bytes: at ASCII white space only
-        number = self.local.setdefault
-        self.indices += [number(w, len(self.local)) for w in counts]
-        self.data += counts.values()
-        self.ends.append(len(self.data))
+        self.local.update(zip(filterfalse(self.local.__contains__, counts), count(len(self.local))))
+        self.indices.append(np.fromiter(map(self.local.__getitem__, counts), np.int32, len(counts)))
+        self.data.append(np.fromiter(counts.values(), np.int32, len(counts)))
+        self.ends.append(self.ends[-1] + len(counts))
         chars = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
         fails_c = 100 * int(chars[CAPITAL].sum()) > 10 * int(chars[LEADS].sum())
         self.docs.append((batch, at, fails_c, bool(chars[MARKS].any())))
@@ -61,7 +60,7 @@ class _Shard:
 
         attributes = [pa.concat_arrays([b.column(k).slice(i, 1) for b, i, _, _ in self.docs]) for k in kept]
         flags = [pa.array([d[i] for d in self.docs], pa.bool_()) for i in (2, 3)]
-        matrix = [pa.array(self.ends, pa.int64()), pa.array(self.indices, pa.int32()), pa.array(self.data, pa.int32()), pa.array(list(self.local), pa.binary())]
+        matrix = [pa.array(self.ends, pa.int64()), pa.array(np.concatenate(self.indices)), pa.array(np.concatenate(self.data)), pa.array(list(self.local), pa.binary())]
         names = ["shard", *kept, "fails_c", "fails_d", "indptr", "indices", "data", "words"]
         return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), *map(listed, [*attributes, *flags, *matrix])], names)
 
@@ -94,28 +93,38 @@ def local_shards(docs: DataFrame, id_col: str, text_col: str, part_col: str) ->
     return rows.mapInArrow(run, f"shard long, {columns}, indptr array<long>, indices array<int>, data array<int>, words array<binary>")
 
 
-def dictionary(entries: DataFrame) -> DataFrame:
-    """``word, number, times`` for the words of ``entries``: dense numbers from 0 in the order of digest ranges and words."""
-    words = stored(entries.groupBy("word").agg(F.count("*").alias("times")).withColumn("range", F.substring(F.md5("word"), 1, RANGE_DIGITS)))
-    starts = words.groupBy("range").agg(F.count("*").alias("n"))  # at most 4096 ranges
+def dictionary(shards: DataFrame) -> DataFrame:
+    """``shard, local, number``: the global number of each word of each shard's dictionary.
+
+    Numbers are dense from 0, in the order of digest ranges and words. A word has one row per
+    shard at most, a small part of a shard's dictionary, so no range is crowded by a frequent word.
+    """
+    entries = shards.select("shard", F.posexplode("words").alias("local", "word"))
+    entries = entries.withColumn("range", F.pmod(F.xxhash64("word"), F.lit(RANGES)).cast("int"))
+    inside = Window.partitionBy("range").orderBy("word")
+    ranked = stored(entries.select("shard", "local", "range", F.dense_rank().over(inside).alias("rank")))
+    starts = ranked.groupBy("range").agg(F.max("rank").alias("n"))  # at most RANGES rows
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("range").orderBy("word")
-    return words.join(F.broadcast(starts), "range").select("word", (F.col("start") + F.row_number().over(inside) - 1).alias("number"), "times")
+    return ranked.join(F.broadcast(starts), "range").select("shard", "local", (F.col("start") + F.col("rank") - 1).alias("number"))
+
+
+def dictionary_words(shards: DataFrame, numbers: DataFrame) -> DataFrame:
+    """``number, word``: the global dictionary."""
+    words = shards.select("shard", F.posexplode("words").alias("local", "word"))
+    return words.join(numbers, ["shard", "local"]).groupBy("number").agg(F.first("word").alias("word"))
 
 
 def document_term_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang") -> tuple[DataFrame, DataFrame]:
-    """CSR shards whose ``indices`` are numbers of the global dictionary, and that dictionary."""
+    """CSR shards whose ``indices`` are numbers of the global dictionary, and that dictionary (``number, word``)."""
     short_batches(docs.sparkSession)
     shards = stored(local_shards(docs, id_col, text_col, part_col))
-    entries = stored(shards.select("shard", F.posexplode("words").alias("local", "word")))
-    known = stored(dictionary(entries))
-    numbered = join_hot(entries, known, ["word"], entries.count())
+    known = dictionary(shards)
     # a shard's dictionary is no larger than its text
-    mapping = numbered.groupBy("shard").agg(F.transform(F.sort_array(F.collect_list(F.struct("local", "number"))), lambda e: e["number"]).alias("numbers"))
-    renumbered = F.expr("transform(indices, i -> numbers[i])")
-    csr = shards.drop("words").join(mapping, "shard", "left").withColumn("indices", F.coalesce(renumbered, F.array().cast("array<long>"))).drop("numbers")
-    return stored(csr), known
+    mapping = known.groupBy("shard").agg(F.transform(F.sort_array(F.collect_list(F.struct("local", "number"))), lambda e: e["number"]).alias("numbers"))
+    renumbered = F.coalesce(F.expr("transform(indices, i -> numbers[i])"), F.array().cast("array<long>"))
+    csr = shards.drop("words").join(mapping, "shard", "left").withColumn("indices", renumbered).drop("numbers")
+    return csr, dictionary_words(shards, known)
 
 
 def row_counts(csr: DataFrame) -> DataFrame:
