@@ -4,13 +4,13 @@ A set's shingles stand in one global order, those in rarely hit hash buckets fir
 with the wanted similarity share one of the first shingles of both (their prefixes), so sets
 meet in the group of a prefix shingle. Inside it they form tiles by size: a band holds sizes
 within the ratio that the threshold allows, so partners stand in the same or the next band.
-In a tile, signatures are compared: a bitmap of as many bits as the set has members, in which
+In a tile, signatures are compared: a bitmap of two to four bits for each member of the set, in which
 each shingle turns one bit over. The bits in which two of them differ are at most the shingles
 that only one set has, which bounds the overlap from above. Pairs that pass are settled by the
 exact intersection of their sorted hashes.
 
-Links are found in two rounds. In the first, every set meets only the least and the greatest
-set of each of its groups, which joins groups of alike texts at linear cost. In the second,
+Links are found in two rounds. In the first, every set meets only one set of each of its
+groups, that which shares most, which joins groups of alike texts at linear cost. In the second,
 tiles that are not already one component are searched whole, but only for pairs across
 components; groups with the same members are searched once. Copies count once throughout.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from billgrain.llm.common import join_hot, short_batches, stored, text_of
 from billgrain.llm.components import components
-from billgrain.llm.words import REMEMBERED, remembered
+from billgrain.llm.words import remembered
 
 #: Buckets of hashes whose frequencies set the order of shingles: one row each, at every size.
 ORDER_BITS = 16
@@ -40,49 +40,99 @@ CHUNK = 2048
 #: Words of 64 bits in the filter of sets whose hashes are wanted: 2 MiB.
 FILTER_BITS = 24
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-
-
-class Digests(dict):
-    """Digests of words, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        self[word] = digest = xxhash.xxh64_intdigest(word)
-        return digest
-
-
-def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
-    """The sorted different 64-bit hashes of a text's word runs; a shorter text is one run."""
-    words = text.lower().split()  # of bytes: A-Z only, at ASCII white space only
-    if not words:
-        return np.zeros(0, np.uint64)
-    known = remembered("word digests", Digests)
-    digests = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    length = min(shingle, len(words))
-    hashes = np.full(len(words) - length + 1, length, np.uint64)
+#: Bytes of texts whose words are digested at once.
+AT_ONCE = 1 << 18
+IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def _byte_values() -> np.ndarray:
+    """A fixed odd 64-bit number for each byte; capital letters have those of small ones, white space has 0."""
+    values = np.random.default_rng(12).integers(0, 1 << 64, 256, np.uint64) | np.uint64(1)
+    values[65:91] = values[97:123]
+    values[IS_SPACE] = 0
+    return values
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of an odd base modulo 2^64 and of its inverse."""
+    base = 0xD6E8FEB86659FD93
+    size = AT_ONCE << max(0, (n - 1).bit_length() - AT_ONCE.bit_length() + 1)
+
+    def made():
+        both = []
+        for number in (base, pow(base, -1, 1 << 64)):
+            row = np.full(size, number, np.uint64)
+            row[0] = 1
+            both.append(np.multiply.accumulate(row))
+        return tuple(both)
+
+    return remembered(f"powers {size}", made) if size == AT_ONCE else made()
+
+
+def word_digests(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The places and 64-bit digests of the words of ASCII-lower-cased bytes, by differences of prefix sums."""
+    data = np.frombuffer(raw, np.uint8)
+    space = IS_SPACE[data]
+    edges = np.flatnonzero(np.diff(np.r_[True, space, True].astype(np.int8)))
+    starts, ends = edges[::2], edges[1::2]
+    up, down = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(remembered("byte values", _byte_values)[data] * up[: len(data)], out=sums[1:])
+    digests = (sums[ends] - sums[starts]) * down[starts]
+    digests ^= digests >> np.uint64(32)
+    digests *= MULTIPLIER
+    return starts, digests ^ (digests >> np.uint64(29))
+
+
+def _runs(digests: np.ndarray, length: int) -> np.ndarray:
+    hashes = np.full(max(len(digests) - length + 1, 0), length, np.uint64)
     for i in range(length):
         hashes = (hashes ^ digests[i : i + len(hashes)]) * MULTIPLIER
         hashes ^= hashes >> np.uint64(29)
-    return np.unique(hashes)
+    return hashes
+
+
+def shingle_sets(texts: list[bytes], shingle: int) -> Iterator[np.ndarray]:
+    """For each text the sorted different 64-bit hashes of its word runs; a shorter text is one run."""
+    starts, digests = word_digests(b" ".join(texts))
+    bounds = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)])).tolist()
+    runs = _runs(digests, shingle)
+    for low, high in zip(bounds, bounds[1:]):
+        if high - low >= shingle:
+            hashes = np.sort(runs[low : high - shingle + 1])
+            yield hashes[np.r_[True, hashes[1:] != hashes[:-1]]]
+        else:
+            yield _runs(digests[low:high], high - low) if high > low else np.zeros(0, np.uint64)
+
+
+def _sets(texts: pa.Array, shingle: int) -> Iterator[np.ndarray]:
+    held, size = [], 0
+    for text in texts:
+        held.append(text.as_buffer().to_pybytes())
+        size += len(held[-1])
+        if size >= AT_ONCE:
+            yield from shingle_sets(held, shingle)
+            held, size = [], 0
+    if held:
+        yield from shingle_sets(held, shingle)
 
 
 def signature(hashes: np.ndarray) -> bytes:
-    """A bitmap of a power of two of bits, at least the size of the set; each hash turns one over."""
+    """A bitmap of a power of two of bits, at least twice the size of the set; each hash turns one over."""
     bits = LEAST_BITS
-    while bits < len(hashes) and bits < MOST_BITS:
+    while bits < 2 * len(hashes) and bits < MOST_BITS:
         bits *= 2
     turned = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(turned.astype(np.uint8), bitorder="little").tobytes()
 
 
-def prefix(hashes: np.ndarray, order: np.ndarray, percent: int) -> np.ndarray:
-    """The first hashes in the global order: sets with the wanted similarity share one of them."""
+def prefix(hashes: np.ndarray, ranks: np.ndarray, percent: int) -> np.ndarray:
+    """The first hashes in the global order, with the rank of their bucket in its place: sets with the wanted similarity share one."""
     n = len(hashes)
+    low = np.uint64((1 << (64 - ORDER_BITS)) - 1)
+    keys = (ranks[(hashes >> np.uint64(64 - ORDER_BITS)).astype(np.int64)] << np.uint64(64 - ORDER_BITS)) | (hashes & low)
     wanted = n - -(-percent * n // 100) + 1
-    if not n:
-        return hashes
-    return hashes[np.lexsort((hashes, order[(hashes >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]))[:wanted]]
+    return np.partition(keys, wanted - 1)[:wanted] if wanted < n else keys
 
 
 def _signed(values) -> pa.Array:
@@ -93,10 +143,6 @@ def _digest(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes()) if len(hashes) else 0
 
 
-def _sets(texts: pa.Array, shingle: int):
-    return (shingle_hashes(t.as_buffer().to_pybytes(), shingle) for t in texts)
-
-
 def _scan(docs: DataFrame, run, columns: str, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), text_of(text_col).cast("binary").alias("text")).mapInArrow(run, columns)
 
@@ -112,9 +158,7 @@ def signed_sets(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> tu
             arrow_ids["type"] = batch.column("id").type
             s, n, bits = [], [], []
             for hashes in _sets(batch.column("text"), shingle):
-                often += np.bincount((hashes >> np.uint64(64 - ORDER_BITS)).astype(np.int64), minlength=len(often)) if len(hashes) > 4096 else 0
-                if 0 < len(hashes) <= 4096:
-                    np.add.at(often, (hashes >> np.uint64(64 - ORDER_BITS)).astype(np.int64), 1)
+                np.add.at(often, (hashes >> np.uint64(64 - ORDER_BITS)).astype(np.int64), 1)
                 s.append(_digest(hashes))
                 n.append(len(hashes))
                 bits.append(signature(hashes))
@@ -130,8 +174,16 @@ def signed_sets(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> tu
     return rows.where("n >= 0").drop("often"), order
 
 
-def prefix_rows(docs: DataFrame, order: np.ndarray, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def bucket_ranks(often: np.ndarray) -> np.ndarray:
+    """The place of each bucket when rarely hit ones come first."""
+    ranks = np.empty(len(often), np.uint64)
+    ranks[np.argsort(often, kind="stable")] = np.arange(len(often), dtype=np.uint64)
+    return ranks
+
+
+def prefix_rows(docs: DataFrame, often: np.ndarray, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """``key, s, n`` for each shingle of each set's prefix; copies in one batch once."""
+    ranks = bucket_ranks(often)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,7 +191,7 @@ def prefix_rows(docs: DataFrame, order: np.ndarray, shingle: int, percent: int,
             for hashes in _sets(batch.column("text"), shingle):
                 if len(hashes) and (digest := _digest(hashes)) not in seen:
                     seen.add(digest)
-                    keys.append(prefix(hashes, order, percent))
+                    keys.append(prefix(hashes, ranks, percent))
                     s.append(digest)
                     n.append(len(hashes))
                     sizes.append(len(keys[-1]))
@@ -150,21 +202,20 @@ def prefix_rows(docs: DataFrame, order: np.ndarray, shingle: int, percent: int,
     return _scan(docs, run, "key long, s long, n long", id_col, text_col)
 
 
-def shared_keys(rows: DataFrame, order: np.ndarray, n_sets: int) -> DataFrame:
-    """The rows of keys that different sets have, each once.
+def shared_keys(rows: DataFrame, often: np.ndarray, n_sets: int) -> DataFrame:
+    """``key, s, n, times``: the rows of keys that different sets have, each once, with the rows of the key.
 
     Keys in buckets that may hold a hot one are taken as shared unseen, so that no window
-    holds the rows of a hot key.
+    holds the rows of a hot key; their ``times`` is the limit from which a bucket is hot.
     """
-    limit = max(HOT_MEANS * float(order.mean()), n_sets / HOT_PART)
-    hot = np.flatnonzero(order > limit).tolist()  # at most a HOT_MEANS-th of the buckets
-    bucket = F.shiftrightunsigned("key", 64 - ORDER_BITS)
-    is_hot = bucket.isin(hot) if hot else F.lit(False)
-    group = Window.partitionBy("key")
-    marked = rows.withColumn("group", F.when(is_hot, F.col("s")))  # hot keys: a window for each set
-    group = Window.partitionBy("key", "group") if hot else group
-    marked = marked.withColumns({"low": F.min("s").over(group), "high": F.max("s").over(group)})
-    return marked.where(F.col("group").isNotNull() | (F.col("low") != F.col("high"))).select("key", "s", "n").dropDuplicates(["key", "s"])
+    limit = max(HOT_MEANS * float(often.mean()), n_sets / HOT_PART)
+    first_hot = int((often <= limit).sum())  # ranks follow the frequencies
+    hot = F.shiftrightunsigned("key", 64 - ORDER_BITS) >= first_hot
+    group = Window.partitionBy("key", "alone")
+    marked = rows.withColumn("alone", F.when(hot, F.col("s")))  # hot keys: a window for each set
+    marked = marked.withColumns({"low": F.min("s").over(group), "high": F.max("s").over(group), "times": F.count("s").over(group)})
+    found = marked.where(F.col("alone").isNotNull() | (F.col("low") != F.col("high"))).dropDuplicates(["key", "s"])
+    return found.select("key", "s", "n", F.when(F.col("alone").isNull(), F.col("times")).otherwise(int(limit) + 1).alias("times"))
 
 
 def _near_size(a: str, b: str, percent: int):
@@ -332,13 +383,15 @@ def near_sets(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
     """
     spark = docs.sparkSession
     short_batches(spark)
-    rows, order = signed_sets(docs, shingle, id_col, text_col)
+    rows, often = signed_sets(docs, shingle, id_col, text_col)
     facts = stored(rows.where("n > 0").groupBy("s", "n").agg(F.min("id").alias("least"), F.count("*").alias("times"), F.min("bits").alias("bits")))
-    keys = stored(shared_keys(prefix_rows(docs, order, shingle, percent, id_col, text_col), order, facts.count()))
+    keys = stored(shared_keys(prefix_rows(docs, often, shingle, percent, id_col, text_col), often, facts.count()))
 
-    # round 1: the least and the greatest set of each group
-    ends = keys.groupBy("key").agg(F.min(F.struct("s", "n")).alias("low"), F.max(F.struct("s", "n")).alias("high"), F.count("*").alias("times"))
-    met = join_hot(keys, stored(ends), ["key"], keys.count()).withColumn("o", F.explode(F.array("low", "high")))
+    # round 1: the set of each group that shares most of its keys with most others, as the original of many copies does
+    spread = keys.groupBy("s").agg(F.sum("times").alias("spread"))
+    ranked = keys.select("key", "s", "n").join(spread, "s")
+    ends = ranked.groupBy("key").agg(F.max(F.struct("spread", "s", "n")).alias("o"), F.count("*").alias("times"))
+    met = join_hot(keys.select("key", "s", "n"), stored(ends), ["key"], keys.count())
     met = met.where(F.col("s") != F.col("o.s")).where(_near_size("n", "o.n", percent))
     met = met.select(F.least("s", "o.s").alias("a"), F.greatest("s", "o.s").alias("b")).distinct()
     known = facts.select("s", "n", "bits")

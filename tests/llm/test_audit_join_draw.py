@@ -161,7 +161,7 @@ def test_signatures_bound_the_overlap_from_above():
     for _ in range(300):
         a = prose(rng, rng.randrange(1, 300), 20).encode()
         b = prose(rng, rng.randrange(1, 300), 20).encode()
-        x, y = jaccard.shingle_hashes(a, 2), jaccard.shingle_hashes(b, 2)
+        x, y = jaccard.shingle_sets([a, b], 2)
         import numpy as np
 
         p, q = (np.frombuffer(jaccard.signature(v), "<u8") for v in (x, y))
