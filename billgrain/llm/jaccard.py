@@ -306,13 +306,14 @@ def tile_pairs(rows: DataFrame, signatures: DataFrame, percent: int) -> DataFram
     members = [F.bit_xor(F.xxhash64("s")).alias("m1"), F.bit_xor(F.xxhash64(F.lit(1), "s")).alias("m2")]
     groups = rows.groupBy("key").agg(F.count("*").alias("times"), F.min("label").alias("low"), F.max("label").alias("high"), *members).where("low != high")
     groups = stored(groups.groupBy("times", "m1", "m2").agg(F.min("key").alias("key")).select("key", "times"))
-    tiled = join_hot(rows, groups, ["key"], rows.count()).join(signatures.select("s", "bits"), "s").withColumn("own", _band(F.col("n"), percent))
+    tiled = join_hot(rows, groups, ["key"], rows.count()).withColumn("own", _band(F.col("n"), percent))
     tiled = tiled.withColumn("above", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("band", F.col("own") - F.col("above").cast("int"))
-    tiled = stored(tiled.select("key", "band", "above", "s", "n", "label", "bits"))
+    tiled = stored(tiled.select("key", "band", "above", "s", "n", "label"))
     sizes = tiled.groupBy("band", "key").agg(F.count("*").alias("times"), F.min("above").alias("alone"), F.min("label").alias("low"), F.max("label").alias("high"))
     # a tile needs a member of its own band and two components
     sizes = stored(sizes.where("NOT alone AND low != high").select("band", "key", "times", F.ceil(F.col("times") / CHUNK).cast("int").alias("chunks")))
-    cut = join_hot(tiled, sizes, ["band", "key"], tiled.count()).withColumn("chunk", F.pmod(F.xxhash64("s"), F.col("chunks")).cast("int"))
+    # signatures join only what is left in tiles
+    cut = join_hot(tiled, sizes, ["band", "key"], tiled.count()).join(signatures.select("s", "bits"), "s").withColumn("chunk", F.pmod(F.xxhash64("s"), F.col("chunks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
         "band",
         "key",
