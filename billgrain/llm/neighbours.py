@@ -11,6 +11,7 @@ yet with their neighbours.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,10 @@ DEGREE, REVERSE = 24, 24
 LAYOUTS, PIVOTS = 4, 128
 #: Vectors of a block in which all pairs are compared.
 BLOCK = 256
-#: Rounds of NN-descent at most, and the share of changed neighbours that ends them earlier.
-ROUNDS, SETTLED = 7, 0.02
-#: A search: nodes kept for each query, nodes opened in a round, pivots to start from, rounds at most.
-BEAM, OPENED, ENTRIES, STEPS = 320, 80, 16, 60
+#: Rounds of NN-descent end when this share of the neighbours, or less, has changed.
+SETTLED = 0.02
+#: A search: nodes kept for each query, nodes opened in a round, pivots to start from.
+BEAM, OPENED, ENTRIES = 320, 80, 16
 #: Hubs compared at once.
 HUBS = 64
 
@@ -136,11 +137,12 @@ def _pivots(nodes: DataFrame) -> tuple[list[int], np.ndarray]:
 def graph(nodes: DataFrame, pivots: np.ndarray) -> DataFrame:
     """``id, other, d, fresh``: the ``DEGREE`` nearest neighbours of each node that NN-descent finds.
 
-    ``nodes``: different vectors of one length by ``id``; ``d`` is the squared distance.
+    ``nodes``: different vectors of one length by ``id``; ``d`` is the squared distance. Lists only
+    get nearer, so that rounds end.
     """
     edges = stored(_best(_first_graph(nodes, pivots).withColumn("fresh", F.lit(1))))
     total = edges.count()
-    for turn in range(ROUNDS):
+    for turn in count():
         # a node's list takes nothing beyond its last entry, once it is full
         worst = edges.groupBy("id").agg(F.when(F.count("*") >= DEGREE, F.max("d")).otherwise(F.lit(float("inf"))).alias("worst"))
         members = edges.select("id", "other").unionByName(_reverse(edges, turn)).distinct().withColumnRenamed("id", "hub")
@@ -160,11 +162,12 @@ def search(nodes: DataFrame, edges: DataFrame, queries: DataFrame, entries: tupl
     """``query, node, distance``: the ``keep`` nearest nodes that greedy search finds for each query.
 
     ``queries``: ``query, vector``. Every round opens for each query up to ``OPENED`` of its
-    ``BEAM`` nearest nodes so far; a query is done when all of them are open. The round limit is
-    only a guard against endless loops; every round but the last opens a new node.
+    ``BEAM`` nearest nodes so far; a query is done when all of them are open. Every node stands
+    around its nearest neighbour, also where that has more than ``REVERSE`` reverse neighbours.
     """
     ids, vectors = entries
-    around = edges.select("id", "other").unionByName(_reverse(edges, 0)).groupBy("id").agg(F.collect_set("other").alias("around"))
+    nearest_link = edges.groupBy("id").agg(F.min_by("other", F.struct("d", "other")).alias("other")).select(F.col("other").alias("id"), F.col("id").alias("other"))
+    around = edges.select("id", "other").unionByName(_reverse(edges, 0)).unionByName(nearest_link).groupBy("id").agg(F.collect_set("other").alias("around"))
     around = stored(around)
     places = nodes.sparkSession.sparkContext.broadcast((np.array(ids, np.int64), vectors))
 
@@ -191,10 +194,7 @@ def search(nodes: DataFrame, edges: DataFrame, queries: DataFrame, entries: tupl
         return stored(ranked.withColumn("next", ~F.col("open") & (waiting <= OPENED)))
 
     pool = best(measured(queries.mapInArrow(enter, "query long, node long")).withColumn("open", F.lit(False)))
-    for _ in range(STEPS):
-        opened = pool.where("next")
-        if opened.isEmpty():
-            break
+    while not (opened := pool.where("next")).isEmpty():
         reached = opened.join(around, F.col("node") == F.col("id")).select("query", F.explode("around").alias("node")).distinct()
         new = measured(reached.join(pool, ["query", "node"], "left_anti")).withColumn("open", F.lit(False))
         pool = best(pool.select("query", "node", "distance", (F.col("open") | F.col("next")).alias("open")).unionByName(new))
@@ -206,12 +206,16 @@ def nearest_rows(rows: DataFrame, every: int = 100, k: int = 10, id_col: str = "
 
     The score is the Euclidean distance in double precision; equal ones go by the smaller id.
     Rows with a null id, and vectors that are null, zero, or hold a null or a non-finite component, take
-    no part; vectors must have one length. Repeated rows of one id and vector count once. A table
+    no part. Only vectors of one length can be compared: those of the most frequent length (of equally
+    frequent ones, the longest) take part. Ids are whole numbers of any width. Repeated rows of one id and vector count once. A table
     without usable rows, or with one alone, gives no rows; other columns are not read.
     """
     short_batches(rows.sparkSession)
-    valid = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).where(F.col("id").isNotNull() & usable(F.col("vector")))
+    valid = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).where(F.col("id").isNotNull() & usable(F.col("vector")))
     valid = stored(valid.distinct())
+    lengths = valid.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(2).collect()
+    if len(lengths) > 1:
+        valid = valid.where(F.size("vector") == lengths[0]["n"])
     named = stored(valid.groupBy("vector").agg(F.min("id").alias("node")))
     nodes = named.select(F.col("node").alias("id"), "vector")
     # of rows with equal vectors a query can only get the first ones, besides itself

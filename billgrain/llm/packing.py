@@ -133,13 +133,13 @@ def packed(pieces: DataFrame, capacity: int = 2048, keys: tuple[str, ...] = ("id
     parts = parts.select(length, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     number = F.row_number().over(Window.partitionBy(length, "_salt").orderBy(*keys)) - 1
     numbered = rows.withColumn("_in", number).join(parts, [length, "_salt"]).withColumn("_number", F.col("_before") + F.col("_in"))
-    places = places.select(F.col("length").alias("_length"), "first", "last", "each", "bin0", "offset0")
-    here = (F.col(length) == F.col("_length")) & (F.col("_number") >= F.col("first")) & (F.col("_number") < F.col("last"))
-    turn = F.col("_number") - F.col("first")
+    places = places.select(F.col("length").alias("_length"), *[F.col(c).alias(f"_{c}") for c in ("first", "last", "each", "bin0", "offset0")])
+    here = (F.col(length) == F.col("_length")) & (F.col("_number") >= F.col("_first")) & (F.col("_number") < F.col("_last"))
+    turn = F.col("_number") - F.col("_first")
     return numbered.join(F.broadcast(places), here).select(
         *pieces.columns,
-        (F.col("bin0") + F.floor(turn / F.col("each"))).cast("long").alias("sequence_id"),
-        (F.col("offset0") + (turn % F.col("each")) * F.col(length)).cast("long").alias("offset"),
+        (F.col("_bin0") + F.floor(turn / F.col("_each"))).cast("long").alias("sequence_id"),
+        (F.col("_offset0") + (turn % F.col("_each")) * F.col(length)).cast("long").alias("offset"),
     )
 
 

@@ -22,7 +22,7 @@ MIX = {"domain": {"d0": 4, "d1": 2, "d2": 1, "d3": 1}, "language": {"en": 1, "de
 
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows that no label may be learnt from."""
-    return F.crc32(F.col(id_col).cast("string")) % 3 == 1
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
 def learnt(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
