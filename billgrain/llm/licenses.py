@@ -9,6 +9,8 @@ other, whichever way their lines are wrapped.
 
 from __future__ import annotations
 
+import re
+import textwrap
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -55,8 +57,11 @@ SPELLINGS = (
     ("http", "https"),
     ("v", "version"),
 )
-#: A line that only says who holds the rights.
-COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©)[^\n]*$"
+#: A line that says who holds the rights since when: the word or sign, and a year or the sign after the word.
+COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright[ \t]*(?:\(c\)|©)|(?:copyright|\(c\))[ \t]+[<\[{]?(?:[0-9]{4}|yyyy|year)|©)[^\n]*$"
+#: Widths that known texts may be wrapped at, besides their own lines and unwrapped blocks.
+WIDTHS = range(40, 121)
+BLANK_LINES = r"\n(?:[ \t\r]*\n)+"
 
 
 def canonical(text: Column) -> Column:
@@ -70,7 +75,7 @@ def canonical(text: Column) -> Column:
 
 def known_digests(spark, known=KNOWN) -> DataFrame:
     """``license, digest`` of the known texts: a table as long as the list of them."""
-    texts = spark.createDataFrame([*known], "license string, text string")
+    texts = spark.createDataFrame([(name, form) for name, text in known for form in wrappings(text)], "license string, text string")
     return texts.select("license", F.md5(canonical(F.col("text"))).alias("digest")).distinct()
 
 
@@ -80,14 +85,27 @@ def whole_texts() -> list[tuple[str, str]]:
     return [(f.name.removesuffix(".txt").removesuffix(".header"), f.read_text(encoding="utf-8")) for f in files]
 
 
+def wrappings(text: str) -> list[str]:
+    """The text as it stands, with unwrapped blocks, and wrapped at ``WIDTHS``, as far as its form differs.
+
+    White space has no part in the form, but a copyright line does: after wrapping, it can begin
+    or end elsewhere.
+    """
+    blocks = [" ".join(b.split()) for b in re.split(BLANK_LINES, text) if b.strip()]
+    fill = lambda b, width: textwrap.fill(b, width, break_long_words=False, break_on_hyphens=False)
+    forms = [text, "\n\n".join(blocks), *("\n\n".join(fill(b, width) for b in blocks) for width in WIDTHS)]
+    return [*{" ".join(re.sub(COPYRIGHT_LINE, " ", f.lower()).split()): f for f in reversed(forms)}.values()]
+
+
 def _blocks(text: Column) -> Column:
     """Canonical blocks of lines between blank ones; what is only a copyright line is none."""
-    return F.filter(F.transform(F.split(text, r"\n(?:[ \t\r]*\n)+"), lambda b: canonical(b)), lambda b: b != "")
+    return F.filter(F.transform(F.split(text, BLANK_LINES), lambda b: canonical(b)), lambda b: b != "")
 
 
 def known_blocks(spark, texts=None) -> DataFrame:
     """``license, text, blocks, at, digest``: each block of the known texts of several lines, by place."""
-    rows = [(k, name, t.strip("\n")) for k, (name, t) in enumerate(whole_texts() + [*KNOWN] if texts is None else texts)]
+    forms = [(name, form) for name, t in (whole_texts() + [*KNOWN] if texts is None else texts) for form in wrappings(t.strip("\n"))]
+    rows = [(k, name, form) for k, (name, form) in enumerate(forms)]
     known = spark.createDataFrame(rows, "text int, license string, body string").withColumn("b", _blocks(F.col("body")))
     return known.select("license", "text", F.size("b").alias("blocks"), F.posexplode("b").alias("at", "block")).withColumn("digest", F.md5("block")).drop("block")
 
@@ -96,23 +114,27 @@ def license_blocks(docs: DataFrame, known: DataFrame | None = None, id_col: str
     """``id, license, scope, times`` with scope ``block``: known texts that stand as runs of blocks.
 
     A text of one line is not looked for here when it stands as one line: that is scope ``line``.
+    Rows are told apart by id and text; repeated rows count as often as they stand in the table.
     """
     known = known_blocks(docs.sparkSession) if known is None else known
     text = text_of(text_col)
-    wrapped = F.transform(F.split(text, r"\n(?:[ \t\r]*\n)+"), lambda b: F.struct(canonical(b).alias("form"), F.btrim(b, F.lit(" \t\r\n")).contains("\n").alias("wrapped")))
-    blocks = docs.select(F.col(id_col).alias("id"), F.expr("uuid()").alias("row"), F.filter(wrapped, lambda b: b["form"] != "").alias("b"))
+    wrapped = F.transform(F.split(text, BLANK_LINES), lambda b: F.struct(canonical(b).alias("form"), F.btrim(b, F.lit(" \t\r\n")).contains("\n").alias("wrapped")))
+    blocks = docs.select(F.col(id_col).alias("id"), F.md5(text).alias("row"), F.filter(wrapped, lambda b: b["form"] != "").alias("b"))
     blocks = blocks.select("id", "row", F.posexplode("b").alias("no", "b")).select("id", "row", "no", F.md5("b.form").alias("digest"), "b.wrapped")
     met = blocks.join(F.broadcast(known), "digest").withColumn("start", F.col("no") - F.col("at"))
-    whole = met.groupBy("id", "row", "license", "text", "blocks", "start").agg(F.count("*").alias("n"), F.max("wrapped").alias("wrapped"))
-    whole = whole.where("n = blocks AND (blocks > 1 OR wrapped)").select("id", "row", "license", "start").distinct()
-    return whole.groupBy("id", "license").agg(F.count("*").alias("times")).select(F.col("id").alias(id_col), "license", F.lit("block").alias("scope"), "times")
+    whole = met.groupBy("id", "row", "license", "text", "blocks", "start").agg(F.count("*").alias("n"), F.size(F.collect_set("at")).alias("places"), F.max("wrapped").alias("wrapped"))
+    whole = whole.where("places = blocks AND (blocks > 1 OR wrapped)")
+    whole = whole.groupBy("id", "row", "license", "start").agg(F.max(F.expr("n div blocks")).alias("copies"))
+    return whole.groupBy("id", "license").agg(F.sum("copies").alias("times")).select(F.col("id").alias(id_col), "license", F.lit("block").alias("scope"), "times")
 
 
 def licenses(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, license, scope, times``: the licences a document is or contains as whole lines or blocks.
 
     ``scope`` is ``document``, ``line`` or ``block`` (with the given list ``known``: not ``block``); a text of one line counts as both. Null and empty
-    texts match nothing; rows with one id are counted together, a null id counts as an id.
+    texts match nothing; rows with one id are counted together, a null id counts as an id. An empty table
+    gives no rows; texts of any length are read whole; other columns of the table are not read.
+    Text on the line of a copyright notice is not compared.
     """
     blocks = license_blocks(docs, None, id_col, text_col) if known is None else None
     known = known_digests(docs.sparkSession, [*KNOWN, *whole_texts()]) if known is None else known

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from billgrain.llm.licenses import KNOWN, SPELLINGS
+from billgrain.llm.licenses import COPYRIGHT_LINE, KNOWN, SPELLINGS
 
 
 def _quoted(text: str) -> str:
@@ -10,7 +10,7 @@ def _quoted(text: str) -> str:
 
 
 def _canonical(text: str) -> str:
-    form = rf"regexp_replace(lower({text}), '(?m)^[ \t]*(copyright|\(c\)|©)[^\n]*$', ' ', 'g')"
+    form = f"regexp_replace(lower({text}), {_quoted(COPYRIGHT_LINE)}, ' ', 'g')"
     form = rf"(' ' || trim(regexp_replace({form}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' ')"
     for other, usual in SPELLINGS:
         form = f"replace({form}, {_quoted(f' {other} ')}, {_quoted(f' {usual} ')})"
