@@ -3,7 +3,7 @@
 A public vocabulary is measured on each document: characters per token, the share of tokens
 that are bytes it had to fall back to, and the entropy of the tokens. What is usual differs by
 language, so each language (or script, where no language is given) has a band of its own from
-the quartiles of its documents, and documents outside of it are rejected.
+the quartiles of its documents, the steadier the more documents it has, and documents outside of it are rejected.
 """
 
 from __future__ import annotations
@@ -21,12 +21,24 @@ from billgrain.session import counted_keys
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = "\t\n\x0b\x0c\r "
-#: Scripts told apart where a language is missing, by their letters.
-SCRIPTS = ("Latin", "Cyrillic", "Greek", "Arabic", "Hebrew", "Devanagari", "Han", "Hiragana", "Katakana", "Hangul", "Thai")
-#: Documents that pass the base rules and that a group needs for a band of its own.
-LEAST = 100
-#: Accuracy of the quartiles' sketch.
-ACCURACY = 10_000
+#: Scripts told apart where a language is missing, and the code points of their letters.
+SCRIPTS = {
+    "latin": ((0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F), (0x1E00, 0x1EFF)),
+    "greek": ((0x370, 0x3FF), (0x1F00, 0x1FFF)),
+    "cyrillic": ((0x400, 0x52F),),
+    "hebrew": ((0x590, 0x5FF),),
+    "arabic": ((0x600, 0x6FF), (0x750, 0x77F)),
+    "devanagari": ((0x900, 0x97F),),
+    "thai": ((0xE00, 0xE7F),),
+    "hangul": ((0x1100, 0x11FF), (0xAC00, 0xD7AF)),
+    "hiragana": ((0x3040, 0x309F),),
+    "katakana": ((0x30A0, 0x30FF),),
+    "han": ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0x20000, 0x2FFFF)),
+}
+#: Documents of a group that weigh as much as its whole script.
+SHRINK = 100
+#: Measures with a band, and the decimals that their quartiles are taken of.
+ROUNDED = {"strayed": 2, "byte_share": 4, "evenness": 4}
 #: Texts measured at once.
 TEXTS = 200
 
@@ -113,32 +125,41 @@ def _repeated_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
-def _script(text: Column) -> Column:
-    """The script of the first letter, for texts without a language."""
-    letter = F.regexp_extract(text, r"\p{L}", 0)
-    found = F.lit("none")
-    for name in reversed(SCRIPTS):
-        found = F.when(letter.rlike(rf"\p{{Is{name}}}"), name.lower()).otherwise(found)
-    return found
+def _script_ranges() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last code point and script of each range, in order."""
+    ranges = sorted((first, last, k) for k, script in enumerate(SCRIPTS.values()) for first, last in script)
+    first, last, script = np.array(ranges).T
+    return first, last, script
+
+
+def script_of(text: str) -> str:
+    """The script of most letters of the whole text; equal counts go to the first of ``SCRIPTS``."""
+    if text.isascii():
+        return "latin" if text.lower() != text.upper() else "none"
+    first, last, script = remembered("script ranges", _script_ranges)
+    letters = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+    at = np.searchsorted(first, letters, "right") - 1
+    counts = np.bincount(script[at[(at >= 0) & (letters <= last[at])]], minlength=len(SCRIPTS))
+    return [*SCRIPTS][int(counts.argmax())] if counts.any() else "none"
 
 
 def measures(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
-    """``id, band`` and the measures of each row. ``vocabulary`` is a file of ``sentencepiece``."""
+    """``id, lang, script`` and the measures of each row. ``vocabulary`` is a file of ``sentencepiece``."""
     short_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    names = ["id", "band", *COUNTS, "entropy"]
+    names = ["id", "lang", "script", *COUNTS, "entropy"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), TEXTS):
                 some = batch.slice(at, TEXTS)
-                found = measure(some.column("text").to_pylist(), vocabulary)
-                yield pa.RecordBatch.from_arrays([some.column("id"), some.column("band"), *[pa.array(found[x]) for x in names[2:]]], names)
+                texts = some.column("text").to_pylist()
+                found = {"script": [script_of(t) for t in texts]} | measure(texts, vocabulary)
+                yield pa.RecordBatch.from_arrays([some.column("id"), some.column("lang"), *[pa.array(found[x]) for x in names[2:]]], names)
 
-    text = text_of(text_col)
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(lang, _script(text)).alias("band"), text.alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, band string, {', '.join(f'{c} long' for c in COUNTS)}, entropy double")
+    rows = docs.select(F.col(id_col).alias("id"), lang.alias("lang"), text_of(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, lang string, script string, {', '.join(f'{c} long' for c in COUNTS)}, entropy double")
 
 
 def fertility_verdicts(
@@ -154,14 +175,21 @@ def fertility_verdicts(
     """The measures of each row, ``base_failed``, ``reasons`` and ``kept``.
 
     A text of few tokens strays more from what is usual, as the root of their number, so
-    ``strayed`` is the distance of its characters per token from the group's median times that
-    root. Bands reach from the quartiles of the group's documents that pass the base rules (fewer
-    than 50 words, or more than half of the words in repeated windows of three, fail): ``width``
-    quartile distances for ``strayed``, ``entropy_width`` below for the entropy as a share of the
-    most that so many tokens can have, and ``byte_slack`` above for the share of bytes.
-    Groups of fewer than ``LEAST`` such documents take the band of all. Null and empty texts have
-    no words and fail the base rules; null languages go by script. Repeated rows have equal results.
-    An empty table gives no rows; a null id stays null.
+    ``strayed`` is the distance of its characters per token from its group's median times that
+    root; the share of bytes and the entropy as a share of the most that so many tokens can have
+    are measured from the group's medians, too. A group is a language, or a script where no
+    language is given. Bands reach from the quartiles of these distances over the group's documents
+    that pass the base rules (fewer than 50 words, or more than half of the words in repeated
+    windows of three, fail): ``width`` quartile distances for ``strayed``, ``entropy_width`` below
+    for the entropy, ``byte_slack`` and ``width`` above for the bytes.
+
+    A group of n documents keeps its own middle, and its quartiles count n against ``SHRINK`` of its
+    script, all of whose documents are measured from the middles of their own groups; bands are
+    wider by one part in the root of n, as a middle of few is less sure. So groups of all sizes go
+    one way. Quartiles are exact over rounded values, whichever way the rows are split.
+    Null and empty texts have no words and fail the base rules. Repeated rows have equal results.
+    An empty table gives no rows; a null id stays null; texts of any length are measured whole, in
+    the memory of one task; other columns of the table are not read.
     """
     rows = stored(measures(docs, vocabulary, id_col, text_col, lang_col))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -173,21 +201,35 @@ def fertility_verdicts(
         (F.col("n_byte_tokens") / tokens).alias("byte_share"),
         F.when(F.col("n_tokens") > 1, F.col("entropy") / F.log2("n_tokens")).otherwise(F.lit(0.0)).alias("evenness"),
     )
-    quarters = lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], ACCURACY).alias(f"{c}_q")
-    rows = _with_bands(rows, quarters("chars_per_token"))
-    rows = rows.withColumn("strayed", (F.col("chars_per_token") - F.col("chars_per_token_q")[1]) * F.sqrt(tokens))
-    rows = _with_bands(rows, quarters("strayed"), quarters("evenness"), quarters("byte_share"))
+    rows = rows.withColumn("band", F.coalesce("lang", "script"))
+    usual = rows.where("NOT base_failed")
+    middle = lambda c: F.percentile(F.round(c, 4), 0.5).alias(f"{c}_mid")
+    _, middles = counted_keys(usual.groupBy("band").agg(F.count("*").alias("_n"), *[middle(c) for c in ("chars_per_token", "byte_share", "evenness")]))
+    rows = rows.join(middles, "band", "left").withColumns(
+        {
+            "strayed_off": (F.col("chars_per_token") - F.col("chars_per_token_mid")) * F.sqrt(tokens),
+            "byte_share_off": F.col("byte_share") - F.col("byte_share_mid"),
+            "evenness_off": F.col("evenness") - F.col("evenness_mid"),
+        }
+    )
+    usual = rows.where("NOT base_failed")
+    for by in ("band", "script"):
+        quartiles = [F.percentile(F.round(f"{c}_off", digits), [0.25, 0.75]).alias(f"{c}_{by}") for c, digits in ROUNDED.items()]
+        _, spread = counted_keys(usual.groupBy(by).agg(*quartiles))
+        rows = rows.join(spread, by, "left")
 
     def edge(measure: str, wide: float) -> Column:
-        q = F.col(f"{measure}_q")
-        return (q[0] if wide < 0 else q[2]) + (q[2] - q[0]) * wide
+        n = F.col("_n")
+        low, high = ((n * F.col(f"{measure}_band")[k] + SHRINK * F.col(f"{measure}_script")[k]) / (n + SHRINK) for k in (0, 1))
+        room = (high - low) * (abs(wide) + 1 / F.sqrt(n))
+        return low - room if wide < 0 else high + room
 
     reasons = F.array_compact(
         F.array(
-            F.when(F.col("strayed") < edge("strayed", -width), "few characters per token"),
-            F.when(F.col("strayed") > edge("strayed", width), "many characters per token"),
-            F.when(F.col("byte_share") > edge("byte_share", width) + byte_slack, "bytes"),
-            F.when(F.col("evenness") < edge("evenness", -entropy_width), "low entropy"),
+            F.when(F.col("strayed_off") < edge("strayed", -width), "few characters per token"),
+            F.when(F.col("strayed_off") > edge("strayed", width), "many characters per token"),
+            F.when(F.col("byte_share_off") > edge("byte_share", width) + byte_slack, "bytes"),
+            F.when(F.col("evenness_off") < edge("evenness", -entropy_width), "low entropy"),
         )
     )
     return rows.select(
@@ -203,13 +245,3 @@ def fertility_verdicts(
         (~F.col("base_failed") & (F.size(reasons) == 0)).alias("kept"),
     )
 
-
-def _with_bands(rows: DataFrame, *aggregates: Column) -> DataFrame:
-    """Adds aggregates over a row's group, or over all rows where the group is too small."""
-    usual = rows.where("NOT base_failed")
-    names = list(usual.agg(*aggregates).columns)
-    own = usual.groupBy("band").agg(F.count("*").alias("_n"), *aggregates).where(F.col("_n") >= LEAST)
-    _, own = counted_keys(own.select("band", *[F.col(c).alias(f"_{c}") for c in names]))
-    every = usual.agg(*aggregates)  # one row
-    both = rows.join(own, "band", "left").crossJoin(F.broadcast(every))
-    return both.select(*rows.columns, *[F.coalesce(f"_{c}", c).alias(c) for c in names])

@@ -210,6 +210,24 @@ def test_whole_licence_texts(spark):
     assert got == expected
 
 
+def test_licence_texts_at_all_widths(spark):
+    import textwrap
+
+    rows, names = [], []
+    for name, text in licenses.whole_texts():
+        blocks = [" ".join(b.split()) for b in re.split(r"\n\s*\n", text) if b.strip()]
+        for width in (40, 53, 60, 72, 80, 99, 120, 10**6):
+            rows.append((len(rows), "\n\n".join(textwrap.fill(b, width, break_long_words=False) for b in blocks)))
+            names.append(name)
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {(r.doc_id, r.license) for r in licenses.licenses(table).collect() if r["scope"] == "document"}
+    assert {(i, name) for i, name in enumerate(names)} <= got
+    bsd = dict(licenses.whole_texts())["BSD-3-Clause"]
+    changed = spark.createDataFrame([(0, bsd.replace("\n\n", "\n\ncopyright license to sell is not given\n\n", 2)), (1, bsd), (1, bsd)], "doc_id long, text string")
+    found = {(r.doc_id, r["scope"]): r.times for r in licenses.licenses(changed).collect()}
+    assert found == {(1, "document"): 2, (1, "block"): 2}
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
@@ -229,6 +247,8 @@ def test_packing(spark, docs):
     least = max(-(-sum(e[4] for e in expected) // 256), sum(e[4] > 128 for e in expected))
     assert max(ends.values()) <= 256 and len(ends) <= 1.05 * least
     assert packing.packed_documents(docs.limit(0), path).count() == 0
+    clash = spark.createDataFrame([(i, 0, 1 + i % 9, 1, 2, 3, 4, 5) for i in range(50)], "id long, piece int, length long, first int, last int, each int, bin0 int, offset0 int")
+    assert packing.packed(clash, 16).count() == 50
     whole = packing.sequences(docs, path, 256)
     assert whole.where("octet_length(ids) != 4 * n_ids").count() == 0 and whole.count() == len(ends)
 
@@ -260,6 +280,51 @@ def test_fertility_counts(docs):
     assert fertility.fertility_verdicts(docs.limit(0), public_tokenizers.path("piece_bpe_32k.model")).count() == 0
 
 
+def brute_verdicts(rows, path):
+    """``id -> (tokens, byte tokens, kept)`` of texts that pass the base rules, by plain loops."""
+    from sentencepiece import SentencePieceProcessor
+
+    pieces, measured = SentencePieceProcessor(model_file=path), {}
+    for i, text, lang, script in rows:
+        ids = [t for w in text.split() for t in pieces.encode(w)]
+        entropy = -sum(ids.count(t) / len(ids) * np.log2(ids.count(t) / len(ids)) for t in set(ids))
+        fallen = sum(pieces.is_byte(t) or pieces.is_unknown(t) for t in ids)
+        chars = sum(map(len, text.split()))
+        measured[i] = (lang or script, script, len(ids), fallen, (chars / len(ids), fallen / len(ids), entropy / np.log2(len(ids))))
+    middles = {b: np.median(np.round([m[4] for m in measured.values() if m[0] == b], 4), axis=0) for b in {m[0] for m in measured.values()}}
+    off = {i: (np.array(m[4]) - middles[m[0]]) * [m[2] ** 0.5, 1, 1] for i, m in measured.items()}
+    quartiles = lambda k, name: np.percentile([[round(o[0], 2), round(o[1], 4), round(o[2], 4)] for i, o in off.items() if measured[i][k] == name], [25, 75], axis=0)
+    found = {}
+    for i, (band, script, n_tokens, fallen, _) in measured.items():
+        n = sum(m[0] == band for m in measured.values())
+        low, high = (n * quartiles(0, band) + 100 * quartiles(1, script)) / (n + 100)
+        wide = high - low
+        more = 1 / n**0.5
+        inside = low[0] - wide[0] * (2.5 + more) <= off[i][0] <= high[0] + wide[0] * (2.5 + more)
+        inside = inside and off[i][1] <= high[1] + wide[1] * (2.5 + more) + 0.1 and off[i][2] >= low[2] - wide[2] * (3 + more)
+        found[i] = (n_tokens, fallen, bool(inside))
+    return found
+
+
+def test_fertility_verdicts(spark):
+    rng = random.Random(9)
+    draw = lambda letters, n=90: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(60, n)))
+    rows = [(i, draw("etaoinshrdlu"), "en", "latin") for i in range(150)]
+    for lang, n in (("ru", 99), ("uk", 20), ("bg", 1), (None, 100)):
+        rows += [(len(rows) + k, draw("оеаинтсрвл") + (" Latin" if k % 2 else ""), lang, "cyrillic") for k in range(n)]
+    clean = len(rows)
+    rows += [(clean, draw("\U0001f600\U0001f680x"), "en", "latin"), (clean + 1, draw("qxzjw#$%"), "en", "latin"), (clean + 2, "same the " * 20 + draw("a"), "en", "latin")]
+    table = spark.createDataFrame([(i, t, lang, 1) for i, t, lang, _ in rows], "doc_id long, text string, lang string, script int").repartition(7)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    got = {r.doc_id: r for r in fertility.fertility_verdicts(table, path).collect()}
+    passing = [r for r in rows if not got[r[0]].base_failed]
+    assert len(passing) >= clean
+    assert {i: (got[i].n_tokens, got[i].n_byte_tokens, got[i].kept) for i, *_ in passing} == brute_verdicts(passing, path)
+    assert not got[clean].kept and sum(got[i].kept for i in range(clean)) >= clean - 3
+    assert all(got[i].kept for i in range(150, clean) if rows[i][2] == "bg")
+    assert fertility.script_of("a é ж и я") == "cyrillic" and fertility.script_of("1 2 ,") == "none"
+
+
 def test_marginals_against_all_paths():
     rng = np.random.default_rng(0)
     moves, sizes = rng.normal(size=(2, 2)), [1, 4, 2, 4]
@@ -354,4 +419,7 @@ def test_nearest_rows(spark):
     assert set(got) == set(range(0, 7000, 500))
     assert neighbours.nearest_rows(table.limit(0)).count() == 0
     few = neighbours.nearest_rows(table.where("vec_id in (0, 10, 20)"), every=500).collect()
+    mixed = table.where("vec_id in (0, 10, 20)").unionByName(spark.createDataFrame([(30, [1.0, 2.0], "x")], table.schema))
+    mixed = neighbours.nearest_rows(mixed.withColumn("vec_id", F.col("vec_id").cast("int")), every=500).collect()
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in mixed] == [(r.query_id, r["rank"], r.vec_id, r.score) for r in few]
     assert [r.vec_id for r in sorted(few, key=lambda r: r["rank"])] in ([10, 20], [20, 10])
