@@ -116,7 +116,7 @@ ITEM_ROW = r"\A([A-Z]+-[0-9]+) (.*?)((?: [0-9]+(?:[.,][0-9]+)+){3,})\z"
 
 
 def item_row(line: Column) -> Column:
-    """Row with more numbers than it needs: the total is the first plausible later number."""
+    """Row with more numbers than it needs: the total is the number after a discount rate that explains it, else the first plausible later number."""
     numbers = F.transform(
         F.filter(F.split(F.regexp_extract(line, ITEM_ROW, 3), " "), lambda t: t != ""), number
     )
@@ -124,7 +124,13 @@ def item_row(line: Column) -> Column:
     def build(n: Column) -> Column:
         quantity, price = F.get(n, F.lit(0)), F.get(n, F.lit(1))
         rest = F.slice(n, F.lit(3), F.greatest(F.size(n) - 2, F.lit(0)))
-        total = F.get(F.filter(rest, lambda c: in_window(c, quantity * price)), F.lit(0))
+        after = F.slice(rest, F.lit(2), F.greatest(F.size(rest) - 1, F.lit(0)))
+        reduced = F.filter(
+            F.arrays_zip(rest.alias("rate"), after.alias("total")),
+            lambda p: (p["rate"] > 0) & (p["rate"] < 100) & (F.abs(p["total"] - quantity * price * (1 - p["rate"] / 100)) < 0.01),
+        )
+        plausible = F.filter(rest, lambda c: in_window(c, quantity * price))
+        total = F.coalesce(F.get(reduced, F.lit(0))["total"], F.get(plausible, F.lit(0)))
         return F.when(
             F.size(n) > 0,
             F.struct(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from billgrain.functions import html
+from billgrain.functions import extract, html
 from billgrain.functions.pin import pin
 
 
@@ -67,7 +67,7 @@ def category_items(df: DataFrame) -> DataFrame:
     amounts = F.transform(
         F.slice(row, F.lit(2), F.greatest(F.size(row) - 1, F.lit(0))),
         lambda c, i: F.struct(
-            F.replace(c, F.lit(","), F.lit(".")).try_cast("double").alias("amount"),
+            extract.number(c).alias("amount"),
             F.get(F.col("headers"), i + 1).alias("category"),
         ),
     )
