@@ -124,10 +124,14 @@ def item_row(line: Column) -> Column:
     def build(n: Column) -> Column:
         quantity, price = F.get(n, F.lit(0)), F.get(n, F.lit(1))
         rest = F.slice(n, F.lit(3), F.greatest(F.size(n) - 2, F.lit(0)))
-        after = F.slice(rest, F.lit(2), F.greatest(F.size(rest) - 1, F.lit(0)))
+        later = lambda k: F.slice(rest, F.lit(k), F.greatest(F.size(rest) - k + 1, F.lit(0)))
+        # a total before a tax rate can look like a discount before a total: then a third number must follow
         reduced = F.filter(
-            F.arrays_zip(rest.alias("rate"), after.alias("total")),
-            lambda p: (p["rate"] > 0) & (p["rate"] < 100) & (F.abs(p["total"] - quantity * price * (1 - p["rate"] / 100)) < 0.01),
+            F.arrays_zip(rest.alias("rate"), later(2).alias("total"), later(3).alias("more")),
+            lambda p: (p["rate"] > 0)
+            & (p["rate"] < 100)
+            & (F.abs(p["total"] - quantity * price * (1 - p["rate"] / 100)) < 0.01)
+            & (p["more"].isNotNull() | ~in_window(p["rate"], quantity * price)),
         )
         plausible = F.filter(rest, lambda c: in_window(c, quantity * price))
         total = F.coalesce(F.get(reduced, F.lit(0))["total"], F.get(plausible, F.lit(0)))

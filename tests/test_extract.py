@@ -30,8 +30,8 @@ def test_vendor_from_email(spark):
 def test_rows_with_thousands_marks(spark):
     row = column(spark, ["SKU-1 Part 12 2,000 1.500,00 10,00 2.900,00 21,0"], extract.item_row)[0]
     assert (row.description, row.quantity, row.unit_price, row.line_total) == ("Part 12", 2.0, 1500.0, 2900.0)
-    discounted = column(spark, ["SKU-1 Part 1,000 10,00 10,00 9,00 21,0", "SKU-1 Part 2,000 10,00 20,00 21,0"], extract.item_row)
-    assert [r.line_total for r in discounted] == [9.0, 20.0]
+    discounted = column(spark, ["SKU-1 Part 1,000 10,00 10,00 9,00 21,0", "SKU-1 Part 2,000 10,00 20,00 21,0", "SKU-1 Part 2,000 15,00 30,00 21,00"], extract.item_row)
+    assert [r.line_total for r in discounted] == [9.0, 20.0, 30.0]
     line = column(spark, ["2,5 kW × 30 días × 13,94 €/kW día = 1.045,50 €"], extract.utility_line)[0]
     assert line.line_total == 1045.5
 
