@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from billgrain.functions.pin import let
 from billgrain.functions.repairs import in_window
+from billgrain.functions.schema import MODEL
 from billgrain.functions.text import SPACE as S, WORD_END, WORD_START, strip
 
 DATE = rf"({WORD_START}[0-9]{{1,2}})(?: de |\.|/)([0-9]{{1,2}})(?: de |\.|/)([0-9]{{4}}){WORD_END}"
@@ -236,14 +237,25 @@ def invoice_score(text: Column) -> Column:
     return sum((lowered.contains(w).cast("int") for w in INVOICE_WORDS), F.lit(0))
 
 
+def _filled_leaves(spec: dict, value: Column) -> list[Column]:
+    """For each leaf of the record below ``value``: does it hold anything but an empty text?"""
+    if spec["kind"] == "object":
+        return [leaf for name, part in spec["fields"].items() for leaf in _filled_leaves(part, value[name])]
+    if spec["kind"] == "list":
+        def somewhere(i: int) -> Column:
+            return F.exists(value, lambda element: _filled_leaves(spec["of"], element)[i])
+
+        return [somewhere(i) for i in range(len(_filled_leaves(spec["of"], value[0])))]
+    return [value != "" if spec["kind"] == "text" else value.isNotNull()]
+
+
 def completeness(inv: Column) -> Column:
-    """Share of the main fields that hold a value."""
-    fin, parties, meta = inv["financial_details"], inv["parties"], inv["metadata"]
-    texts = [
-        meta["invoice_number"], meta["issue_date"], parties["vendor"]["name"], parties["vendor"]["tax_id"],
-        parties["customer"]["name"], parties["customer"]["tax_id"], fin["currency"], fin["payment"]["method"],
-    ]
-    filled = [(F.coalesce(t, F.lit("")) != "").cast("int") for t in texts]
-    filled += [fin["subtotal"].isNotNull().cast("int"), fin["discount"].isNotNull().cast("int")]
-    filled.append((F.size(inv["items"]) > 0).cast("int"))
-    return sum(filled, F.lit(0)) / len(filled)
+    """Share of all leaves of the invoice's type that are filled; a leaf of a list is, where one element fills it."""
+    leaves = _filled_leaves(MODEL, inv)
+    return sum((F.coalesce(leaf, F.lit(False)).cast("int") for leaf in leaves), F.lit(0)) / len(leaves)
+
+
+def is_iso_date(text: Column) -> Column:
+    """Is it a day of the calendar, written as year-month-day? NULL is not."""
+    parsed = F.try_to_timestamp(text, F.lit("yyyy-MM-dd"))
+    return F.coalesce(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z") & parsed.isNotNull(), F.lit(False))

@@ -67,14 +67,20 @@ def accepted(outcomes: DataFrame) -> DataFrame:
 ITEM_DEFAULTS = {"quantity": 1.0, "unit_price": 0.0, "line_total": 0.0}
 
 
-def item_amounts(parsed: DataFrame) -> DataFrame:
+def item_amounts(parsed: DataFrame, keep_empty: bool = False) -> DataFrame:
     """One row per item of each parsed answer (``value``): its number from 0 and its amounts, or their defaults.
 
-    An element that is no object has defaults only; answers without a list of items have no rows.
+    An element that is no object has defaults only; answers without items have no rows, or with
+    ``keep_empty`` one row with NULL item columns.
     """
     items = parsed.withColumn("items", F.try_variant_get("value", "$.items", "array<variant>"))
-    rows = items.select(*parsed.columns, F.posexplode("items").alias("item_no", "_item"))
-    amounts = {name: F.coalesce(F.try_variant_get("_item", f"$.{name}", "double"), F.lit(default)) for name, default in ITEM_DEFAULTS.items()}
+    explode = F.posexplode_outer if keep_empty else F.posexplode
+    rows = items.select(*parsed.columns, explode("items").alias("item_no", "_item"))
+    given = F.col("item_no").isNotNull()
+    amounts = {
+        name: F.when(given, F.coalesce(F.try_variant_get("_item", f"$.{name}", "double"), F.lit(default)))
+        for name, default in ITEM_DEFAULTS.items()
+    }
     return rows.withColumns(amounts).drop("_item")
 
 

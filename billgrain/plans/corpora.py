@@ -87,7 +87,8 @@ INVOICE_SQL = """
         'metadata', named_struct(
           'invoice_number', concat('2025/', cast(k AS string)),
           'issue_date', CASE WHEN k % 10 = 0 THEN NULL WHEN k % 14 = 0 THEN '' ELSE date_format(day, 'yyyy-MM-dd') END,
-          'due_date', CAST(NULL AS string), 'order_number', CAST(NULL AS string)),
+          'due_date', CASE WHEN k % 4 = 1 THEN date_format(date_add(day, 30), 'yyyy-MM-dd') WHEN k % 4 = 2 THEN '30 days' END,
+          'order_number', CAST(NULL AS string)),
         'notes', CAST(NULL AS string),
         'parties', named_struct(
           'vendor', named_struct(

@@ -62,7 +62,10 @@ def item_exclusions(spark, sf_dir):
 
 
 def null_defaults(spark, sf_dir):
-    """Answers as they come, with 0.0 and Unknown where a required value is missing."""
+    """Answers as they come, with 0.0 and Unknown where a required value is missing, one row per item.
+
+    An answer without items has one row, with NULL item columns.
+    """
     parsed = responses.with_parsed(texts.responses(spark, sf_dir)).filter("value IS NOT NULL")
 
     def amount(path):
@@ -71,14 +74,15 @@ def null_defaults(spark, sf_dir):
     def text(path):
         return F.coalesce(F.try_variant_get("value", path, "string"), F.lit("Unknown"))
 
-    return parsed.select(
+    filled = parsed.select(
         "doc_id",
+        "value",
         text("$.parties.customer.name").alias("customer"),
         text("$.financial_details.tax.type").alias("tax_type"),
         amount("$.financial_details.subtotal").alias("subtotal"),
         amount("$.financial_details.total_amount").alias("total"),
-        F.coalesce(F.try_variant_get("value", "$.items[0].quantity", "double"), F.lit(1.0)).alias("quantity"),
     )
+    return responses.item_amounts(filled, keep_empty=True).drop("value")
 
 
 def item_defaults(spark, sf_dir):
@@ -130,11 +134,12 @@ def preprocess_plan(spark, sf_dir):
 
 def format_checks(spark, sf_dir):
     inv = corpora.invoices(spark, sf_dir).filter("invoice IS NOT NULL")
-    day, code = F.col("invoice.metadata.issue_date"), F.col("invoice.financial_details.currency")
-    parsed = F.try_to_timestamp(day, F.lit("yyyy-MM-dd"))
+    dates, code = F.col("invoice.metadata"), F.col("invoice.financial_details.currency")
     return inv.groupBy(F.coalesce(code, F.lit("none")).alias("currency")).agg(
         F.count(F.lit(1)).alias("n_docs"),
-        F.count_if(day.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z") & parsed.isNotNull()).alias("n_dates"),
+        F.count_if(extract.is_iso_date(dates["issue_date"])).alias("n_dates"),
+        F.count_if(extract.is_iso_date(dates["due_date"])).alias("n_due_dates"),
+        F.count_if((dates["due_date"] != "") & ~extract.is_iso_date(dates["due_date"])).alias("n_bad_due_dates"),
         F.count_if(code.rlike(r"^[A-Z]{3}\z")).alias("n_codes"),
     )
 

@@ -174,13 +174,13 @@ u AS (
     "item_exclusions": with_ctes(TEXTS, select=f"""
       SELECT doc_id, CAST(i AS INT) AS line_no,
         regexp_matches(line, '(?i)(^|{NW})({_NO_ITEM})(e?s)?($|{NW})') AS excluded FROM text_line"""),
-    "null_defaults": with_ctes(ANSWERS, """
-first_item AS (SELECT k, CAST(q AS DOUBLE) AS q FROM item WHERE i = 1)""", select="""
+    "null_defaults": with_ctes(ANSWERS, select="""
       SELECT doc_id, CASE WHEN doc_id % 26 = 0 OR doc_id % 34 = 0 THEN 'Unknown' ELSE 'Receptor' END AS customer,
         CASE WHEN doc_id % 53 = 0 THEN '21' ELSE 'IVA' END AS tax_type,
         CASE WHEN doc_id % 7 = 0 THEN 0 ELSE CAST(stated AS DOUBLE) / 100 END AS subtotal,
-        CASE WHEN doc_id % 59 = 0 THEN 0 ELSE CAST(total AS DOUBLE) / 100 END AS total, coalesce(q, 1.0::DOUBLE) AS quantity
-      FROM parsed LEFT JOIN first_item ON k = doc_id WHERE parse <> 'failed'"""),
+        CASE WHEN doc_id % 59 = 0 THEN 0 ELSE CAST(total AS DOUBLE) / 100 END AS total, CAST(i - 1 AS INT) AS item_no,
+        CAST(q AS DOUBLE) AS quantity, CAST(p AS DOUBLE) / 100 AS unit_price, CAST(t AS DOUBLE) / 100 AS line_total
+      FROM parsed LEFT JOIN item ON k = doc_id WHERE parse <> 'failed'"""),
     "item_defaults": with_ctes(ANSWERS, select="""
       SELECT doc_id, CAST(i - 1 AS INT) AS item_no, CAST(q AS DOUBLE) AS quantity, CAST(p AS DOUBLE) / 100 AS unit_price,
         CAST(t AS DOUBLE) / 100 AS line_total
@@ -194,13 +194,17 @@ first_item AS (SELECT k, CAST(q AS DOUBLE) AS q FROM item WHERE i = 1)""", selec
       FROM rated GROUP BY 1"""),
     "format_checks": with_ctes(CHECKS, select="""
       SELECT coalesce(currency, 'none') AS currency, count(*) AS n_docs, count(*) FILTER (WHERE TRY_CAST(issued AS DATE) IS NOT NULL) AS n_dates,
+        count(*) FILTER (WHERE doc_id % 4 = 1) AS n_due_dates, count(*) FILTER (WHERE doc_id % 4 = 2) AS n_bad_due_dates,
         count(currency) AS n_codes FROM head WHERE NOT failed GROUP BY 1"""),
     "tax_id_check": with_ctes(TEXTS, _IDS, select="""
       SELECT doc_id, tax_id, kind, CASE WHEN kind = 'CIF' THEN right(tax_id, 1) IN (CAST(c AS VARCHAR), substr('JABCDEFGHI', CAST(c + 1 AS INT), 1))
         ELSE right(tax_id, 1) = substr('TRWAGMYFPDXBNJZSQVHLCKE', CAST(num % 23 + 1 AS INT), 1) END AS is_valid FROM control"""),
     "completeness": with_ctes(CHECKS, select="""
-      SELECT doc_id, CAST(1 + CAST(coalesce(issued, '') <> '' AS INT) + CAST(vendor <> '' AS INT) + CAST(coalesce(vendor_tax, '') <> '' AS INT)
-        + CAST(customer <> '' AS INT) + CAST(currency IS NOT NULL AS INT) + 1 + 1 + CAST(disc IS NOT NULL AS INT) + CAST(n > 0 AS INT) AS DOUBLE) / 11 AS share
+      SELECT doc_id, CAST(11 + CAST(coalesce(issued, '') <> '' AS INT) + CAST(doc_id % 4 IN (1, 2) AS INT) + CAST(vendor <> '' AS INT)
+        + CAST(coalesce(vendor_tax, '') <> '' AS INT) + CAST(customer <> '' AS INT) + CAST(currency IS NOT NULL AS INT)
+        + 2 * CAST(disc IS NOT NULL AS INT) + 3 * CAST(extra IS NOT NULL AS INT) + 3 * CAST(wh IS NOT NULL AS INT)
+        + 2 * CAST(sur IS NOT NULL AS INT) + 5 * CAST(n > 0 AS INT)
+        + CAST(doc_id % 43 = 0 OR doc_id % 61 = 0 OR doc_id % 67 = 0 AS INT) AS DOUBLE) / 52 AS share
       FROM head WHERE NOT failed"""),
     "is_invoice": with_ctes(TEXTS, """
 both_texts AS (

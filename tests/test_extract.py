@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from billgrain.functions import extract
+from billgrain.functions.schema import INVOICE
 
 
 def column(spark, values, rule):
@@ -39,3 +40,21 @@ def test_rows_with_thousands_marks(spark):
 def test_lines_that_are_no_items(spark):
     values = ["IVA 21%: 45,50€", "VAT 20%", "IGIC 7%", "Descuento", "Fees", "Recargos", "Potencia contratada", "Tostadora"]
     assert column(spark, values, extract.is_excluded) == [True] * 6 + [False] * 2
+
+
+def test_completeness_counts_every_leaf(spark):
+    answers = [
+        "{}",
+        '{"notes":"x","metadata":{"due_date":""},"items":[{"quantity":0},{"quantity":1,"item_id":"a"},null]}',
+        '{"financial_details":{"subtotal":0,"tax":{"rate":21},"surcharges":[],"additional_taxes":[{"amount":1},{"rate":2}]}}',
+        '{"parties":{"vendor":{"contact":{"email":"a@b.es"}},"customer":null},"extensions":{"a":1}}',
+    ]
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(answers)], "i int, raw string")
+    inv = F.from_json("raw", INVOICE)
+    shares = [r.share for r in df.select("i", extract.completeness(inv).alias("share")).orderBy("i").collect()]
+    assert [round(s * 52) for s in shares] == [0, 3, 4, 2]
+
+
+def test_iso_dates(spark):
+    values = ["2024-02-29", "2023-02-29", "2024-2-9", "29/02/2024", "2024-02-29 ", "", None]
+    assert column(spark, values, extract.is_iso_date) == [True, False, False, False, False, False, False]

@@ -181,3 +181,5 @@ def test_defaults_of_all_items(spark):
     parsed = responses.with_parsed(spark.createDataFrame([*raw.items(), (6, None)], "doc_id int, raw string"))
     got = sorted(tuple(r) for r in responses.item_amounts(parsed).select("doc_id", "item_no", "quantity", "unit_price", "line_total").collect())
     assert got == [(1, 0, 2.0, 3.5, 0.0), (1, 1, 1.0, 0.0, 0.0), (1, 2, 1.0, 0.0, 0.0), (1, 3, 1.0, 1.0, 0.0)]
+    kept = sorted((r.doc_id, r.item_no is None, r.quantity) for r in responses.item_amounts(parsed, keep_empty=True).collect())
+    assert kept == [(1, False, 1.0), (1, False, 1.0), (1, False, 1.0), (1, False, 2.0), *((i, True, None) for i in range(2, 7))]
