@@ -75,16 +75,26 @@ def routed_text(region: Column, table_no: Column, page_no: Column, height: Colum
     return let(F.coalesce(region["type"], F.lit("Unknown")), by_kind)
 
 
-def table_number(regions: Column, index: Column) -> Column:
-    """How many tables there are up to and including region ``index`` (from 0)."""
-    return F.size(F.filter(F.slice(regions, F.lit(1), index + 1), lambda r: r["type"] == "table"))
+def numbered(regions: Column) -> Column:
+    """Regions in order with their place (from 0) and, if they are tables, their number on the page (from 1)."""
+
+    def is_table(placed: Column) -> Column:
+        return F.coalesce(placed["region"]["type"] == "table", F.lit(False))
+
+    def row(placed: Column, number: Column) -> Column:
+        return F.struct(placed["pos"].alias("pos"), number.cast("int").alias("table_num"), placed["region"].alias("region"))
+
+    placed = F.transform(regions, lambda r, i: F.struct(i.alias("pos"), r.alias("region")))
+    tables = F.transform(F.filter(placed, is_table), lambda p, n: row(p, n + 1))
+    others = F.transform(F.filter(placed, lambda p: ~is_table(p)), lambda p: row(p, F.lit(None)))
+    return F.sort_array(F.concat(tables, others))
 
 
 def routed(regions: Column, page_no: Column, height: Column, width: Column) -> Column:
     """Struct (text, html, table_count) of a page; tables count even without HTML."""
     parts = F.transform(
-        regions,
-        lambda r, i: routed_text(r, table_number(regions, i), page_no, height, width),
+        numbered(regions),
+        lambda p: routed_text(p["region"], p["table_num"], page_no, height, width),
     )
     return F.struct(
         F.array_join(F.array_compact(parts), "\n\n").alias("text"),

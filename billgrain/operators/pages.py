@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from billgrain.functions import pages
 from billgrain.functions.pin import pin
 from billgrain.functions.text import truncate_middle
+from billgrain.session import counted_keys, cut_lineage
 
 
 def scan_regions(df: DataFrame) -> DataFrame:
@@ -27,17 +28,9 @@ def scan_regions(df: DataFrame) -> DataFrame:
 
 def numbered_tables(df: DataFrame) -> DataFrame:
     """Running table number of every table region on its page."""
-    numbers = F.transform(
-        F.col("regions"),
-        lambda r, i: F.struct(
-            r["type"].alias("type"), pages.table_number(F.col("regions"), i).alias("table_num")
-        ),
-    )
-    return (
-        df.select("doc_id", "page_number", F.posexplode(numbers).alias("region_idx", "t"))
-        .filter("t.type = 'table'")
-        .select("doc_id", "page_number", "region_idx", "t.table_num")
-    )
+    kinds = F.transform("regions", lambda r: F.struct(r["type"].alias("type")))
+    rows = df.select("doc_id", "page_number", F.explode(pages.numbered(kinds)).alias("t"))
+    return rows.filter("t.table_num IS NOT NULL").select("doc_id", "page_number", F.col("t.pos").alias("region_idx"), "t.table_num")
 
 
 def page_results(df: DataFrame, mode: str) -> DataFrame:
@@ -84,6 +77,21 @@ def choose_mode(layout: DataFrame, table: DataFrame, enough: int = pages.ENOUGH_
     return joined.select(*key, F.when(longer, F.col("t")).otherwise(F.col("l")).alias("r")).select(*key, "r.*")
 
 
+def adaptive(layout_pages: DataFrame, table_pages: DataFrame, enough: int = pages.ENOUGH_CHARS) -> DataFrame:
+    """``choose_mode`` over both readings of the pages (doc_id, page_number, height, width, regions).
+
+    The layout's results are written once; only the pages that they leave short are read in
+    table mode, so no other page's tables are parsed or moved. Pages that one side lacks, empty
+    tables and pages without regions go through as in ``choose_mode``; a page without a number
+    keeps its layout result.
+    """
+    layout = cut_lineage(page_results(layout_pages, "layout"))
+    key = ["doc_id", "page_number"]
+    _, short = counted_keys(layout.where(F.length("text") < enough).select(*key))
+    wanted = table_pages.join(short, key, "left_semi")
+    return choose_mode(layout, page_results(wanted, "table"), enough)
+
+
 def document_summary(results: DataFrame) -> DataFrame:
     """Totals per document over its pages."""
     return results.groupBy("doc_id").agg(

@@ -93,9 +93,7 @@ def region_fallback_text(spark, sf_dir):
 
 
 def adaptive_mode(spark, sf_dir):
-    layout = pages.page_results(texts.region_pages(spark, sf_dir), "layout")
-    table = pages.page_results(texts.table_mode_pages(spark, sf_dir), "table")
-    return pages.choose_mode(layout, table)
+    return pages.adaptive(texts.region_pages(spark, sf_dir), texts.table_mode_pages(spark, sf_dir))
 
 
 def doc_ocr_summary(spark, sf_dir):

@@ -52,3 +52,34 @@ def test_answers_keep_nulls_and_name_the_type_of_an_issue(spark):
     assert results["mathematical_validation"]["issues"] == [
         {"field": "total", "type": "total_mismatch", "message": "text", "severity": "warning", "expected": None, "actual": 2.0}
     ]
+
+
+REGION = "struct<type:string,bbox:array<double>,res_kind:string,html:string,text:string,items:array<struct<text:string,confidence:double,bbox:array<double>,pos:int>>>"
+PAGE = f"doc_id int, page_number int, height double, width double, regions array<{REGION}>"
+
+
+def page(doc, number, *regions):
+    return (doc, number, 1000.0, 800.0, [(kind, [0.0, 0.0, 9.0, 9.0], "dict", html, text, None) for kind, html, text in regions])
+
+
+def test_tables_are_numbered_among_other_regions(spark):
+    rng = random.Random(2)
+    kinds = [[rng.choice(["table", "text", None]) for _ in range(n)] for n in (0, 1, 5, 300)]
+    rows = [page(i, 1, *((k, None, "x") for k in row)) for i, row in enumerate(kinds)]
+    got = sorted(tuple(r) for r in pages.numbered_tables(spark.createDataFrame(rows, PAGE)).collect())
+    expected = [(i, 1, at, row[: at + 1].count("table")) for i, row in enumerate(kinds) for at in range(len(row)) if row[at] == "table"]
+    assert got == sorted(expected)
+
+
+def test_only_short_pages_are_read_in_table_mode(spark):
+    long, table = "w" * 250, "<table><tr><td>name</td><td>n</td></tr><tr><td>part</td><td>1</td></tr></table>"
+    layout = [page(1, 1, ("text", None, long)), page(1, 2, ("text", None, "y")), page(2, 1), page(3, 1, ("text", None, "z")), page(4, None, ("text", None, "a"))]
+    other = [page(1, 1, ("table", table * 20, None)), page(1, 2, ("table", table, None)), page(2, 1, ("table", table, None)), page(4, None, ("table", table, None)), page(9, 1)]
+    layout, other = (spark.createDataFrame(rows, PAGE) for rows in (layout, other))
+    whole = pages.choose_mode(pages.page_results(layout, "layout"), pages.page_results(other, "table"))
+    got = pages.adaptive(layout, other)
+    assert sorted(map(str, got.collect())) == sorted(map(str, whole.collect()))
+    modes = {(r.doc_id, r.page_number): r.extraction_mode for r in got.collect()}
+    assert modes == {(1, 1): "layout", (1, 2): "table", (2, 1): "table", (3, 1): "layout", (4, None): "layout"}
+    none = spark.createDataFrame([], PAGE)
+    assert pages.adaptive(none, other).count() == 0 and pages.adaptive(layout, none).count() == 5
