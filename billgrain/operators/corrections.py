@@ -46,6 +46,11 @@ def _slice(number: Column) -> Column:
     return F.floor(F.log2(F.greatest(number, F.lit(1.0))) * SLICES_PER_DOUBLING)
 
 
+def _block(rank: Column) -> Column:
+    """Ranks in blocks as wide as the ranks that one line looks at."""
+    return F.floor(rank / (2 * NEIGHBOURS + 2))
+
+
 def repaired_lines(
     lines: DataFrame, texts: DataFrame, many_lines: int = 2_000, many_chars: int = 40_000
 ) -> DataFrame:
@@ -59,8 +64,13 @@ def repaired_lines(
     doubtful = lines.filter(
         repairs.is_implausible(F.col("quantity"), F.col("unit_price"), F.col("line_total"))
     ).withColumn("expected", F.col("quantity") * F.col("unit_price"))
-    concerned = texts.join(doubtful.select("doc_id").distinct(), "doc_id", "left_semi")
-    best = _best_by_rank(doubtful, tokens(concerned, F.col("line_order"), "doc_id"))
+    # numbers outside the windows of all doubtful lines of their document are left out before any is moved
+    spans = doubtful.groupBy("doc_id").agg(
+        F.min(F.col("expected") * repairs.LOW).alias("lowest"), F.max(F.col("expected") * repairs.HIGH).alias("highest")
+    )
+    numbers = tokens(texts.join(spans, "doc_id"), F.col("line_order"), "doc_id", "lowest", "highest")
+    within = numbers.filter(F.col("value").between(F.col("lowest"), F.col("highest"))).drop("lowest", "highest")
+    best = _best_by_rank(doubtful, within)
     return lines.join(best, ["doc_id", "line_no"], "left").select(
         "doc_id",
         "line_no",
@@ -125,15 +135,21 @@ def _best_by_rank(doubtful: DataFrame, numbers: DataFrame) -> DataFrame:
     )
     ranked = everyone.withColumn("local", F.sum(is_class).over(within)).join(offsets, ["doc_id", "slice"])
     ranked = ranked.withColumn("rank", F.col("local") + F.col("offset"))
+    # the wanted ranks lie in two blocks at most, so a line moves twice and not once for each rank
+    lowest, highest = F.col("rank") - NEIGHBOURS, F.col("rank") + NEIGHBOURS + 1
     wanted = ranked.filter("item IS NOT NULL").select(
         "doc_id",
         "item",
-        F.explode(F.sequence(F.col("rank") - NEIGHBOURS, F.col("rank") + NEIGHBOURS + 1)).alias("rank"),
+        lowest.alias("lowest"),
+        highest.alias("highest"),
+        F.explode(F.array_distinct(F.array(_block(lowest), _block(highest)))).alias("block"),
     )
-    offered = ranked.filter("members IS NOT NULL").select("doc_id", "rank", F.explode("members").alias("c"))
+    offered = ranked.filter("members IS NOT NULL").select("doc_id", "rank", _block(F.col("rank")).alias("block"), "members")
     value = F.col("c.value")
     return (
-        wanted.join(offered, ["doc_id", "rank"])
+        wanted.join(offered, ["doc_id", "block"])
+        .filter(F.col("rank").between(F.col("lowest"), F.col("highest")))
+        .select("doc_id", "item", F.explode("members").alias("c"))
         .filter(_allowed(value, "item."))
         .groupBy("doc_id", F.col("item.line_no").alias("line_no"))
         .agg(_closest(value, F.col("item.expected"), "c.pos.line_order", "c.pos.idx"))
