@@ -19,13 +19,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give costly row-wise work all cores when the input has fewer splits than cores.
+#: Rows of a task of costly row-wise work.
+TASK_ROWS = 25_000
 
-    Only small inputs are moved; a table with enough splits is read as it is.
+
+def spread(df: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
+    """Give costly row-wise work all cores, and tasks that do not grow with the table.
+
+    How many splits a file has says nothing about its row groups: one of millions of rows is the
+    work of one task, and the other splits are empty. So the rows of the splits are counted (from
+    the footers alone). Rows are dealt out where a split holds more than four tasks' worth or
+    fewer splits than cores hold any; a table of small splits is read as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    splits = df.groupBy(F.spark_partition_id().alias("split")).agg(F.count(F.lit(1)).alias("n"))
+    held = splits.agg(F.count(F.lit(1)).alias("splits"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    if held["splits"] >= cores and held["most"] <= 4 * rows:
+        return df
+    return df.repartition(max(cores, -(-held["rows"] // rows)))
 
 
 # --- invoices, one row per order --------------------------------------------------
