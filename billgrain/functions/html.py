@@ -17,19 +17,22 @@ from pyspark.sql import functions as F
 from billgrain.functions.pin import let
 from billgrain.functions.text import SPACE, collapse_spaces, contains_any, strip
 
-HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
+HIDDEN = r"(?is)<(?:script\b.*?</script\s*>|style\b.*?</style\s*>|!--.*?-->)"
 TAG = r"""</?[A-Za-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|<[!?][^>]*>"""
 MARK = "\x00"
 
 # Named references from the language's own table; those without ";" may be followed
 # by more letters, so they are matched longest first.
 _WITHOUT_SEMICOLON = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+# A map is searched from its start, so names are found by their first letter first.
+_BY_INITIAL = {c: {n: t for n, t in html5.items() if n[0] == c} for c in sorted({n[0] for n in html5})}
+_STARTS = "#" + "".join(_BY_INITIAL)
 _LOW_NUMBERS = {str(n): _unescape_text(f"&#{n};") for n in range(160)}
 
 
 def unescape(text: Column) -> Column:
     """Replace character references once, left to right."""
-    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    names = F.from_json(F.lit(json.dumps(_BY_INITIAL)), "map<string,map<string,string>>")
     low = F.from_json(F.lit(json.dumps(_LOW_NUMBERS)), "map<string,string>")
     prefix = f"^({'|'.join(_WITHOUT_SEMICOLON)})"
 
@@ -44,6 +47,10 @@ def unescape(text: Column) -> Column:
             .otherwise(F.decode(encoded, "UTF-32"))
         )
 
+    def named(name: Column) -> Column:
+        """What the name stands for, NULL if nothing."""
+        return F.try_element_at(F.try_element_at(names, F.substring(name, 1, 1)), name)
+
     def after_ampersand(piece: Column) -> Column:
         decimal = F.regexp_extract(piece, r"^#([0-9]+);?", 1)
         hexadecimal = F.regexp_extract(piece, r"^#[xX]([0-9a-fA-F]+);?", 1)
@@ -57,6 +64,8 @@ def unescape(text: Column) -> Column:
             F.when(F.startswith(piece, F.lit("amp;")), F.concat(F.lit("&"), F.substr(piece, F.lit(5))))
             .when(F.startswith(piece, F.lit("lt;")), F.concat(F.lit("<"), F.substr(piece, F.lit(4))))
             .when(F.startswith(piece, F.lit("gt;")), F.concat(F.lit(">"), F.substr(piece, F.lit(4))))
+            # no reference begins like this
+            .when(~F.contains(F.lit(_STARTS), F.substring(piece, 1, 1)), F.concat(F.lit("&"), piece))
             .when(
                 decimal != "",
                 F.concat(
@@ -67,13 +76,10 @@ def unescape(text: Column) -> Column:
                 hexadecimal != "",
                 F.concat(character(hex_number), F.regexp_replace(piece, "^#[xX][0-9a-fA-F]+;?", "")),
             )
-            .when(
-                F.map_contains_key(names, name),
-                F.concat(F.element_at(names, name), F.substr(piece, F.length(name) + 1)),
-            )
+            .when(named(name).isNotNull(), F.concat(named(name), F.substr(piece, F.length(name) + 1)))
             .when(
                 (F.length(stem) > 1) & (F.length(name) > F.length(stem)),
-                F.concat(F.element_at(names, stem), F.substr(piece, F.length(stem) + 1)),
+                F.concat(named(stem), F.substr(piece, F.length(stem) + 1)),
             )
             .otherwise(F.concat(F.lit("&"), piece))
         )
@@ -102,7 +108,7 @@ def _close(tags: str) -> str:
 
 def _cell_text(inner: Column) -> Column:
     """Drop tags, then decode; the mark keeps a tag from joining two halves of a reference."""
-    marked = F.regexp_replace(inner, TAG, MARK)
+    marked = let(inner, lambda i: F.when(i.contains("<"), F.regexp_replace(i, TAG, MARK)).otherwise(i))
     return strip(F.replace(unescape(marked), F.lit(MARK), F.lit("")))
 
 

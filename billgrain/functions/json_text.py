@@ -18,13 +18,17 @@ FENCE = "```"
 
 def strip_fence(text: Column) -> Column:
     """Remove a Markdown fence. The closing one goes only where a newline precedes it."""
-    t = strip(text)
-    opened = F.startswith(t, F.lit(FENCE)) & t.contains("\n")
-    body = F.when(opened, F.substr(t, F.locate("\n", t) + 1)).otherwise(t)
-    tail = F.length(F.substring_index(body, "\n" + FENCE, -1))
-    closed = F.endswith(body, F.lit(FENCE)) & body.contains("\n" + FENCE)
-    cut = F.when(closed, F.left(body, F.length(body) - tail - 4)).otherwise(body)
-    return strip(cut)
+
+    def opened(t: Column) -> Column:
+        fenced = F.startswith(t, F.lit(FENCE)) & t.contains("\n")
+        return let(F.when(fenced, F.substr(t, F.locate("\n", t) + 1)).otherwise(t), closed)
+
+    def closed(body: Column) -> Column:
+        fenced = F.endswith(body, F.lit(FENCE)) & body.contains("\n" + FENCE)
+        tail = F.length(F.substring_index(body, "\n" + FENCE, -1))
+        return strip(F.when(fenced, F.left(body, F.length(body) - tail - 4)).otherwise(body))
+
+    return let(strip(text), opened)
 
 
 def strip_comments(text: Column) -> Column:
@@ -40,7 +44,11 @@ def strip_comments(text: Column) -> Column:
             line.contains("#"), rstrip(F.regexp_extract(line, before_comment, 1))
         ).otherwise(line)
 
-    return F.array_join(F.transform(F.split(text, "\n"), clean), "\n")
+    def lines(t: Column) -> Column:
+        cleaned_lines = F.array_join(F.transform(F.split(t, "\n"), clean), "\n")
+        return F.when(t.contains("#"), cleaned_lines).otherwise(t)
+
+    return let(text, lines)
 
 
 def cleaned(raw: Column) -> Column:
@@ -56,7 +64,7 @@ def parse_strict(text: Column) -> Column:
     listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
     elements = F.try_variant_get(listed, "$", "array<variant>")
-    return F.when(member.isNotNull() & (F.size(elements) == 1), F.get(elements, F.lit(0)))
+    return let(elements, lambda e: F.when((F.size(e) == 1) & member.isNotNull(), F.get(e, F.lit(0))))
 
 
 REPAIRED = T.StructType(
@@ -134,90 +142,111 @@ NUMERIC_TEXT = (
 )
 
 
-def _is_map(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
+class _Place:
+    """Where a value stands, as shown to the reader: a column for list places, then fixed text."""
+
+    def __init__(self, before: Column | None = None, text: str = ""):
+        self.before, self.text = before, text
 
+    def field(self, name: str) -> _Place:
+        return _Place(self.before, f"{self.text}.{name}" if self.text or self.before is not None else name)
 
-def _as_list(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "array<variant>")
+    def element(self, number: Column) -> _Place:
+        return _Place(F.concat(self._shown("["), number.cast("string"), F.lit("]")))
 
+    def code(self, problem: str) -> Column:
+        return self._shown(f": {problem}")
 
-def _code(path: Column, problem: str) -> Column:
-    return F.concat(path, F.lit(f": {problem}"))
+    def _shown(self, more: str) -> Column:
+        fixed = F.lit(self.text + more)
+        return fixed if self.before is None else F.concat(self.before, fixed)
 
 
-def _check_text(value: Column, path: Column, rule: str | None) -> Column:
+def _is_object(root: Column, at: str) -> Column:
+    """Asked through a field that no answer has to hold, so nothing of the object is copied."""
+    return F.try_variant_get(root, at, "struct<`-`:variant>").isNotNull()
+
+
+def _check_text(value: Column, place: _Place, rule: str | None) -> Column:
     text = F.try_variant_get(value, "$", "string")
     broken = F.lit(None).cast("string")
     if rule == "currency":
-        broken = F.when(~text.rlike(schema.CURRENCY_CODE), _code(path, "pattern"))
+        broken = F.when(~text.rlike(schema.CURRENCY_CODE), place.code("pattern"))
     elif rule == "payment":
-        broken = F.when(~text.isin(*schema.PAYMENT_METHODS), _code(path, "enum"))
-    return F.array(F.when(F.schema_of_variant(value) != "STRING", _code(path, "type")).otherwise(broken))
+        broken = F.when(~text.isin(*schema.PAYMENT_METHODS), place.code("enum"))
+    return F.when(F.schema_of_variant(value) != "STRING", place.code("type")).otherwise(broken)
 
 
-def _check_number(value: Column, path: Column, rule: str | None) -> Column:
-    kind = F.schema_of_variant(value)
+def _check_number(value: Column, place: _Place, rule: str | None) -> Column:
     text = F.try_variant_get(value, "$", "string")
-    numeric = (
-        F.when(kind == "STRING", text.rlike(NUMERIC_TEXT))
-        .when(kind == "BOOLEAN", F.lit(True))
-        .otherwise(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"))
+    numeric = let(
+        F.schema_of_variant(value),
+        lambda kind: F.when(kind == "STRING", text.rlike(NUMERIC_TEXT)).otherwise(
+            F.startswith(kind, F.lit("DECIMAL")) | F.startswith(kind, F.lit("BIGINT")) | F.startswith(kind, F.lit("DOUBLE"))
+            | F.startswith(kind, F.lit("FLOAT")) | (kind == "BOOLEAN")
+        ),
     )
     broken = F.lit(None).cast("string")
     if rule == "non-negative":
         number = F.try_variant_get(value, "$", "double")
-        broken = F.when((number < 0) | F.isnan(number), _code(path, "negative"))
-    return F.array(F.when(~numeric, _code(path, "type")).otherwise(broken))
+        broken = F.when((number < 0) | F.isnan(number), place.code("negative"))
+    return F.when(~numeric, place.code("type")).otherwise(broken)
+
+
+def _fields(root: Column, at: str, place: _Place, fields: dict) -> Column:
+    """Array of violation codes (with NULLs) of an object's fields, in their order."""
+    parts, run = [], []
+    for name, field in fields.items():
+        found = _check_field(root, f"{at}.{name}", place.field(name), field)
+        if field["kind"] in ("text", "number"):
+            run.append(found)
+            continue
+        parts, run = [*parts, *([F.array(*run)] if run else []), found], []
+    return F.concat(*parts, *([F.array(*run)] if run else []))
 
 
-def _check(value: Column, path: Column, spec: dict) -> Column:
-    """Array of violation codes (with NULLs) for one value that is present."""
-    kind = spec["kind"]
+def _check_field(root: Column, at: str, place: _Place, field: dict) -> Column:
+    """One code of a text or a number, an array of codes of anything else.
+
+    Values are read by their whole path from ``root``: taking an object out to look into it
+    copies it, once more at each level.
+    """
     none = F.array().cast("array<string>")
-    if kind == "text":
-        return _check_text(value, path, spec.get("rule"))
-    if kind == "number":
-        return _check_number(value, path, spec.get("rule"))
-    if kind == "any object":
-        return F.array(F.when(~_is_map(value), _code(path, "type")))
-    if kind == "list":
-        elements = _as_list(value)
-        checked = F.flatten(
-            F.transform(
-                elements,
-                lambda e, i: _check(
-                    e, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), spec["of"]
-                ),
-            )
-        )
-        return F.when(elements.isNull(), F.array(_code(path, "type"))).otherwise(
-            F.coalesce(checked, none)
-        )
-    absent = F.array(F.lit(None).cast("string"))
-
-    def check_field(name: str, field: dict) -> Column:
-        inner_path = F.concat_ws(".", F.nullif(path, F.lit("")), F.lit(name))
-
-        def present(inner: Column) -> Column:
-            skip = inner.isNull() if field["required"] else inner.isNull() | F.is_variant_null(inner)
-            when_absent = F.array(_code(inner_path, "missing")) if field["required"] else absent
-            return F.when(skip, when_absent).otherwise(_check(inner, inner_path, field))
-
-        return let(F.try_variant_get(value, f"$.{name}", "variant"), present)
-
-    found = [check_field(name, field) for name, field in spec["fields"].items()]
-    return F.when(~_is_map(value), F.array(_code(path, "type"))).otherwise(F.concat(*found))
+    value = F.try_variant_get(root, at, "variant")
+
+    def skipped(inner: Column) -> Column:
+        return inner.isNull() if field["required"] else inner.isNull() | F.is_variant_null(inner)
+
+    absent = place.code("missing") if field["required"] else F.lit(None).cast("string")
+    if field["kind"] in ("text", "number"):
+        check = _check_text if field["kind"] == "text" else _check_number
+        return let(value, lambda v: F.when(skipped(v), absent).otherwise(check(v, place, field["rule"])))
+    other = let(value, lambda v: F.array(F.when(skipped(v), absent).otherwise(place.code("type"))))
+    if field["kind"] == "list":
+
+        def of_elements(elements: Column) -> Column:
+            found = F.transform(elements, lambda e, i: _check_element(e, place.element(i), field["of"]))
+            return F.when(elements.isNull(), other).otherwise(F.coalesce(F.flatten(found), none))
+
+        return let(F.try_variant_get(root, at, "array<variant>"), of_elements)
+    inside = none if field["kind"] == "any object" else _fields(root, at, place, field["fields"])
+    return F.when(_is_object(root, at), inside).otherwise(other)
+
+
+def _check_element(value: Column, place: _Place, spec: dict) -> Column:
+    """Codes of an object that is the whole value."""
+    return F.when(_is_object(value, "$"), _fields(value, "$", place, spec["fields"])).otherwise(F.array(place.code("type")))
 
 
 def violations(value: Column) -> Column:
     """All broken schema rules of a parsed answer, in field order. NULL stays NULL."""
-    codes = F.array_compact(_check(value, F.lit(""), schema.MODEL))
+    codes = F.array_compact(_check_element(value, _Place(), schema.MODEL))
     return F.when(value.isNotNull(), codes)
 
 
-#: Marks between the digits of a number that is text, where such a number may stand.
-_SPACED_NUMBER = rf'(?<="(?:{"|".join(schema.NUMBER_FIELDS)})":"[-+0-9_.eE ]{{0,60}}[0-9])_(?=[0-9])'
+#: Marks between the digits of a number that is text, where such a number may stand. The look back
+#: follows the mark: before it, every place of the answer would look back over all lengths.
+_SPACED_NUMBER = rf'_(?=[0-9])(?<="(?:{"|".join(schema.NUMBER_FIELDS)})":"[-+0-9_.eE ]{{0,60}}[0-9]_)'
 
 
 def to_invoice(value: Column) -> Column:

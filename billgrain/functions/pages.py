@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from billgrain.functions import html, zones
-from billgrain.functions.pin import let
+from billgrain.functions.pin import let, unless_empty
 
 # Region kinds, full-page limits, mode threshold and text markers.
 ZONED_TYPES = ("figure", "text", "title")
@@ -50,20 +50,20 @@ def routed_text(region: Column, table_no: Column, page_no: Column, height: Colum
     """The text a region contributes, NULL for nothing."""
     def table_text(markup: Column) -> Column:
         compact = html.toon(html.structure(html.toon_rows(markup)), table_no, page_no)
-        entities = F.nullif(html.entity_text(markup, html.cells(markup)), F.lit(""))
+        entities = unless_empty(html.entity_text(markup, html.cells(markup)))
         chosen = F.when(is_full_page(region["bbox"], width), entities).otherwise(compact)
         return F.when(markup.isNotNull(), chosen)
 
     def titled(title: Column) -> Column:
         """NULL where the region has no text of its own."""
-        return F.concat(title, F.nullif(plain_text(region), F.lit("")))
+        return F.concat(title, unless_empty(plain_text(region)))
 
     def by_kind(kind: Column) -> Column:
         has_items = (region["res_kind"] == "list") & (F.size(region["items"]) > 0)
         zoned = zones.zone_text(zones.zoned_items(region["items"], height, width, kind))
         return (
             F.when(kind == "table", let(region_html(region), table_text))
-            .when(kind.isin(*ZONED_TYPES) & has_items, F.nullif(zoned, F.lit("")))
+            .when(kind.isin(*ZONED_TYPES) & has_items, unless_empty(zoned))
             .when(kind.isin(*ZONED_TYPES), titled(F.lit("[DOCUMENT TEXT]\n")))
             .when(
                 kind.isin(*LABELLED_TYPES),

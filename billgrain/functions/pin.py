@@ -32,3 +32,8 @@ def let(value: Column, body) -> Column:
     column argument would repeat all of it.
     """
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def unless_empty(text: Column) -> Column:
+    """The text, NULL if it is empty. Inside a lambda ``nullif`` would work out its text twice."""
+    return let(text, lambda t: F.when(t != "", t))

@@ -18,7 +18,6 @@ from billgrain.functions.text import (
     WORD_START,
     contains_any,
     has_word,
-    is_blank,
     strip,
 )
 
@@ -137,6 +136,14 @@ def geometry(bbox: Column, height: Column, width: Column) -> Column:
     )
 
 
+def _first_of(*branches: tuple[Column, Column | str], otherwise: str) -> Column:
+    """One ``CASE`` inside the other: inside a lambda a long ``CASE`` walks to each of its branches from the start."""
+    result = F.lit(otherwise)
+    for condition, value in reversed(branches):
+        result = F.when(condition, value).otherwise(result)
+    return result
+
+
 def zone(
     text: Column,
     x: Column,
@@ -153,25 +160,44 @@ def zone(
     ``CASE WHEN`` is lazy, so later patterns run only where earlier ones missed.
     """
     header_y, footer_y = height * HEADER_SHARE, height * FOOTER_SHARE
-    region = F.lower(region_type) if region_type is not None else F.lit(None).cast("string")
+    region = F.lower(region_type) if region_type is not None else None
     right_upper = (
         (x > width * CUSTOMER_X_SHARE)
         & (y < height * CUSTOMER_Y_SHARE)
         & (y > header_y * 0.5)
     )
     looks_like_customer = has_address(text, lowered) | has_tax_id(text)
-    return (
-        F.when(is_numeric_price(text, lowered, stripped), "CONTENT")
-        .when(has_vendor_contact(text, lowered), F.when(y > footer_y, "FOOTER").otherwise("HEADER"))
-        .when(has_customer_phrase(text, lowered), "CUSTOMER")
-        .when(region == "header", "HEADER")
-        .when(region == "footer", "FOOTER")
-        .when(region == "table", "CONTENT")
-        .when(right_upper & looks_like_customer, "CUSTOMER")
-        .when(right_upper, "CONTENT")
-        .when(y < header_y, "HEADER")
-        .when(y > footer_y, "FOOTER")
-        .otherwise("CONTENT")
+    by_region = [(region == "header", "HEADER"), (region == "footer", "FOOTER"), (region == "table", "CONTENT")]
+    return _first_of(
+        (is_numeric_price(text, lowered, stripped), "CONTENT"),
+        (has_vendor_contact(text, lowered), F.when(y > footer_y, "FOOTER").otherwise("HEADER")),
+        (has_customer_phrase(text, lowered), "CUSTOMER"),
+        *(by_region if region is not None else []),
+        (right_upper, F.when(looks_like_customer, "CUSTOMER").otherwise("CONTENT")),
+        (y < header_y, "HEADER"),
+        (y > footer_y, "FOOTER"),
+        otherwise="CONTENT",
+    )
+
+
+def centre(bbox: Column, height: Column, width: Column) -> Column:
+    """``valid`` and the centre of :func:`geometry`, for places where nothing shares the corners."""
+    points, corners = F.size(bbox) == 8, F.size(bbox) == 4
+
+    def at(i: int) -> Column:
+        return F.get(bbox, F.lit(i))
+
+    def middle(a: int, four_point: int, two_corner: int, otherwise: Column) -> Column:
+        return (
+            F.when(corners, (at(a) + at(two_corner)) / 2)
+            .when(points, (at(a) + at(four_point)) / 2)
+            .otherwise(otherwise / 2)
+        )
+
+    return F.struct(
+        F.coalesce(corners | points, F.lit(False)).alias("valid"),
+        middle(0, 4, 2, width).alias("x_center"),
+        middle(1, 5, 3, height).alias("y_center"),
     )
 
 
@@ -181,21 +207,25 @@ def zoned_items(
     """Classify every non-blank item of an array and put them in reading order.
 
     Sorting structs by (y_center, x_center, pos) keeps equal positions in input order.
+    ``sort_array`` compares the structs itself; ``array_sort`` would run a lambda for each pair.
     """
 
-    def classify(item: Column) -> Column:
+    def prepared(item: Column) -> Column:
+        return F.struct(item.alias("item"), strip(item["text"]).alias("stripped"))
+
+    def classify(prep: Column) -> Column:
+        item = prep["item"]
         forms = F.struct(
-            geometry(item["bbox"], height, width).alias("geo"),
+            centre(item["bbox"], height, width).alias("geo"),
             F.lower(item["text"]).alias("low"),
-            strip(item["text"]).alias("stripped"),
         )
-        return let(forms, lambda f: placed_item(item, f))
+        return let(forms, lambda f: placed_item(item, prep["stripped"], f))
 
-    def placed_item(item: Column, forms: Column) -> Column:
+    def placed_item(item: Column, stripped: Column, forms: Column) -> Column:
         geo = forms["geo"]
         placed = zone(
             item["text"], geo["x_center"], geo["y_center"], height, width, region_type,
-            forms["low"], forms["stripped"],
+            forms["low"], stripped,
         )
         return F.struct(
             geo["y_center"].alias("y_center"),
@@ -205,8 +235,8 @@ def zoned_items(
             F.when(geo["valid"], placed).otherwise("CONTENT").alias("zone"),
         )
 
-    kept = F.filter(items, lambda item: ~is_blank(item["text"]))
-    return F.array_sort(F.transform(kept, classify))
+    kept = F.filter(F.transform(items, prepared), lambda p: F.length(p["stripped"]) > 0)
+    return F.sort_array(F.transform(kept, classify))
 
 
 def zone_text(zoned: Column) -> Column:
