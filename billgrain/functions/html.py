@@ -108,29 +108,47 @@ def _close(tags: str) -> str:
 
 def _cell_text(inner: Column) -> Column:
     """Drop tags, then decode; the mark keeps a tag from joining two halves of a reference."""
-    marked = let(inner, lambda i: F.when(i.contains("<"), F.regexp_replace(i, TAG, MARK)).otherwise(i))
-    return strip(F.replace(unescape(marked), F.lit(MARK), F.lit("")))
+
+    def decoded(marked: Column) -> Column:
+        return strip(F.replace(unescape(marked), F.lit(MARK), F.lit("")))
+
+    marked = F.when(inner.contains("<"), F.regexp_replace(inner, TAG, MARK)).otherwise(inner)
+    # most cells hold neither tags nor references
+    return F.when(inner.rlike(f"[<&{MARK}]"), decoded(marked)).otherwise(strip(inner))
 
 
 def cells(html: Column, row_tag: str = "tr", cell_tags: str = "td|th", header_tag: str = "th") -> Column:
     """Rows of structs (text, is_header). Rows without any cell are left out."""
     visible = F.regexp_replace(html, HIDDEN, "")
-    row_pattern = rf"(?is)({_open(row_tag)}.*?{_close(row_tag)})"
-    cell_pattern = rf"(?is)({_open(cell_tags)}.*?{_close(cell_tags)})"
-
-    def to_cell(raw: Column) -> Column:
-        inner = F.regexp_replace(raw, rf"(?is)\A.*{_open(cell_tags)}|{_close(cell_tags)}\z", "")
-        return F.struct(
-            _cell_text(inner).alias("text"),
-            raw.rlike(rf"(?i)\A{_open(header_tag)}").alias("is_header"),
-        )
 
-    def to_row(raw: Column) -> Column:
-        last = F.regexp_replace(raw, rf"(?is)\A.*{_open(row_tag)}", "")
-        return F.transform(F.regexp_extract_all(last, F.lit(cell_pattern), 1), to_cell)
+    def after_last(inner: Column, tags: str) -> Column:
+        """``inner`` ends where its closing tag begins; an opening tag within it may reach into that tag."""
+        whole = F.concat(inner, F.lit(f"</{tags.split('|')[0]}>"))
+        last = F.regexp_replace(whole, rf"(?is)\A.*{_open(tags)}|{_close(tags)}\z", "")
+        return F.when(inner.rlike(f"(?i)<(?:{tags})"), last).otherwise(inner)
+
+    def inside(text: Column, tags: str) -> Column:
+        """What stands between each first opening tag and the closing tag after it."""
+        return F.regexp_extract_all(text, F.lit(rf"(?is){_open(tags)}(.*?){_close(tags)}"), 1)
+
+    def to_row(row: Column) -> Column:
+        opened = F.regexp_extract_all(row, F.lit(rf"(?is)({_open(cell_tags)}).*?{_close(cell_tags)}"), 1)
+        titled = F.transform(opened, lambda o: o.rlike(rf"(?i)\A{_open(header_tag)}"))
+        headers = F.when(row.rlike(f"(?i){_open(header_tag)}"), titled)
+
+        return F.struct(inside(row, cell_tags).alias("inner"), headers.alias("headers"))
+
+    def with_texts(row: Column) -> Column:
+        return F.transform(
+            row["inner"],
+            lambda inner, i: F.struct(
+                _cell_text(after_last(inner, cell_tags)).alias("text"),
+                F.coalesce(F.get(row["headers"], i), F.lit(False)).alias("is_header"),
+            ),
+        )
 
-    rows = F.transform(F.regexp_extract_all(visible, F.lit(row_pattern), 1), to_row)
-    return F.filter(rows, lambda r: F.size(r) > 0)
+    rows = F.transform(F.transform(inside(visible, row_tag), lambda r: after_last(r, row_tag)), to_row)
+    return F.transform(F.filter(rows, lambda r: F.size(r["inner"]) > 0), with_texts)
 
 
 def texts(row: Column) -> Column:
@@ -162,7 +180,7 @@ def is_vendor_cell(cell: Column) -> Column:
     return (
         (cell.contains("@") & F.substring_index(cell, "@", -1).contains("."))
         | cell.rlike(rf"(?iu)Tel(?:[:]|{SPACE})*\p{{Nd}}{{6,}}")
-        | cell.rlike(rf"ES\p{{Nd}}{{2}}{SPACE}*\p{{Nd}}{{4}}")
+        | (cell.contains("ES") & cell.rlike(rf"ES\p{{Nd}}{{2}}{SPACE}*\p{{Nd}}{{4}}"))
     )
 
 
@@ -177,10 +195,11 @@ def entity_text(html: Column, rows: Column) -> Column:
         )
 
     def blocks(filled: Column) -> Column:
-        others = F.array_distinct(F.filter(filled, lambda t: ~is_vendor_cell(t)))
-        return F.concat_ws(
-            "\n\n", block(vendor_title, F.filter(filled, is_vendor_cell)), block(other_title, others)
-        )
+        def of_vendors(vendors: Column) -> Column:
+            others = F.array_distinct(F.filter(filled, lambda _, i: F.get(vendors, i).isNull()))
+            return F.concat_ws("\n\n", block(vendor_title, F.array_compact(vendors)), block(other_title, others))
+
+        return let(F.transform(filled, lambda t: F.when(is_vendor_cell(t), t)), of_vendors)
 
     def of_rows(parsed: Column) -> Column:
         filled = F.filter(F.flatten(F.transform(parsed, texts)), lambda t: t != "")

@@ -92,9 +92,11 @@ def numbered(regions: Column) -> Column:
 
 def routed(regions: Column, page_no: Column, height: Column, width: Column) -> Column:
     """Struct (text, html, table_count) of a page; tables count even without HTML."""
-    parts = F.transform(
-        numbered(regions),
-        lambda p: routed_text(p["region"], p["table_num"], page_no, height, width),
+    # the numbers are told from the kinds alone, so no region is moved
+    numbers = numbered(F.transform(regions, lambda r: F.struct(r["type"].alias("type"))))["table_num"]
+    parts = let(
+        numbers,
+        lambda n: F.transform(regions, lambda r, i: routed_text(r, F.get(n, i), page_no, height, width)),
     )
     return F.struct(
         F.array_join(F.array_compact(parts), "\n\n").alias("text"),

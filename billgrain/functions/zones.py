@@ -17,6 +17,7 @@ from billgrain.functions.text import (
     WORD_END,
     WORD_START,
     contains_any,
+    has_phrase,
     has_word,
     strip,
 )
@@ -52,8 +53,9 @@ PHONE = rf"{D}{{3}}(?:{S}|[.-])?{D}{{3}}(?:{S}|[.-])?{D}{{3}}"
 IBAN = rf"(?iu)[A-Z]{{2}}{D}{{2}}{S}?{D}{{4}}{S}?{D}{{4}}{S}?{D}{{4}}{S}?{D}{{4}}"
 WEBSITE = rf"(?iu)www\.[\p{{L}}\p{{N}}_.-]+\.{W}"
 TAX_ID = rf"(?iu){WORD_START}[A-Z]-?{D}{{7,8}}-?[A-Z0-9]?{WORD_END}"
-CURRENCY = rf"[\p{{Nd}}.,]{S}*[€$£]|[€$£]{S}*[\p{{Nd}}.,]|{D}[.,]{D}{{2}}"
-PURE_NUMBER = rf"\A{S}*[\p{{Nd}}.,]+{S}*[€$£%]?{S}*\z"
+SIGN = r"[$\xa3\u20ac]"  # $ £ €, in ASCII as the patterns of ``text``
+CURRENCY = rf"[\p{{Nd}}.,]{S}*+{SIGN}|{SIGN}{S}*+[\p{{Nd}}.,]|{D}[.,]{D}{{2}}"
+PURE_NUMBER = rf"\A{S}*[\p{{Nd}}.,]+{S}*[%{SIGN[1:]}?{S}*\z"
 POSTAL_CODE = rf"{WORD_START}{D}{{5}}{WORD_END}"
 
 
@@ -74,9 +76,8 @@ def is_numeric_price(text: Column, lowered: Column | None = None, stripped: Colu
     low = F.lower(text) if lowered is None else lowered
     size = F.length(t)
     return (size > 0) & (
-        ((size < PRICE_MAX_CHARS) & t.rlike(CURRENCY))
+        F.when(size < PRICE_MAX_CHARS, t.rlike(f"{PURE_NUMBER}|{CURRENCY}")).otherwise(t.rlike(PURE_NUMBER))
         | ((size < PRICE_WORD_MAX_CHARS) & has_word(low, PRICE_WORDS))
-        | t.rlike(PURE_NUMBER)
     )
 
 
@@ -89,7 +90,7 @@ def has_address(text: Column, lowered: Column | None = None) -> Column:
 
 
 def has_customer_phrase(text: Column, lowered: Column | None = None) -> Column:
-    return contains_any(F.lower(text) if lowered is None else lowered, CUSTOMER_PHRASES)
+    return has_phrase(F.lower(text) if lowered is None else lowered, CUSTOMER_PHRASES)
 
 
 def has_tax_id(text: Column) -> Column:
@@ -211,21 +212,19 @@ def zoned_items(
     """
 
     def prepared(item: Column) -> Column:
-        return F.struct(item.alias("item"), strip(item["text"]).alias("stripped"))
-
-    def classify(prep: Column) -> Column:
-        item = prep["item"]
-        forms = F.struct(
-            centre(item["bbox"], height, width).alias("geo"),
+        return F.struct(
+            item["pos"].alias("pos"),
+            item["text"].alias("text"),
             F.lower(item["text"]).alias("low"),
+            strip(item["text"]).alias("stripped"),
+            centre(item["bbox"], height, width).alias("geo"),
         )
-        return let(forms, lambda f: placed_item(item, prep["stripped"], f))
 
-    def placed_item(item: Column, stripped: Column, forms: Column) -> Column:
-        geo = forms["geo"]
+    def classify(item: Column) -> Column:
+        geo = item["geo"]
         placed = zone(
             item["text"], geo["x_center"], geo["y_center"], height, width, region_type,
-            forms["low"], stripped,
+            item["low"], item["stripped"],
         )
         return F.struct(
             geo["y_center"].alias("y_center"),
@@ -250,11 +249,9 @@ def zone_text(zoned: Column) -> Column:
     )
 
     def section(ordered: Column, name: str, title: str) -> Column:
-        texts = F.transform(F.filter(ordered, lambda i: i["zone"] == name), lambda i: i["text"])
-        return let(
-            texts,
-            lambda t: F.when(F.size(t) > 0, F.concat(F.lit(title + "\n"), F.array_join(t, "\n"))),
-        )
+        """No item's text is empty, so the joined text is empty only without items. ``array_join`` leaves NULL out."""
+        texts = F.transform(ordered, lambda i: F.when(i["zone"] == name, i["text"]))
+        return let(F.array_join(texts, "\n"), lambda t: F.when(t != "", F.concat(F.lit(title + "\n"), t)))
 
     return let(
         zoned,

@@ -81,15 +81,17 @@ def adaptive(layout_pages: DataFrame, table_pages: DataFrame, enough: int = page
     """``choose_mode`` over both readings of the pages (doc_id, page_number, height, width, regions).
 
     The layout's results are written once; only the pages that they leave short are read in
-    table mode, so no other page's tables are parsed or moved. Pages that one side lacks, empty
-    tables and pages without regions go through as in ``choose_mode``; a page without a number
-    keeps its layout result.
+    table mode and joined, so no other page's tables are parsed and no other page is moved.
+    Pages that one side lacks, empty tables and pages without regions go through as in
+    ``choose_mode``; a page without a number keeps its layout result.
     """
     layout = cut_lineage(page_results(layout_pages, "layout"))
     key = ["doc_id", "page_number"]
-    _, short = counted_keys(layout.where(F.length("text") < enough).select(*key))
+    is_short = F.coalesce(F.length("text") < enough, F.lit(False))
+    few = layout.where(is_short)
+    _, short = counted_keys(few.select(*key))
     wanted = table_pages.join(short, key, "left_semi")
-    return choose_mode(layout, page_results(wanted, "table"), enough)
+    return layout.where(~is_short).unionByName(choose_mode(few, page_results(wanted, "table"), enough))
 
 
 def document_summary(results: DataFrame) -> DataFrame:

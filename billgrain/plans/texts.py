@@ -204,12 +204,13 @@ CAST(concat(
 
 def region_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page per order: doc_id, page_number, height, width, regions (array)."""
-    rows = pin(
-        invoice_texts(spark, sf_dir),
-        html=F.expr(f"CASE WHEN k % 14 = 0 THEN '' WHEN k % 38 = 1 THEN '<p>sin  tabla</p>' ELSE {HTML} END"),
-        items=F.expr(ITEM),
-    )
-    return pin(rows, regions=F.expr(f"CASE WHEN k % 44 = 0 THEN CAST(array() AS array<{_TYPED}>) ELSE {REGIONS} END")).select(
+    # plain columns: what stands outside of lambdas is compiled, which a generator like that of ``pin`` is not
+    rows = invoice_texts(spark, sf_dir).withColumns({
+        "html": F.expr(f"CASE WHEN k % 14 = 0 THEN '' WHEN k % 38 = 1 THEN '<p>sin  tabla</p>' ELSE {HTML} END"),
+        "items": F.expr(ITEM),
+    })
+    regions = F.expr(f"CASE WHEN k % 44 = 0 THEN CAST(array() AS array<{_TYPED}>) ELSE {REGIONS} END")
+    return rows.withColumn("regions", regions).select(
         F.col("k").alias("doc_id"),
         (F.col("k") % 3 + 1).cast("int").alias("page_number"),
         F.lit(1000.0).alias("height"),

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from billgrain.functions import json_text, pages, schema
+from billgrain.functions import html, json_text, pages, schema, text, zones
 from billgrain.operators import corrections
+from billgrain.operators import pages as operators
 from billgrain.plans import corpora
 
 PAGE = f"page_number int, height double, width double, regions array<{schema.REGION}>"
@@ -77,3 +78,39 @@ def test_places_of_violations(spark):
     ]
     assert got[1] == ["notes: type", "parties: type", "financial_details: missing", "items: type", "extensions: type"]
     assert got[2] == [": type"]
+
+
+def test_only_short_pages_are_joined_and_kinds_alone_are_numbered(spark):
+    long, other = [(1, 1, 9.0, 9.0, [("text", None, "str", None, "w" * 250, None)])], [(1, 1, 9.0, 9.0, [])]
+    rows, tables = (spark.createDataFrame(r, f"doc_id int, {PAGE}") for r in (long, other))
+    plan = _plan(operators.adaptive(rows, tables)).split("\n")
+    assert plan[0].startswith("Union") and sum("Join LeftOuter" in line for line in plan) == 1
+    routed = pages.routed(F.col("regions"), F.col("page_number"), F.col("height"), F.col("width"))
+    assert "AS region" not in _plan(spark.createDataFrame([], PAGE).select(routed.alias("r"))).replace("AS regions", "")
+
+
+def test_patterns_read_anew_for_each_value_are_short_and_ascii():
+    patterns = (text.SPACE, zones.CURRENCY, zones.PURE_NUMBER)
+    assert all(p.isascii() and len(p) < 160 for p in patterns) and len(text.SPACE) < 30
+
+
+def test_space_class_and_words_between_spaces(spark):
+    signs = spark.range(0x3100).where("id NOT BETWEEN 55296 AND 57343").select("id", F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    found = {r.id for r in signs.where(F.col("c").rlike(text.SPACE)).collect()}
+    assert found == {i for i in range(0x3100) if chr(i).isspace()}
+    rows = [("iva", True), ("x iva", True), ("iva x", True), ("\U0001f388iva", False), ("iva\U0001f388", False), ("ñiva", False), ("iva.", False), (".iva", False), ("ivan iva", True), ("", False)]
+    df = spark.createDataFrame(rows, "t string, has boolean")
+    assert df.where(text.has_word(F.col("t"), zones.PRICE_WORDS) != F.col("has")).count() == 0
+
+
+def test_a_cell_begins_after_its_last_opening_tag(spark):
+    markup = [
+        ("<tr><th>a<td>b</td></tr>", [[("b", True)]]),
+        ("<tr><td>a<td </td><td>c</td></tr>", [[("", False), ("c", False)]]),
+        ("<tr><td>a</td><tr><th x='>'>b</th></tr><tr><td <td>d</td></tr>", [[("'>b", True)], [("d", False)]]),
+        ("<tr><td>a</td><tr </tr><tr>b</tr>", []),
+    ]
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(markup)], "i int, html string")
+    got = {r.i: [[tuple(c) for c in row] for row in r.cells] for r in df.select("i", html.cells(F.col("html")).alias("cells")).collect()}
+    assert got == {i: rows for i, (_, rows) in enumerate(markup)}
+    assert _plan(df.select(html.entity_text(F.col("html"), html.cells(F.col("html"))).alias("t"))).count("{6,}") == 1
